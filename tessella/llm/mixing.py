@@ -7,16 +7,16 @@ from pyspark.sql import functions as F
 
 from ._shared import WORD, fits_broadcast, materialize
 
-LEVELS = ("domain", "lang", "source")
+LEVELS = ("__domain", "__lang", "__source")
 
 
 def tree(docs: DataFrame, domains: int = 4) -> DataFrame:
-    """docs' own (doc_id, lang, source, tokens) and a domain: the first letters of the source are no
-    domain here, so sources are dealt to `domains` groups by CRC-32. Nulls count as ''."""
+    """docs plus __domain, __lang, __source and __tokens (words). The tables have no domain, so
+    sources are dealt to `domains` groups by the first digit of their MD5. Nulls count as ''."""
     lang, source = F.coalesce("lang", F.lit("")), F.coalesce("source", F.lit(""))
-    domain = F.concat(F.lit("d"), F.crc32(source.cast("binary")) % domains)
-    tokens = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", domain.alias("domain"), lang.alias("lang"), source.alias("source"), tokens.alias("tokens"))
+    digit = F.conv(F.substring(F.md5(source.cast("binary")), 1, 1), 16, 10).cast("int")
+    columns = {"__domain": F.concat(F.lit("d"), digit % domains), "__lang": lang, "__source": source}
+    return docs.withColumns(columns | {"__tokens": F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")})
 
 
 def _rank(seed: int, epoch: Column, doc_id: Column) -> Column:
@@ -64,54 +64,60 @@ def budgets(leaves: DataFrame, total: Column, levels: tuple[str, ...] = LEVELS,
     return out
 
 
-def mix(
+def plan(
     docs: DataFrame,
     fraction: float = 0.5,
     max_epochs: int = 2,
     seed: int = 7,
     weights: DataFrame | None = None,
     buckets_hex: int = 3,
-    rows: DataFrame | None = None,
 ) -> DataFrame:
-    """The chosen passes over documents: (doc_id, domain, lang, source, tokens, epoch).
-
-    Budget: fraction of all tokens. Each leaf takes whole seeded epochs while its budget lasts,
-    then the longest prefix, in the next epoch's order, whose tokens fit. A document chosen in
-    several epochs has a row for each. The prefix is found in two steps, so no leaf is ever in one
-    task: tokens are summed by leaf and 16^buckets_hex ranges of the order, and only the range in
-    which the budget ends is ordered row by row. Documents without tokens are in every epoch's
-    order like others. Repeated rows count as often as they occur; an empty table gives none.
+    """A row for each leaf: its whole epochs, and where its prefix of the next epoch ends.
+
+    Budget: fraction of all tokens. A leaf takes whole seeded epochs while its budget lasts, then
+    the longest prefix, in the next epoch's order, whose tokens fit. The end is found in two steps,
+    so no leaf is ever in one task: tokens are summed by leaf and 16^buckets_hex ranges of the
+    order, and only the range in which the budget ends is ordered row by row.
     """
     keys = list(LEVELS)
-    rows = tree(docs) if rows is None else rows
-    rows = materialize(rows, "mix-rows")
-    leaves = rows.groupBy(*keys).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("docs"))
-    leaves = materialize(leaves, "mix-leaves")
-    all_tokens = leaves.agg(F.sum("tokens")).first()[0] or 0
-    plan = budgets(leaves, F.lit(int(all_tokens * fraction)).cast("long"), LEVELS, weights, max_epochs)
-    plan = plan.withColumn("whole", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int"))
-    plan = plan.select(*keys, "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("remain"))
-    plan = materialize(plan, "mix-plan")
-    small = fits_broadcast(plan, 100_000)
-    planned = rows.join(F.broadcast(plan) if small else plan, keys).withColumn("rank", _rank(seed, F.col("whole"), F.col("doc_id")))
-    planned = planned.withColumn("bucket", F.substring("rank", 1, buckets_hex))
-    sums = planned.groupBy(*keys, "whole", "remain", "bucket").agg(F.sum("tokens").alias("t"))
+    rows = materialize(tree(docs).select("doc_id", *keys, "__tokens"), "mix-rows")
+    leaves = materialize(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")), "mix-leaves")
+    everything = leaves.agg(F.sum("tokens")).first()[0] or 0
+    dealt = budgets(leaves, F.lit(int(everything * fraction)).cast("long"), LEVELS, weights, max_epochs)
+    whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
+    dealt = dealt.withColumn("whole", whole).select(*keys, "budget", "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("remain"))
+    dealt = materialize(dealt, "mix-budgets")
+    small = fits_broadcast(dealt, 100_000)
+    hint = F.broadcast if small else lambda x: x
+    placed = rows.join(hint(dealt), keys).withColumn("rank", _rank(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("rank", 1, buckets_hex))
+    sums = placed.groupBy(*keys, "remain", "bucket").agg(F.sum("__tokens").alias("t"))
     order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     edge = (
         sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0)))
         .where((F.col("before") <= F.col("remain")) & (F.col("before") + F.col("t") > F.col("remain")))
         .select(*keys, F.col("bucket").alias("edge"), (F.col("remain") - F.col("before")).alias("room"))
     )
-    edge = materialize(edge, "mix-edge")  # at most a row for each leaf
-    fine = planned.join(F.broadcast(edge) if small else edge, keys).where("bucket = edge")
-    inner = Window.partitionBy(*keys).orderBy("rank", "doc_id", "tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = fine.withColumn("sum", F.sum("tokens").over(inner)).where("sum <= room").groupBy(*keys).agg(F.max("rank").alias("cut"))
-    cuts = edge.select(*keys, "edge").join(last, keys, "left")
-    cuts = materialize(cuts, "mix-cuts")
-    picked = planned.join(F.broadcast(cuts) if small else cuts, keys, "left")
-    extra = F.col("edge").isNull() | (F.col("bucket") < F.col("edge")) | F.coalesce(F.col("rank") <= F.col("cut"), F.lit(False))
-    # Where no range overflows, the whole next epoch would fit: it only does with no room to fill.
-    extra = F.when(F.col("edge").isNull(), F.col("remain") < 0).otherwise(extra)
-    epochs = F.sequence(F.lit(0), F.col("whole") - 1 + extra.cast("int"))
-    epochs = F.when(F.col("whole") + extra.cast("int") > 0, epochs).otherwise(F.array().cast("array<int>"))
-    return picked.select("doc_id", *keys, "tokens", F.explode(epochs).alias("epoch"))
+    edge = materialize(edge, "mix-edges")  # at most a row for each leaf
+    # Rows of one rank (one doc_id repeated) are taken together or left together.
+    upto = Window.partitionBy(*keys).orderBy("rank")
+    fine = placed.join(hint(edge), keys).where("bucket = edge").withColumn("sum", F.sum("__tokens").over(upto))
+    cut = fine.where("sum <= room").groupBy(*keys).agg(F.max("rank").alias("cut"))
+    return materialize(dealt.join(edge.select(*keys, "edge"), keys, "left").join(cut, keys, "left"), "mix-plan")
+
+
+def mix(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
+    """docs' rows that the plan takes, with __domain, __lang, __source, __tokens and epoch (from 0).
+
+    A row taken in several epochs comes once for each. A leaf without tokens gives no row; rows
+    without tokens elsewhere are taken where the order puts them. The plan has a row for each
+    leaf; it is broadcast if counted to be small, so texts are not shuffled. An empty table gives
+    an empty result.
+    """
+    keys, small = list(LEVELS), fits_broadcast(plan, 100_000)
+    rows = tree(docs).join(F.broadcast(plan) if small else plan, keys)
+    rank = _rank(seed, F.col("whole"), F.col("doc_id"))
+    rows = rows.withColumn("__rank", rank)
+    head = F.col("edge").isNotNull() & ((F.substring("__rank", F.lit(1), F.length("edge")) < F.col("edge")) | F.coalesce(F.col("__rank") <= F.col("cut"), F.lit(False)))
+    times = F.col("whole") + head.cast("int")
+    rows = rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
+    return rows.select(*(c for c in docs.columns if c != "epoch"), *keys, "__tokens", "epoch")

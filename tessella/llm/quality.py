@@ -33,7 +33,7 @@ def with_counts(rows: DataFrame) -> DataFrame:
     at = lambda i: F.get(F.col("words"), i)
     grams = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, at(i + 1), at(i + 2)))
     rows = rows.withColumn("grams", grams).withColumn("again", F.size("grams") > F.size(F.array_distinct("grams")))
-    rows = rows.withColumn("sorted", F.when("again", F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    rows = rows.withColumn("sorted", F.when(F.col("again"), F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
     other = lambda k: F.coalesce(F.get(F.col("sorted"), k)["g"], F.lit(None).cast("long"))
     twice = F.filter("sorted", lambda e, k: F.coalesce((other(k - 1) == e["g"]), F.lit(False)) | F.coalesce((other(k + 1) == e["g"]), F.lit(False)))
     rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda e: e["i"])))
@@ -44,7 +44,7 @@ def with_counts(rows: DataFrame) -> DataFrame:
         lambda a: a["n"],
     )
     return (
-        rows.withColumn("n_repeat_words", F.when("again", covered).otherwise(0).cast("long"))
+        rows.withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
         .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
         .withColumn("n_symbols", (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long"))
         .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))

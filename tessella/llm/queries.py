@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, media, mixing, quality, simhash, tokenbin, toxicity
+from . import langid, lattice, linededup, media, mixing, quality, simhash, tokenbin, tokencount, toxicity, unigram
 from ._shared import held_out, new_scratch, table
 
 
@@ -24,7 +24,17 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    taken = mixing.mix(docs, mixing.plan(docs))
+    return taken.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), "epoch")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), unigram.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +49,12 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.read_token_files(spark, path, manifest, with_ids=False)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = unigram.load(public_tokenizers.path("piece_bpe_32k.model"))
+    coded = lattice.decode(lattice.encode(table(spark, sf_dir, "documents"), pieces), pieces)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("th")).alias("round_trip"), "ids")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -54,8 +70,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
     "op3_mixing": op3_mixing,
+    "op4_token_counts": op4_token_counts,
+    "op5_line_dedup": op5_line_dedup,
     "op6_media": op6_media,
     "op7_token_files": op7_token_files,
+    "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
 }

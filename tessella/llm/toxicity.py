@@ -247,3 +247,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(run, f"doc_id {kind}, score double, spans array<struct<start:int,stop:int,prob:double>>")
+
+
+def keep_clean(docs: DataFrame, model: Model, text_col: str = "text", at: float = 0.5) -> DataFrame:
+    """docs' rows, with all their columns, whose score is under `at`. Map only; see score()."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2000):
+                b = whole.slice(lo, 2000)
+                scores = [model.score(p) for p in model.marginals(b.column(text_col).to_pylist())]
+                yield b.filter(pa.array([s < at for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
