@@ -17,14 +17,15 @@ def _worded(text: str) -> str:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, k, a, b, n): k-th line with a word, its 96-bit ID (a, b) and number of words.
+    """(doc_id, th, k, no, a, b, n): the k-th line with a word, which is line no of the text, its
+    96-bit ID (a, b) and number of words.
 
     th tells texts under one doc_id apart; rows equal in both count as one document.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("th", F.xxhash64("text"))
     rows = rows.select(*DOC, F.posexplode(F.expr(_worded("text"))).alias("k", "e"))
     line = F.col("e.line")
-    return rows.select(*DOC, "k", F.xxhash64(line).alias("a"), F.hash(line, F.lit(1)).alias("b"), F.size(F.split(line, WORD_GAP)).alias("n"))
+    return rows.select(*DOC, "k", F.col("e.no").alias("no"), F.xxhash64(line).alias("a"), F.hash(line, F.lit(1)).alias("b"), F.size(F.split(line, WORD_GAP)).alias("n"))
 
 
 def _named(pairs: DataFrame, label: str) -> DataFrame:
@@ -39,7 +40,7 @@ def _named(pairs: DataFrame, label: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, th, gone array<int>): the lines (k) that belong to later copies of repeated runs.
+    """(doc_id, th, gone array<int>): the lines (no) that belong to later copies of repeated runs.
 
     A run is a sequence of successive lines with at least min_words words; it is repeated if the
     same lines stand at another place, of any document. Lines that occur once end every run, so
@@ -53,7 +54,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     lines = materialize(line_table(docs), "lines")
     names = _named(lines.select("a", "b"), "line-names")
-    live = lines.join(names, ["a", "b"]).select(*DOC, "k", "n", "r")
+    live = lines.join(names, ["a", "b"]).select(*DOC, "k", "no", "n", "r")
     by_doc = Window.partitionBy(*DOC).orderBy("k")
     live = live.repartition(*DOC).dropDuplicates([*DOC, "k"]).withColumn("seg", F.col("k") - F.row_number().over(by_doc))
     seg = Window.partitionBy(*DOC, "seg")
@@ -95,12 +96,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             both = both.withColumn("y", F.lit(0).cast("long"))
         found = both if found is None else found.unionByName(both)
     if found is None:
-        return live.select(*DOC, F.array("k").alias("gone")).limit(0)
+        return live.select(*DOC, F.array("no").alias("gone")).limit(0)
     found = materialize(found, "line-found")
     first = found.groupBy("size", "x", "y").agg(F.min(F.struct(*DOC, "at")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     later = found.join(first, ["size", "x", "y"]).where(~F.struct(*DOC, "at").eqNullSafe(F.col("first")))
-    gone = later.select(*DOC, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("k"))
-    return materialize(gone.groupBy(*DOC).agg(F.collect_set("k").alias("gone")), "line-gone")
+    gone = later.select(*DOC, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
+    x, y = gone.alias("g"), live.alias("l")
+    same = F.col("g.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("g.th") == F.col("l.th")) & (F.col("g.at") == F.col("l.k"))
+    lost = x.join(y, same).select(F.col("g.doc_id").alias("doc_id"), F.col("g.th").alias("th"), "no")
+    return materialize(lost.groupBy(*DOC).agg(F.collect_set("no").alias("gone")), "line-gone")
 
 
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -115,9 +119,8 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     out = docs.drop("n_lines", "n_removed").withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
     out = out.join(gone, out["doc_id"].eqNullSafe(gone["__doc"]) & (out["__at"] == gone["__th"]), "left")
-    out = out.withColumn("__nos", F.when(F.col("__gone").isNotNull(), F.expr(f"transform({_worded('text')}, e -> e.no)")))
-    out = out.withColumn("__cut", F.expr("transform(__gone, k -> __nos[k])"))
-    kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(__cut, i)), '\n')")
+    # The lambda reads joined columns only: a computed one would be computed again for each line.
+    kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(__gone, i)), '\n')")
     out = out.withColumn("n_lines", F.coalesce(F.expr(r"size(filter(split(text, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]'))"), F.lit(0)))
     out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)))
     out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))

@@ -13,6 +13,8 @@ from ._shared import WORD_GAP, fits_broadcast, materialize
 
 #: Removed one after the other; what each step takes away is that class's count.
 CLASSES = (("lower", r"\p{Ll}+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{Nd}+"), ("space", r"[\x20\x09-\x0D]+"), ("stop", r"[.,;:!?'\"()\-]+"), ("symbol", r"[#*$%&|<>]+"))
+#: Largest distances from a language's histograms that a document may have.
+MAX_CLASS, MAX_WORD = 0.25, 0.36
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -107,8 +109,8 @@ def _distance(pairs: Column) -> Column:
 def judge(
     docs: DataFrame,
     refs: DataFrame | None = None,
-    max_class: float = 0.25,
-    max_word: float = 0.47,
+    max_class: float = MAX_CLASS,
+    max_word: float = MAX_WORD,
     min_chars: int = 200,
     min_tokens: int = 40,
     min_ref_tokens: int = 1000,

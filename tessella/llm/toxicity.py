@@ -108,12 +108,14 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.features(p) @ self.blend, -40, 40))))
 
 
-def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], size: int, rounds: int = 60, rate: float = 0.3, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights that maximise the penalised likelihood of the tagged segments (ids, tags), by Adam."""
+def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], size: int, rounds: int = 40, rate: float = 0.1, decay: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights that maximise the penalised likelihood of the tagged segments (ids, tags).
+
+    Adam steps from each word's own log odds; a word that the segments lack starts like the others.
+    """
     theta = np.zeros(size + 5)
     if not segments:
-        return theta[:size], np.zeros((2, 2)), -4.0
-    theta[0], theta[size + 4] = -2.0, -2.0
+        return theta[:size] - 4.0, np.zeros((2, 2)), 0.0
     blocks, seen, moved, first = [], np.zeros(size), np.zeros((2, 2)), 0.0
     for block in _blocks([s[0] for s in segments]):
         ids, lengths = _padded([segments[i][0] for i in block])
@@ -122,7 +124,10 @@ def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], size: int, rounds:
         np.add.at(seen, ids, tags)
         np.add.at(moved, (tags[:-1], tags[1:]), 1)
         first += float(tags[0]) if len(tags) else 0.0
-    count, mean, var = sum(len(s[0]) for s in segments), 0.0, 0.0
+    here = sum((np.bincount(ids, minlength=size) for ids, _ in segments), np.zeros(size))
+    theta[:size] = np.log((seen + 0.1) / (here - seen + 1.0))
+    theta[:size][here == 0] = theta[OTHER]
+    anchor, mean, var = theta.copy(), 0.0, 0.0
     for r in range(1, rounds + 1):
         weight, step, start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4]
         grad_w, grad_t, grad_s = seen.copy(), moved.copy(), first
@@ -132,7 +137,7 @@ def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], size: int, rounds:
             grad_w -= np.bincount(ids[live], weights=p[live], minlength=size)
             grad_t -= moves
             grad_s -= float(p[0].sum())
-        grad = np.concatenate([grad_w, grad_t.ravel(), [grad_s]]) / count**0.5 - decay * count**0.5 * theta
+        grad = np.concatenate([grad_w, grad_t.ravel(), [grad_s]]) - decay * (theta - anchor)
         mean, var = 0.8 * mean + 0.2 * grad, 0.99 * var + 0.01 * grad**2
         theta = theta + rate * (mean / (1 - 0.8**r)) / (np.sqrt(var / (1 - 0.99**r)) + 1e-8)
     return theta[:size], theta[size : size + 4].reshape(2, 2), float(theta[size + 4])
@@ -148,11 +153,12 @@ def fit_blend(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: int = 4096, max_segments: int = 6000, segment: int = 128, min_docs: int = 5) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: int = 4096, max_segments: int = 6000, segment: int = 128, min_docs: int = 5, min_contexts: int = 8) -> Model:
     """Fit on a bounded sample: the max_docs labelled documents, not held out, with the smallest hash.
 
     Document labels are turned into token tags: a word that stands in at least min_docs toxic
-    sample documents, and in more toxic than clean ones, is tagged where it stands in a toxic
+    sample documents, in more toxic than clean ones, and there after at least min_contexts
+    different words (copies of one document have one), is tagged where it stands in a toxic
     document. The field is fitted on at most max_segments runs of `segment` tokens, tagged and
     untagged in halves, over the max_words words that most documents of the sample have. Words
     are counted on the executors; only bounded tables reach the driver.
@@ -171,15 +177,23 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(w, t) for x, t in zip(b["text"], b["toxic"], strict=True) for w in set(tokens(x))]
-            yield pd.DataFrame(rows, columns=["word", "toxic"])
+            rows = []
+            for x, t in zip(b["text"], b["toxic"], strict=True):
+                words = tokens(x)
+                rows += [(w, None, t) for w in set(words)]
+                rows += [(w, before, 1) for before, w in set(zip(["", *words], words, strict=False))] if t == 1 else []
+            yield pd.DataFrame(rows, columns=["word", "before", "toxic"])
 
     counts = (
-        sample.mapInPandas(uses, "word string, toxic int")
+        sample.mapInPandas(uses, "word string, before string, toxic int")
         .groupBy("word")
-        .agg(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("good"))
+        .agg(
+            F.count_if(F.col("before").isNull() & (F.col("toxic") == 1)).alias("bad"),
+            F.count_if(F.col("before").isNull() & (F.col("toxic") != 1)).alias("good"),
+            F.count_distinct("before").alias("contexts"),
+        )
         .where(F.col("bad") + F.col("good") >= min_docs)
-        .withColumn("seed", (F.col("bad") >= min_docs) & (F.col("bad") > F.col("good")))
+        .withColumn("seed", (F.col("bad") >= min_docs) & (F.col("bad") > F.col("good")) & (F.col("contexts") >= min_contexts))
         .orderBy(F.desc("seed"), F.desc(F.col("bad") + F.col("good")), "word")
         .limit(max_words)
     )

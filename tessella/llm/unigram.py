@@ -30,7 +30,8 @@ class Pieces:
 
 
 def load(model_file: str, floor: float = -1e8) -> Pieces:
-    """The normal pieces of the file; those with a score under floor are placeholders and left out.
+    """The normal pieces of the file. A score under floor is a placeholder's: such a piece is left
+    out, unless it is SPACE or a run of it, which gets the least score of the others.
 
     Raises ValueError if a piece crosses a cut of CHUNK, since chunks are encoded one by one.
     """
@@ -40,7 +41,9 @@ def load(model_file: str, floor: float = -1e8) -> Pieces:
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     ids = range(model.get_piece_size())
     normal = [i for i in ids if not (model.is_unknown(i) or model.is_control(i) or model.is_unused(i) or model.is_byte(i))]
-    rows = tuple((model.id_to_piece(i), i, model.get_score(i)) for i in normal if model.get_score(i) > floor)
+    least = min((s for i in normal if (s := model.get_score(i)) > floor), default=0.0)
+    scored = [(model.id_to_piece(i), i, model.get_score(i)) for i in normal]
+    rows = tuple((p, i, max(s, least)) for p, i, s in scored if s > floor or not p.strip(SPACE))
     crossing = regex.compile(rf"[^{SPACE}]{SPACE}|\p{{L}}[^\p{{L}}]|[^{SPACE}\p{{L}}]\p{{L}}|\n.|.\n", regex.DOTALL)
     if bad := [p for p, _, _ in rows if crossing.search(p)]:
         raise ValueError(f"pieces cross the cuts between chunks: {bad[:5]}")
