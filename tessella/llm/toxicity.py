@@ -16,12 +16,18 @@ from ._shared import held_out, materialize
 
 TOKEN = re.compile(r"[^\W\d_]+")
 OTHER = 0
+STEM = 5
 
 
 def tokens(text: str | None) -> list[str]:
     return [w.lower() for w in TOKEN.findall(text or "")]
 
 
+def stem(word: str) -> str:
+    """The first letters of a longer word, marked: a feature that words not seen before share."""
+    return word[:STEM] + "+" if len(word) > STEM else ""
+
+
 # --- the field: states 0 (clean) and 1 (toxic); emissions count for state 1 against state 0
 
 
@@ -77,8 +83,9 @@ def _padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Model:
-    """words: id of each known word, 0 for others; weight: its emission; step, start: transitions;
-    blend: document score = sigmoid(blend . (1, log(1 + expected toxic tokens), largest marginal))."""
+    """words: id of each known word or stem, 0 for others; weight: its emission, a token's being the
+    sum of its word's and its stem's; step, start: transitions;
+    blend: document score = sigmoid(blend . (1, log(1 + expected toxic tokens), any marginal >= 1/2))."""
 
     words: dict[str, int]
     weight: np.ndarray
@@ -87,11 +94,12 @@ class Model:
     blend: np.ndarray
 
     def ids(self, text: str | None) -> np.ndarray:
-        get = self.words.get
-        return np.array([get(w.lower(), OTHER) for w in TOKEN.findall(text or "")], dtype=np.int32)
+        """[tokens, 2]: the ids of each token's word and stem."""
+        get, found = self.words.get, tokens(text)
+        return np.array([[get(w, OTHER) for w in found], [get(w[:STEM] + "+", OTHER) if len(w) > STEM else OTHER for w in found]], dtype=np.int32).T
 
     def marginals(self, texts: list[str | None]) -> list[np.ndarray]:
-        rows = [self.weight[self.ids(t)] for t in texts]
+        rows = [self.weight[self.ids(t)].sum(axis=1) for t in texts]
         out: list[np.ndarray] = [np.empty(0)] * len(rows)
         for block in _blocks(rows):
             if len(rows[block[0]]):
@@ -102,39 +110,41 @@ class Model:
         return out
 
     def features(self, p: np.ndarray) -> np.ndarray:
-        return np.array([1.0, np.log1p(p.sum()), p.max(initial=0.0)])
+        return np.array([1.0, np.log1p(p.sum()), float(p.max(initial=0.0) >= 0.5)])
 
     def score(self, p: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.features(p) @ self.blend, -40, 40))))
 
 
 def fit_field(segments: list[tuple[np.ndarray, np.ndarray]], size: int, rounds: int = 40, rate: float = 0.1, decay: float = 0.1) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights that maximise the penalised likelihood of the tagged segments (ids, tags).
+    """Weights that maximise the penalised likelihood of the tagged segments (ids [n, 2], tags).
 
     Adam steps from each word's own log odds; a word that the segments lack starts like the others.
     """
     theta = np.zeros(size + 5)
     if not segments:
         return theta[:size] - 4.0, np.zeros((2, 2)), 0.0
-    blocks, seen, moved, first = [], np.zeros(size), np.zeros((2, 2)), 0.0
+    blocks, seen, here, moved, first = [], np.zeros(size), np.zeros(size), np.zeros((2, 2)), 0.0
     for block in _blocks([s[0] for s in segments]):
-        ids, lengths = _padded([segments[i][0] for i in block])
-        blocks.append((ids.astype(np.int32), lengths))
+        pairs = [_padded([segments[i][0][:, f] for i in block]) for f in (0, 1)]
+        blocks.append(([ids.astype(np.int32) for ids, _ in pairs], pairs[0][1]))
     for ids, tags in segments:
-        np.add.at(seen, ids, tags)
+        for f in (0, 1):
+            here += np.bincount(ids[:, f], minlength=size)
+            seen += np.bincount(ids[:, f], weights=tags, minlength=size)
         np.add.at(moved, (tags[:-1], tags[1:]), 1)
-        first += float(tags[0]) if len(tags) else 0.0
-    here = sum((np.bincount(ids, minlength=size) for ids, _ in segments), np.zeros(size))
-    theta[:size] = np.log((seen + 0.1) / (here - seen + 1.0))
+        first += float(tags[0])
+    theta[:size] = np.log((seen + 0.1) / (here - seen + 1.0)) / 2
     theta[:size][here == 0] = theta[OTHER]
     anchor, mean, var = theta.copy(), 0.0, 0.0
     for r in range(1, rounds + 1):
         weight, step, start = theta[:size], theta[size : size + 4].reshape(2, 2), theta[size + 4]
         grad_w, grad_t, grad_s = seen.copy(), moved.copy(), first
-        for ids, lengths in blocks:
-            p, moves, _ = forward_backward(weight[ids], lengths, step, start)
-            live = lengths[None, :] > np.arange(len(ids))[:, None]
-            grad_w -= np.bincount(ids[live], weights=p[live], minlength=size)
+        for features, lengths in blocks:
+            p, moves, _ = forward_backward(weight[features[0]] + weight[features[1]], lengths, step, start)
+            live = lengths[None, :] > np.arange(len(p))[:, None]
+            for ids in features:
+                grad_w -= np.bincount(ids[live], weights=p[live], minlength=size)
             grad_t -= moves
             grad_s -= float(p[0].sum())
         grad = np.concatenate([grad_w, grad_t.ravel(), [grad_s]]) - decay * (theta - anchor)
@@ -153,14 +163,14 @@ def fit_blend(x: np.ndarray, y: np.ndarray, decay: float = 1e-2) -> np.ndarray:
     return w
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: int = 4096, max_segments: int = 6000, segment: int = 128, min_docs: int = 5, min_contexts: int = 8) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: int = 8192, max_segments: int = 6000, segment: int = 128, min_docs: int = 5, min_contexts: int = 8, purity: int = 8) -> Model:
     """Fit on a bounded sample: the max_docs labelled documents, not held out, with the smallest hash.
 
-    Document labels are turned into token tags: a word that stands in at least min_docs toxic
-    sample documents, in more toxic than clean ones, and there after at least min_contexts
-    different words (copies of one document have one), is tagged where it stands in a toxic
+    Document labels are turned into token tags: a word or stem that stands in at least min_docs
+    toxic sample documents, in `purity` times as many as clean ones, and there after at least
+    min_contexts different words (copies of one document have one), is tagged where it stands in a toxic
     document. The field is fitted on at most max_segments runs of `segment` tokens, tagged and
-    untagged in halves, over the max_words words that most documents of the sample have. Words
+    untagged in halves, over the max_words words and stems that most documents of the sample have. Words
     are counted on the executors; only bounded tables reach the driver.
     """
     chosen = (
@@ -180,8 +190,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
             rows = []
             for x, t in zip(b["text"], b["toxic"], strict=True):
                 words = tokens(x)
-                rows += [(w, None, t) for w in set(words)]
-                rows += [(w, before, 1) for before, w in set(zip(["", *words], words, strict=False))] if t == 1 else []
+                rows += [(w, None, t) for w in {*words, *map(stem, words)} - {""}]
+                if t == 1:
+                    pairs = set(zip(["", *words], words, strict=False))
+                    rows += [(w, before, 1) for before, w in pairs | {(before, stem(w)) for before, w in pairs} if w]
             yield pd.DataFrame(rows, columns=["word", "before", "toxic"])
 
     counts = (
@@ -193,7 +205,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
             F.count_distinct("before").alias("contexts"),
         )
         .where(F.col("bad") + F.col("good") >= min_docs)
-        .withColumn("seed", (F.col("bad") >= min_docs) & (F.col("bad") > F.col("good")) & (F.col("contexts") >= min_contexts))
+        .withColumn("seed", (F.col("bad") >= min_docs) & (F.col("bad") >= purity * F.col("good")) & (F.col("contexts") >= min_contexts))
         .orderBy(F.desc("seed"), F.desc(F.col("bad") + F.col("good")), "word")
         .limit(max_words)
     )
@@ -210,7 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
                 ids = plain.ids(x)
                 for lo in range(0, len(ids), segment):
                     part = ids[lo : lo + segment]
-                    rows.append((d, lo, part.tolist(), bool(t == 1 and seeds[part].any()), int(t)))
+                    rows.append((d, lo, part.ravel().tolist(), bool(t == 1 and seeds[part].any()), int(t)))
             yield pd.DataFrame(rows, columns=["doc_id", "lo", "ids", "tagged", "toxic"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
@@ -223,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
         .select("ids", "toxic")
         .toPandas()
     )
-    segments = [(ids := np.asarray(i, np.int32), (seeds[ids] & (t == 1)).astype(np.int64)) for i, t in zip(parts["ids"], parts["toxic"], strict=True)]
+    segments = [(ids := np.asarray(i, np.int32).reshape(-1, 2), (seeds[ids].any(axis=1) & (t == 1)).astype(np.int64)) for i, t in zip(parts["ids"], parts["toxic"], strict=True)]
     weight, step, start = fit_field(segments, len(words) + 1)
     field = Model(words, weight, step, start, np.zeros(3))
 
