@@ -118,6 +118,8 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
     out = docs.drop("n_lines", "n_removed").withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
+    # Not broadcast even where it is small, so that the plan is one at every size.
+    gone = gone.hint("merge")
     out = out.join(gone, out["doc_id"].eqNullSafe(gone["__doc"]) & (out["__at"] == gone["__th"]), "left")
     # The lambda reads joined columns only: a computed one would be computed again for each line.
     kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(__gone, i)), '\n')")
