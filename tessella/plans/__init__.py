@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from . import arrays, fingerprints, graphs, matrices, series, trees  # noqa: F401
+from ._registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
