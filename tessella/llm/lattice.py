@@ -27,56 +27,42 @@ def encode_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     """words (word, distinct, not null) plus ids, the best path's pieces.
 
     Each word's substrings of bounded length are exploded and equi-joined to the piece table (a
-    vocabulary file's rows, broadcast); the edges come back to their word without a shuffle, as
-    the rows are still dealt by word, and a fold over the ends runs Viterbi: among edges to one
-    end the earliest start wins a tie, and a character without a piece of its own is spelled in
-    bytes. Edges are linear in a word's length.
+    vocabulary file's rows, broadcast); a single character without a piece stays as an edge at
+    the unknown score. The edges come back to their end, and the ends to their word, without a
+    shuffle, as the rows are still dealt by word; a fold over the ends runs Viterbi. Edges are
+    linear in a word's length.
     """
     table = F.broadcast(piece_table(words.sparkSession, pieces))
     spots = words.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
     lengths = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.length("word") - F.col("start") + 1))
     subs = spots.select("word", "start", F.explode(lengths).alias("len")).withColumn("piece", F.expr("substring(word, start, len)"))
-    edges = subs.join(table, "piece").select("word", (F.col("start") + F.col("len") - 1).alias("end"), "start", "id", "score")
-    grouped = edges.groupBy("word").agg(F.collect_list(F.struct("end", "start", "id", "score")).alias("edges"))
-    out = words.join(grouped, "word", "left")
-    out = out.withColumn("path", _best_path(pieces.unknown)).drop("edges").withColumn("walk", _walk())
+    edges = subs.join(table, "piece", "left").where("id is not null or len = 1")
+    edge = F.struct("start", F.coalesce("id", F.lit(-1)).alias("id"), F.coalesce("score", F.lit(pieces.unknown)).alias("score"))
+    ends = edges.groupBy("word", (F.col("start") + F.col("len") - 1).alias("end")).agg(F.collect_list(edge).alias("edges"))
+    grouped = ends.groupBy("word").agg(F.sort_array(F.collect_list(F.struct("end", "edges"))).alias("ends"))
+    out = words.join(grouped, "word").withColumn("path", _best_path()).drop("ends").withColumn("walk", _walk())
     return out.select(*words.columns, _spelled(pieces).alias("ids"))
 
 
-def _best_path(unknown: float) -> Column:
-    """Folds the edges, by end and then start, into the best last piece and its start for each end.
+def _best_path() -> Column:
+    """Folds the ends, in order, into the least cost, last piece and its start for each.
 
-    After the edges to an end comes a mark that closes it: it appends the best score, or the
-    score of spelling the last character in bytes (id -1) where no one-character piece fits.
+    Costs are negated scores, so the least (cost, start) is the best score and, among equals, the
+    earliest start; a character spelled in bytes (id -1) starts last and so wins no tie.
     """
-    kind = "array<struct<end:int,start:int,id:int,score:double>>"
-    mark = lambda e: F.struct(e.cast("int").alias("end"), F.lit(1 << 30).alias("start"), F.lit(-1).alias("id"), F.lit(0.0).alias("score"))
-    marks = F.transform(F.sequence(F.lit(1), F.length("word")), mark)
-    steps = F.sort_array(F.concat(F.coalesce("edges", F.array().cast(kind)), marks))
-    fresh = [F.lit(None).cast("double").alias("top"), F.lit(0).alias("src"), F.lit(-1).alias("id"), F.lit(False).alias("single")]
-    zero = F.struct(F.array(F.lit(0.0)).alias("best"), F.array(F.lit(0)).alias("back"), F.array(F.lit(-1)).alias("piece"), *fresh)
+    zero = F.struct(F.array(F.lit(0.0)).alias("cost"), F.array(F.lit(0)).alias("back"), F.array(F.lit(-1)).alias("piece"))
 
     def step(a: Column, e: Column) -> Column:
-        score = F.get(a["best"], e["start"] - 1) + e["score"]
-        better = a["top"].isNull() | (score > a["top"])
-        spell = F.get(a["best"], e["end"] - 1) + F.lit(unknown)
-        use = ~a["single"] & (a["top"].isNull() | (spell > a["top"]))
-        edge = F.struct(
-            *(a[c].alias(c) for c in ("best", "back", "piece")),
-            F.when(better, score).otherwise(a["top"]).alias("top"),
-            F.when(better, e["start"] - 1).otherwise(a["src"]).alias("src"),
-            F.when(better, e["id"]).otherwise(a["id"]).alias("id"),
-            (a["single"] | (e["start"] == e["end"])).alias("single"),
+        costs = F.transform(e["edges"], lambda x: F.struct((F.get(a["cost"], x["start"] - 1) - x["score"]).alias("cost"), x["start"].alias("start"), x["id"].alias("id")))
+        added = lambda b: F.struct(
+            F.array_append(a["cost"], b["cost"]).alias("cost"),
+            F.array_append(a["back"], b["start"] - 1).alias("back"),
+            F.array_append(a["piece"], b["id"]).alias("piece"),
         )
-        close = F.struct(
-            F.array_append(a["best"], F.when(use, spell).otherwise(a["top"])).alias("best"),
-            F.array_append(a["back"], F.when(use, e["end"] - 1).otherwise(a["src"])).alias("back"),
-            F.array_append(a["piece"], F.when(use, F.lit(-1)).otherwise(a["id"])).alias("piece"),
-            *fresh,
-        )
-        return F.when(e["id"] >= 0, edge).otherwise(close)
+        # The inner fold names the best edge, so that it is found once.
+        return F.aggregate(F.array(F.lit(0)), F.array_min(costs), lambda b, _: b, added)
 
-    return F.aggregate(steps, zero, step, lambda a: F.struct(a["piece"].alias("piece"), a["back"].alias("back")))
+    return F.aggregate("ends", zero, step, lambda a: F.struct(a["piece"].alias("piece"), a["back"].alias("back")))
 
 
 def _walk() -> Column:
