@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, fingerprints, graphs, matrices, series, trees  # noqa: F401
+from . import arrays, fingerprints, graphs, learned, matrices, series, trees  # noqa: F401
 from ._registry import QUERIES, SQL
 
 
