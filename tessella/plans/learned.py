@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning
+from ..operators import learning, recognition
 from ._registry import FP2, INT8, first_row, ham, lane, prints, query, signed8, table
 from .fingerprints import _LANES, _lanes
 
@@ -66,3 +67,28 @@ def binding_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir, 1, 32)
     x, y, z = (list(r.fp) for r in df.where("vec_id < 3").orderBy("vec_id").collect())
     return learning.binding_cube(spark, x, y, z, 8, 32)
+
+
+def _templates(spark: SparkSession, sf_dir: str) -> np.ndarray:
+    """A class's template: its vector of least id."""
+    rows = signed8(spark, sf_dir).groupBy("label").agg(F.min_by("v", "vec_id").alias("v")).orderBy("label").collect()
+    return np.array([r.v for r in rows], float)
+
+
+@query()
+def sign_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes = recognition.uniform_planes(64, 256, 42)
+    return recognition.project(table(spark, sf_dir, "embeddings"), planes, "vec_id", "embedding", msb_first=True)
+
+
+@query()
+def recognize_orthogonal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognition.recognize_orthogonal(signed8(spark, sf_dir), _templates(spark, sf_dir), "vec_id", "v")
+
+
+@query()
+def recognize_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planes, templates = recognition.gaussian_planes(64, 512, 7), _templates(spark, sf_dir)
+    prints_ = recognition.project(signed8(spark, sf_dir), planes, "vec_id", "v", msb_first=True)
+    codes = [np.packbits(t.astype(np.float32) @ planes >= 0).tobytes() for t in templates]
+    return recognition.recognize_hamming(prints_, codes)
