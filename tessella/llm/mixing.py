@@ -24,8 +24,8 @@ def _rank(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
-def budgets(leaves: DataFrame, total: Column, levels: tuple[str, ...] = LEVELS, weights: DataFrame | None = None, max_epochs: int = 2) -> DataFrame:
-    """leaves (levels..., tokens) plus weight, cap and budget, whole tokens.
+def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, weights: DataFrame | None = None, max_epochs: int = 2) -> DataFrame:
+    """leaves (levels..., tokens) plus cap and budget, whole tokens; total is at most all caps.
 
     A node's capacity is max_epochs times its tokens. From the root down, a node's budget is dealt
     to its children by weight; a child that cannot use its share gives the rest to its siblings
@@ -33,9 +33,7 @@ def budgets(leaves: DataFrame, total: Column, levels: tuple[str, ...] = LEVELS,
     whole subtree cannot use was dealt to its ancestors' siblings one level up. weights:
     (level int, name, weight) for nodes by name, 1 where it has none or a null.
     """
-    out = leaves.withColumn("cap", F.col("tokens") * max_epochs).withColumn("budget", total)
-    everything = out.agg(F.sum("cap")).alias("x")
-    out = out.crossJoin(F.broadcast(everything.toDF("all_cap"))).withColumn("budget", F.least("budget", "all_cap")).drop("all_cap")
+    out = leaves.withColumn("cap", F.col("tokens") * max_epochs).withColumn("budget", F.lit(total).cast("long"))
     for depth, level in enumerate(levels):
         path, parent = list(levels[: depth + 1]), list(levels[:depth])
         nodes = out.groupBy(*path).agg(F.sum("cap").alias("node_cap"), F.min("budget").alias("given"))
@@ -83,7 +81,7 @@ def plan(
     rows = materialize(tree(docs).select("doc_id", *keys, "__tokens"), "mix-rows")
     leaves = materialize(rows.groupBy(*keys).agg(F.sum("__tokens").alias("tokens")), "mix-leaves")
     everything = leaves.agg(F.sum("tokens")).first()[0] or 0
-    dealt = budgets(leaves, F.lit(int(everything * fraction)).cast("long"), LEVELS, weights, max_epochs)
+    dealt = budgets(leaves, min(int(everything * fraction), max_epochs * everything), LEVELS, weights, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
     dealt = dealt.withColumn("whole", whole).select(*keys, "budget", "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("remain"))
     dealt = materialize(dealt, "mix-budgets")
