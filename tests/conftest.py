@@ -1,6 +1,12 @@
+import os
+from pathlib import Path
+
 import pytest
 from pyspark.sql import SparkSession
 
+# Python workers import the package too.
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [str(Path(__file__).parents[1]), os.environ.get("PYTHONPATH")]))
+
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
