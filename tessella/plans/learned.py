@@ -6,7 +6,8 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learning, recognition
+from ..functions import qualia
+from ..operators import learning, recognition, waves
 from ._registry import FP2, INT8, first_row, ham, lane, prints, query, signed8, table
 from .fingerprints import _LANES, _lanes
 
@@ -92,3 +93,22 @@ def recognize_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints_ = recognition.project(signed8(spark, sf_dir), planes, "vec_id", "v", msb_first=True)
     codes = [np.packbits(t.astype(np.float32) @ planes >= 0).tobytes() for t in templates]
     return recognition.recognize_hamming(prints_, codes)
+
+
+@query("WITH e AS (SELECT vec_id, list_transform(list_slice(embedding, 1, 16), lambda x: x::DOUBLE) AS x FROM embeddings), m AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) AS t FROM e) SELECT vec_id, list_transform(x, lambda v: CAST(round(v * 127 / t) AS INTEGER)) AS resonance, round(t / 127, 8)::DOUBLE AS magnitude FROM m")
+def qualia_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"))
+    p = e.withColumn("p", qualia.compress("x"))
+    return p.select("vec_id", "p.resonance", F.round("p.magnitude", 8).alias("magnitude"))
+
+
+@query("WITH b AS (SELECT i, min(v) AS lo, max(v) AS hi FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings) WHERE i < 4 GROUP BY i), x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, list(CAST(least(15, greatest(0, round((v - lo) / (hi - lo) * 15))) AS INTEGER) ORDER BY i) AS nib FROM x JOIN b USING (i) GROUP BY vec_id")
+def nibble_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qualia.nibbles(table(spark, sf_dir, "embeddings"), "embedding", 4).select("vec_id", "nib")
+
+
+@query()
+def carrier_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three carriers written into empty containers and read back."""
+    empty = table(spark, sf_dir, "embeddings").select("vec_id", F.array_repeat(F.lit(0), waves.SAMPLES).alias("c"))
+    return waves.read(waves.write(empty, "vec_id", "c", [(3, 0.5, 7.0), (7, 2.0, 5.0), (9, 4.0, 3.0)]), "id", "container")
