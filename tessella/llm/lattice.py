@@ -94,8 +94,11 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = 65_536) -> DataFrame
     each. The `frequent` most frequent ones, a bounded table, are broadcast, so hot words are never
     shuffled; occurrences of the others meet their ids by a shuffle on the word. What a task has
     of a document is gathered before it is dealt by document. A null or empty text has no ids.
-    Rows that repeat doc_id and text are encoded alike and stay as many as they are.
+    Rows that repeat doc_id and text are encoded alike and stay as many as they are. A text may
+    have 2^25 words (over 32 MB of text) and a word 2^18 pieces.
     """
+    if max(i for _, i, _ in pieces.rows) >= 1 << 20:
+        raise ValueError("ids need over 20 bits")
     seen = _occurrences(docs)
     words = seen.where("word is not null").groupBy("word").agg(F.count("*").alias("n"))
     known = materialize(encode_words(words, pieces), "lattice-words")
@@ -103,13 +106,14 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = 65_536) -> DataFrame
     first = seen.join(F.broadcast(top), "word", "left")
     hot = first.where("word is null or ids is not null").select("doc_id", "th", "pos", "ids")
     cold = seen.where("word is not null").join(F.broadcast(top.select("word")), "word", "left_anti").join(known.select("word", "ids"), "word").select("doc_id", "th", "pos", "ids")
-    parts = F.array_sort(F.collect_list(F.struct(F.coalesce("pos", F.lit(0)).alias("pos"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))))
-    whole = hot.unionByName(cold).groupBy("doc_id", "th").agg(parts.alias("parts"))
-    copies = F.size(F.filter("parts", lambda p: p["pos"] == 0))
-    whole = whole.withColumn("copies", copies)
-    ids = F.flatten(F.transform(F.filter("parts", lambda p, i: i % F.col("copies") == 0), lambda p: p["ids"]))
-    whole = whole.select("doc_id", "th", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
-    return whole.drop("copy")
+    # A piece is one long, in order of (word, place in the word): flat arrays are shuffled and sorted.
+    place = lambda i, k: F.coalesce("pos", F.lit(0)).cast("long") * (1 << 38) + k.cast("long") * (1 << 20) + i
+    both = hot.unionByName(cold).select("doc_id", "th", F.coalesce("pos", F.lit(0)).alias("at"), F.transform("ids", place).alias("packed"))
+    whole = both.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("packed")).alias("all"), F.count_if(F.col("at") == 0).cast("int").alias("copies"))
+    whole = whole.select("doc_id", "th", "copies", F.sort_array("all").alias("sorted"))
+    once = F.when(F.col("copies") == 1, F.col("sorted")).otherwise(F.filter("sorted", lambda x, i: i % F.col("copies") == 0))
+    ids = F.transform(once, lambda x: (x % (1 << 20)).cast("int"))
+    return whole.select("doc_id", "th", ids.alias("ids"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).drop("copy")
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
