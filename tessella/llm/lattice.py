@@ -94,8 +94,8 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = 65_536) -> DataFrame
     each. The `frequent` most frequent ones, a bounded table, are broadcast, so hot words are never
     shuffled; occurrences of the others meet their ids by a shuffle on the word. What a task has
     of a document is gathered before it is dealt by document. A null or empty text has no ids.
-    Rows that repeat doc_id and text are encoded alike and stay as many as they are. A text may
-    have 2^25 words (over 32 MB of text) and a word 2^18 pieces.
+    Rows that repeat doc_id and text are encoded alike and stay as many as they are. A text of
+    over 2^22 words, or a word of over 2^21 pieces, raises.
     """
     if max(i for _, i, _ in pieces.rows) >= 1 << 20:
         raise ValueError("ids need over 20 bits")
@@ -107,8 +107,10 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = 65_536) -> DataFrame
     hot = first.where("word is null or ids is not null").select("doc_id", "th", "pos", "ids")
     cold = seen.where("word is not null").join(F.broadcast(top.select("word")), "word", "left_anti").join(known.select("word", "ids"), "word").select("doc_id", "th", "pos", "ids")
     # A piece is one long, in order of (word, place in the word): flat arrays are shuffled and sorted.
-    place = lambda i, k: F.coalesce("pos", F.lit(0)).cast("long") * (1 << 38) + k.cast("long") * (1 << 20) + i
-    both = hot.unionByName(cold).select("doc_id", "th", F.coalesce("pos", F.lit(0)).alias("at"), F.transform("ids", place).alias("packed"))
+    place = lambda i, k: F.coalesce("pos", F.lit(0)).cast("long") * (1 << 41) + k.cast("long") * (1 << 20) + i
+    fits = (F.coalesce("pos", F.lit(0)) < 1 << 22) & (F.coalesce(F.size("ids"), F.lit(0)) < 1 << 21)
+    at = F.when(fits, F.coalesce("pos", F.lit(0))).otherwise(F.raise_error(F.lit("a text of over 2^22 words, or a word of over 2^21 pieces")))
+    both = hot.unionByName(cold).select("doc_id", "th", at.alias("at"), F.transform("ids", place).alias("packed"))
     whole = both.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("packed")).alias("all"), F.count_if(F.col("at") == 0).cast("int").alias("copies"))
     whole = whole.select("doc_id", "th", "copies", F.sort_array("all").alias("sorted"))
     once = F.when(F.col("copies") == 1, F.col("sorted")).otherwise(F.filter("sorted", lambda x, i: i % F.col("copies") == 0))
