@@ -11,13 +11,12 @@ def long_form(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return df.select(F.col(id_col).alias("i"), F.posexplode(vector).alias("j", "v")).withColumn("v", F.col("v").cast("double"))
 
 
-def column_stats(df: DataFrame, vector: str, n: int) -> DataFrame:
-    """(j, mean, min, max, var, std) over the rows for each of n positions: one pass, n sets of
-    partial sums, no explode."""
-    v = lambda j: F.col(vector)[j].cast("double")
-    one = lambda j: F.struct(F.lit(j).alias("j"), F.avg(v(j)).alias("mean"), F.min(v(j)).alias("min"), F.max(v(j)).alias("max"), F.var_pop(v(j)).alias("var"), F.stddev_pop(v(j)).alias("std"))
-    row = df.agg(*(one(j).alias(f"c{j}") for j in range(n)))
-    return row.select(F.inline(F.array(*(F.col(f"c{j}") for j in range(n)))))
+def column_stats(df: DataFrame, vector: str) -> DataFrame:
+    """(j, mean, min, max, var, std) over the rows for each position: summed by position before the
+    shuffle, so a task sends one row for each."""
+    v = F.col("v").cast("double")
+    long = df.select(F.posexplode(vector).alias("j", "v"))
+    return long.groupBy("j").agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.var_pop(v).alias("var"), F.stddev_pop(v).alias("std"))
 
 
 def first_extreme(df: DataFrame, by: list[str], id_col: str, value: str, largest: bool = True) -> DataFrame:

@@ -58,7 +58,7 @@ def row_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH e AS (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS j FROM embeddings) SELECT CAST(j AS INTEGER) AS j, round(avg(v), 5)::DOUBLE AS mean, min(v) AS low, max(v) AS high, round(var_pop(v), 5)::DOUBLE AS var, round(stddev_pop(v), 5)::DOUBLE AS std FROM e GROUP BY j")
 def axis_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = stats.column_stats(table(spark, sf_dir, "embeddings"), "embedding", 64)
+    s = stats.column_stats(table(spark, sf_dir, "embeddings"), "embedding")
     return s.select("j", F.round("mean", 5).alias("mean"), F.col("min").alias("low"), F.col("max").alias("high"), F.round("var", 5).alias("var"), F.round("std", 5).alias("std"))
 
 
