@@ -24,8 +24,8 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
-    return simhash.keep_one(docs)
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 and more) the document with the smallest doc_id stays."""
+    return simhash.keep_one(docs, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

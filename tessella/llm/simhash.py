@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ._shared import materialize
 from .components import connected_components
+from .nearcopies import similar_sets
 
 BITS = 64
 
@@ -33,15 +34,15 @@ def simhash(text: str | None, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp holds the 64 bits as a signed long. Map only; a null text counts as empty."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, th, fp): th is the text's hash, fp holds the 64 bits as a signed long. Map only; a null text counts as empty."""
+    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([simhash(x.as_py(), shingle) for x in b.column(1)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp long")
+    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def _block_keys(distance: int, blocks: int) -> tuple[list[int], list[int]]:
@@ -116,9 +117,9 @@ def near_duplicates(
 ) -> DataFrame:
     """Each row's fingerprint and component.
 
-    Returns (doc_id, fp long, fingerprint string of 16 hex digits, component_id), one row per
-    input row. component_id is the smallest doc_id reachable over links of at most `distance`
-    differing bits, itself included. Null and empty texts have fingerprint zero and are linked
+    Returns (doc_id, th long, fp long, fingerprint string of 16 hex digits, component_id), one row
+    per input row; th is the text's hash. component_id is the smallest doc_id reachable over links
+    of at most `distance` differing bits, itself included. Null and empty texts have fingerprint zero and are linked
     like any other; repeated rows stay; an empty table gives an empty result; other columns of
     docs are ignored. A null doc_id is never a component's name unless all its members are null.
     """
@@ -129,14 +130,37 @@ def near_duplicates(
     rooted = by_fp.join(nodes.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(names, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints.join(named, "fp").select("doc_id", "th", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8) -> DataFrame:
+    """(doc_id, th, component_id) as near_duplicates, but two texts are linked if their 5-word
+    shingles have at least that Jaccard similarity.
+
+    Close fingerprints are candidates, and so are texts that share a band of minima (nearcopies):
+    at 0.8 and 5-word shingles fingerprints differ by about ten bits, too many for blocks alone.
+    Texts without a word are alike.
+    """
+    prints = materialize(fingerprints(docs, id_col, text_col), "simhash-fps")
+    close = materialize(close_pairs(materialize(prints.select("fp").distinct(), "simhash-distinct")), "simhash-links")
+    texts = docs.select(F.xxhash64(text_col).alias("th"), F.col(text_col).alias("text"))
+    keys, links = similar_sets(texts, similarity, prints, close)
+    firsts = prints.groupBy("th").agg(F.min("doc_id").alias("first")).join(keys, "th")
+    rooted = firsts.join(connected_components(links).select(F.col("node").alias("key"), "root"), "key", "left")
+    rooted = materialize(rooted.select("th", "first", F.coalesce("root", "key").alias("root")), "simhash-rooted")
+    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    return prints.join(rooted.join(names, "root").select("th", "component_id"), "th").select("doc_id", "th", "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **how: int) -> DataFrame:
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
-    Rows that repeat that doc_id stay as they are; rows without doc_id stay.
+    Components are those of near_copies if similarity is given, else of near_duplicates. Rows that
+    repeat that doc_id stay as they are; rows without doc_id stay.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    if similarity is None:
+        found = near_duplicates(docs, id_col, text_col, **how)
+    else:
+        found = near_copies(docs, id_col, text_col, similarity)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
