@@ -156,11 +156,12 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """docs without near-duplicates: of each component the row with the smallest doc_id stays.
 
     Components are those of near_copies if similarity is given, else of near_duplicates. Rows that
-    repeat that doc_id stay as they are; rows without doc_id stay.
+    repeat that doc_id stay as they are; rows without doc_id stay. A doc_id that stands on several
+    texts loses only the rows whose own text is a later copy.
     """
     if similarity is None:
         found = near_duplicates(docs, id_col, text_col, **how)
     else:
         found = near_copies(docs, id_col, text_col, similarity)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("__gone"), F.col("th").alias("__th")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("__gone")) & (F.xxhash64(text_col) == F.col("__th")), "left_anti")

@@ -80,3 +80,9 @@ def test_long_chain_has_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(300, 301), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(201)}, 300: 300, 301: 300}
+
+
+@pytest.mark.parametrize("how", [{}, {"similarity": 0.8}])
+def test_repeated_id_on_two_texts_loses_only_the_copy(spark, how):
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (2, "q r s t u v")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in simhash.keep_one(docs, **how).collect()) == [(1, "a b c d e f"), (2, "q r s t u v")]
