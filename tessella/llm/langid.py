@@ -35,20 +35,30 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Dictionaries from documents that are not held out and have text and lang.
 
     The sample is bounded: of each of the max_langs most frequent languages the docs_per_lang
-    documents of at most max_chars characters with the smallest hash. Their lines that no other
-    of these has (so no notices that all languages share) are joined and cut at dict_bytes. The
-    window keeps that many rows of each partition before it shuffles.
+    different texts of 40 to max_chars characters with the smallest hash (of other lengths, by
+    their first max_chars characters, where a language has no such text). Their lines that no
+    other of these has (so no notices that all languages share) are joined and cut at dict_bytes.
+    Equal texts are one hash before the window, which keeps that many rows of each partition
+    before it shuffles.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()
-    order = Window.partitionBy("lang").orderBy("at", "text")
-    sample = (
-        rows.where(F.length("text").between(40, max_chars))
-        .withColumn("at", F.xxhash64("text"))
-        .withColumn("n", F.row_number().over(order))
+    names = [r.lang for r in counts]
+    texts = rows.where(F.col("lang").isin(names)).withColumn("at", F.xxhash64("text"))
+    different = texts.groupBy("lang", "at").agg(F.min(~F.length("text").between(40, max_chars)).alias("other"))
+    taken = (
+        different.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("other", "at")))
         .where(F.col("n") <= docs_per_lang)
+        .withColumn("least", F.min("other").over(Window.partitionBy("lang")))
+        .where("other = least")
+    )
+    # At most max_langs * docs_per_lang rows of numbers; only their texts are grouped.
+    sample = (
+        texts.join(F.broadcast(taken.select("lang", "at", "n")), ["lang", "at"])
+        .groupBy("lang", "n")
+        .agg(F.min(F.left("text", F.lit(max_chars))).alias("text"))
         .select("lang", "n", F.posexplode(F.split("text", "\n")).alias("k", "line"))
     )
     own = sample.groupBy("line").agg(F.count("*").alias("times"), F.min(F.struct("lang", "n", "k")).alias("at")).where("times = 1")
@@ -57,9 +67,8 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         .agg(F.array_sort(F.collect_list(F.struct("at.n", "at.k", "line"))).alias("all"))
         .select("lang", F.expr(f"left(concat_ws(' ', all.line), {2 * dict_bytes})").alias("text"))
     )
-    texts = {r.lang: letters(r.text).encode("utf-8")[:dict_bytes] for r in joined.collect()}
-    names = tuple(r.lang for r in counts)
-    return Languages(names, tuple(texts.get(n, b"") for n in names))
+    found = {r.lang: letters(r.text).encode("utf-8")[:dict_bytes] for r in joined.collect()}
+    return Languages(tuple(names), tuple(found.get(n, b"") for n in names))
 
 
 class Classifier:

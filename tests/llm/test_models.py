@@ -42,6 +42,19 @@ def test_language(spark):
     assert {r.lang_best for r in nothing.collect()} == {"und"}
 
 
+def test_language_sample_of_copies_and_odd_lengths(spark):
+    rng = random.Random(3)
+    ids = [i for i in range(3000) if not held(i)]
+    text = lambda lang, n: " ".join(word(rng, lang) for _ in range(n))
+    few = [text("aa", 40) for _ in range(12)]
+    # Every text of aa stands 150 times, bb has short texts only, cc long ones only.
+    rows = [(ids[k], few[k % 12], "aa") for k in range(1800)] + [(ids[1800 + k], text("bb", 4), "bb") for k in range(30)] + [(ids[1900 + k], text("cc", 2500), "cc") for k in range(20)]
+    assert all(len(t) < 40 if c == "bb" else len(t) > 4000 for _, t, c in rows if c != "aa")
+    learned = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    by = dict(zip(learned.names, learned.texts, strict=True))
+    assert all(langid.letters(t).encode() in by["aa"] for t in few) and len(by["bb"]) > 200 and len(by["cc"]) > 4000
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     bad, rows, labels = ["vile", "rotten", "snarlo", "snarlix", "snarlum"], [], []
