@@ -6,6 +6,8 @@ contract and no approximate stage drops a row that it would keep.
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,14 +92,32 @@ def sweep_then_rank(df: DataFrame, query: dict[str, list[int]], limits: dict[str
     return cascade(df, query, limits).withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def similar_pairs(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col: str = "vec_id") -> DataFrame:
-    """All pairs (a, b), a < b, nearer than `limit` bits, with d.
+def block_masks(distance: int, words: int, width: int = 32) -> list[list[int]]:
+    """One mask (a signed long for each word) for each choice of blocks that a pair at most `distance` bits apart may share.
+
+    The changed bits touch at most `distance` blocks, so of distance + 3 blocks three are equal.
+    """
+    bits_all = words * width
+    shared = max(0, min(3, bits_all - distance))
+    blocks = max(1, distance + shared)
+    cuts = [bits_all * i // blocks for i in range(blocks + 1)]
+    whole = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(cuts, cuts[1:], strict=False)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    return [[signed(sum(c) >> (width * w) & ((1 << width) - 1)) for w in range(words)] for c in combinations(whole, shared)]
+
+
+def similar_pairs(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col: str = "vec_id", width: int = 32) -> DataFrame:
+    """All pairs (a, b), a < b, nearer than `limit` bits, with d; fp holds words of `width` bits.
 
-    A pivot's distance cuts the table into bands of `limit`: by the triangle inequality such pairs
-    stand in one band or neighbouring ones, so each row meets three bands and not the whole table.
+    Distinct fingerprints meet where they share three blocks (block_masks), and each meeting is
+    verified; rows with one fingerprint are paired by it afterwards.
     """
-    pivot = bits.literal([0] * words)
-    rows = df.select(F.col(id_col).alias("id"), F.col(fp).alias("fp")).withColumn("band", F.floor(bits.hamming("fp", pivot, words) / limit))
-    left = rows.select(F.col("id").alias("a"), F.col("fp").alias("fa"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    right = rows.select(F.col("id").alias("b"), F.col("fp").alias("fb"), "band")
-    return left.join(right, "band").where("a < b").withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("a", "b", "d")
+    rows = df.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    one = rows.where("fp IS NOT NULL").select("fp").distinct()
+    masked = lambda m: F.array(*(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
+    cut = one.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), masked(m).alias("block")) for k, m in enumerate(block_masks(limit - 1, words, width))))))
+    met = cut.withColumnRenamed("fp", "fa").join(cut.withColumnRenamed("fp", "fb"), ["k", "block"]).where("fa < fb")
+    near = met.withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("fa", "fb", "d").distinct()
+    same = one.select(F.col("fp").alias("fa"), F.col("fp").alias("fb")).withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit)
+    pairs = near.unionByName(same).join(rows.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(rows.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
+    return pairs.where("CASE WHEN fa = fb THEN x < y ELSE x <> y END").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")
