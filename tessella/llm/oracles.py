@@ -90,7 +90,7 @@ base AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(array_to_str
   FROM docs JOIN words USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
 tokens AS (SELECT doc_id, lang, word FROM (SELECT doc_id, lang, unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) AS word FROM docs) WHERE word <> ''),
 totals AS (SELECT lang, count(*) AS n_tokens FROM tokens GROUP BY lang),
-best AS (SELECT lang, word, n / n_tokens AS q FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k FROM tokens WHERE len(word) <= 5 GROUP BY lang, word) JOIN totals USING (lang) WHERE k <= 30),
+best AS (SELECT lang, word, n / n_tokens AS q FROM (SELECT lang, word, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, word) AS k FROM tokens GROUP BY lang, word) JOIN totals USING (lang) WHERE k <= 30),
 sizes AS (SELECT doc_id, lang, count(*) AS n FROM tokens GROUP BY ALL),
 hist AS (SELECT doc_id, word, count(*) AS n FROM tokens SEMI JOIN best USING (lang, word) GROUP BY ALL),
 pairs AS (SELECT s.doc_id, coalesce(h.n, 0) / s.n AS p, b.q AS q FROM sizes s JOIN best b USING (lang) LEFT JOIN hist h ON h.doc_id = s.doc_id AND h.word = b.word

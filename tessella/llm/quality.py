@@ -24,76 +24,84 @@ def _words(text: Column) -> Column:
 
 
 def with_counts(rows: DataFrame) -> DataFrame:
-    """rows (with text not null) plus n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
+    """rows (with text not null) plus classes, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words.
 
+    classes has the character counts by CLASSES, which have no character in common, and, last, of
+    all others; space and symbol are two of them, so word_chars and n_symbols need no other pass.
     All within a row, so any number of rows needs no shuffle. Repeated windows are found by
     sorting the hashes of a document's 3-word windows, never by comparing all of them.
     """
+    rows = rows.withColumn("r0", F.col("text"))
+    for i, (_, pattern) in enumerate(CLASSES):
+        rows = rows.withColumn(f"r{i + 1}", F.regexp_replace(f"r{i}", pattern, ""))
+    left = [F.length(f"r{i}").cast("long") for i in range(len(CLASSES) + 1)]
+    counts = [a - b for a, b in zip(left, left[1:], strict=False)] + left[-1:]
+    rows = rows.withColumn("classes", F.array(*counts)).drop(*(f"r{i}" for i in range(len(CLASSES) + 1)))
+    rows = rows.withColumn("words", _words(F.col("text")))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    rows = rows.withColumn("words", _words(F.col("text"))).withColumn("lines", lines)
-    rows = rows.withColumn("n_words", F.size("words").cast("long"))
+    rows = rows.withColumn("lines", F.when(F.contains("text", F.lit("\n")), lines))
     at = lambda i: F.get(F.col("words"), i)
     grams = F.transform(F.slice("words", 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.xxhash64(w, at(i + 1), at(i + 2)))
     rows = rows.withColumn("grams", grams).withColumn("again", F.size("grams") > F.size(F.array_distinct("grams")))
-    rows = rows.withColumn("sorted", F.when(F.col("again"), F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
-    other = lambda k: F.coalesce(F.get(F.col("sorted"), k)["g"], F.lit(None).cast("long"))
-    twice = F.filter("sorted", lambda e, k: F.coalesce((other(k - 1) == e["g"]), F.lit(False)) | F.coalesce((other(k + 1) == e["g"]), F.lit(False)))
-    rows = rows.withColumn("starts", F.sort_array(F.transform(twice, lambda e: e["i"])))
+    # Hashes that stand twice or more, from neighbours in order; then the places of those hashes. Few
+    # hashes are looked for in place, many by sorting hashes with places: the result is the same.
+    rows = rows.withColumn("sorted", F.when(F.col("again"), F.sort_array("grams")))
+    rows = rows.withColumn("dups", F.array_distinct(F.filter("sorted", lambda g, k: F.coalesce(F.get(F.col("sorted"), k + 1) == g, F.lit(False))))).drop("sorted")
+    few = F.filter(F.transform("grams", lambda g, i: F.when(F.array_contains("dups", g), i)), lambda i: i.isNotNull())
+    rows = rows.withColumn("placed", F.when(F.size("dups") > 32, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
+    other = lambda k: F.coalesce(F.get(F.col("placed"), k)["g"], F.lit(None).cast("long"))
+    twice = F.filter("placed", lambda e, k: F.coalesce((other(k - 1) == e["g"]), F.lit(False)) | F.coalesce((other(k + 1) == e["g"]), F.lit(False)))
+    many = F.sort_array(F.transform(twice, lambda e: e["i"]))
+    rows = rows.withColumn("starts", F.when(F.size("dups") > 32, many).when(F.col("again"), few))
     covered = F.aggregate(
         "starts",
         F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")),
         lambda a, p: F.struct((a["n"] + F.least(F.lit(3), p - a["last"])).alias("n"), p.alias("last")),
         lambda a: a["n"],
     )
+    kinds = [name for name, _ in CLASSES]
+    count = lambda name: F.element_at("classes", kinds.index(name) + 1)
     return (
-        rows.withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
-        .withColumn("word_chars", F.length(F.array_join("words", "")).cast("long"))
-        .withColumn("n_symbols", (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]+", ""))).cast("long"))
-        .withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-        .drop("words", "lines", "grams", "again", "sorted", "starts")
+        rows.withColumn("n_words", F.size("words").cast("long"))
+        .withColumn("n_repeat_words", F.when(F.col("again"), covered).otherwise(0).cast("long"))
+        .withColumn("word_chars", F.length("text").cast("long") - count("space"))
+        .withColumn("n_symbols", count("symbol"))
+        .withColumn("n_dup_lines", F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long"))
+        .drop("words", "lines", "grams", "again", "dups", "placed", "starts")
     )
 
 
-def with_classes(rows: DataFrame) -> DataFrame:
-    """rows plus classes, the array of character counts by CLASSES and, last, of all others."""
-    rows = rows.withColumn("r0", F.col("text"))
-    for i, (_, pattern) in enumerate(CLASSES):
-        rows = rows.withColumn(f"r{i + 1}", F.regexp_replace(f"r{i}", pattern, ""))
-    sizes = [F.length(f"r{i}").cast("long") for i in range(len(CLASSES) + 1)]
-    counts = [a - b for a, b in zip(sizes, sizes[1:], strict=False)] + sizes[-1:]
-    return rows.withColumn("classes", F.array(*counts)).drop(*(f"r{i}" for i in range(len(CLASSES) + 1)))
-
+def counted(docs: DataFrame) -> DataFrame:
+    """A row per row of docs, written once: doc_id, lang ('' for null), the counts, and letters, the
+    text's runs of letters in lower case joined by spaces, with n_tokens, their number.
+    """
+    rows = docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
+    letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    rows = with_counts(rows).withColumn("letters", letters).drop("text")
+    gaps = F.octet_length("letters") - F.octet_length(F.replace("letters", F.lit(" "), F.lit("")))
+    return materialize(rows.withColumn("n_tokens", F.when(F.col("letters") == "", 0).otherwise(gaps + 1).cast("long")), "quality-counts")
 
-def letter_words(text: Column) -> Column:
-    return F.split(F.lower(text), r"[^\p{L}]+")
 
+def references(rows: DataFrame, top: int = 30) -> DataFrame:
+    """For each language of counted rows, over all its documents: lang, words and word_p (its `top`
+    most frequent words and their shares of all words), class_p (shares of characters), ref_tokens.
 
-def references(docs: DataFrame, top: int = 30, max_letters: int = 5) -> DataFrame:
-    """For each language, over all its documents: lang, words and word_p (its `top` most frequent
-    words of at most max_letters letters and their shares of all words), class_p (shares of
-    characters), n_chars and n_tokens. Counted in full; sums are combined before each shuffle, so a
-    language with most of the rows is no hot task. A null language is one of its own, ''.
+    Counted in full; sums are combined before each shuffle, and each task passes on its `top` words
+    of a language only once they are summed, so a language with most of the rows is no hot task.
+    A null language is one of its own, ''. A language without words has no words.
     """
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tokens = rows.select("lang", F.explode(letter_words(F.col("text"))).alias("word")).where("word <> ''")
-    short = F.when(F.length("word") <= max_letters, F.col("word"))
-    counts = materialize(tokens.groupBy("lang", short.alias("word")).agg(F.count("*").alias("n")), "quality-words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n_tokens"))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    best = (
-        counts.where("word is not null")
-        .withColumn("k", F.row_number().over(order))
-        .where(F.col("k") <= top)
-        .join(totals, "lang")
-        .groupBy("lang", "n_tokens")
-        .agg(F.array_sort(F.collect_list(F.struct("k", "word", (F.col("n") / F.col("n_tokens")).alias("p")))).alias("all"))
-        .select("lang", "n_tokens", F.col("all.word").alias("words"), F.col("all.p").alias("word_p"))
-    )
     size = len(CLASSES) + 1
-    sums = with_classes(rows).groupBy("lang").agg(*(F.sum(F.element_at("classes", i + 1)).alias(f"c{i}") for i in range(size)))
+    sums = rows.groupBy("lang").agg(F.sum("n_tokens").alias("ref_tokens"), *(F.sum(F.element_at("classes", i + 1)).alias(f"c{i}") for i in range(size)))
     total = sum((F.col(f"c{i}") for i in range(size)), F.lit(0))
-    shares = sums.select("lang", total.alias("n_chars"), F.array(*(F.col(f"c{i}") / F.nullif(total, F.lit(0)) for i in range(size))).alias("class_p"))
-    return materialize(shares.join(best, "lang", "left"), "quality-refs")
+    shares = sums.select("lang", "ref_tokens", F.array(*(F.col(f"c{i}") / F.nullif(total, F.lit(0)) for i in range(size))).alias("class_p"))
+    tokens = rows.where("letters <> ''").select("lang", F.explode(F.split("letters", " ")).alias("word"))
+    counts = tokens.groupBy("lang", "word").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    best = counts.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top)
+    best = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("best"))
+    out = shares.join(best, "lang", "left")
+    part = F.transform("best", lambda e: e["n"] / F.col("ref_tokens"))
+    return materialize(out.select("lang", "ref_tokens", "class_p", F.col("best.word").alias("words"), part.alias("word_p")), "quality-refs")
 
 
 def _distance(pairs: Column) -> Column:
@@ -121,23 +129,29 @@ def judge(
     Guards: class_js needs min_chars characters, word_js min_tokens words, both a reference of
     min_ref_tokens words. kept is false if base_failed or a distance exceeds its limit. A null text
     is an empty one: all counts 0 and base_failed. An empty table gives an empty result; other
-    columns of docs are ignored. The references are a row for each language; they are broadcast
-    when counted to be few and joined by shuffle otherwise.
+    columns of docs are ignored, whatever their names. Each text is read once: the counts are
+    written, and the references and the verdicts are taken from them. The references are a row
+    for each language; they are broadcast when counted to be few and joined by shuffle otherwise,
+    with the same result.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("lang", F.lit("")).alias("lang"))
-    refs = references(docs) if refs is None else refs
-    rows = with_classes(with_counts(rows)).withColumn("tokens", F.filter(letter_words(F.col("text")), lambda x: x != "")).drop("text")
+    rows = counted(docs)
+    refs = references(rows) if refs is None else refs
     rows = rows.join(F.broadcast(refs) if fits_broadcast(refs, 5000) else refs, "lang", "left")
     n_chars = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    rows = rows.withColumn("chars", n_chars).withColumn("n_tokens_here", F.size("tokens"))
-    ready = F.col("n_tokens") >= min_ref_tokens
+    rows = rows.withColumn("chars", n_chars)
+    ready = F.col("ref_tokens") >= min_ref_tokens
     class_ready = ready & (F.col("chars") >= min_chars)
-    word_ready = ready & (F.col("n_tokens_here") >= min_tokens)
-    rows = rows.withColumn("common", F.when(word_ready, F.filter("tokens", lambda x: F.array_contains("words", x))))
-    rows = rows.withColumn("hist", F.transform("words", lambda w: F.size(F.filter("common", lambda x: x == w)) / F.col("n_tokens_here")))
+    word_ready = ready & (F.col("n_tokens") >= min_tokens)
+    # Each word with two spaces of its own, so that what taking " word " away saves is its count.
+    rows = rows.withColumn("spaced", F.when(word_ready, F.concat(F.lit(" "), F.replace("letters", F.lit(" "), F.lit("  ")), F.lit(" ")))).drop("letters")
+    spaces = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
+    times = lambda w: F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), spaces(w), F.lit("")))
+    rows = rows.withColumn("found", F.when(word_ready, F.transform("words", lambda w: (times(w) / (F.octet_length(w) + 2)).cast("long"))))
     pair = lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q"))
-    rest = pair(1.0 - F.size("common") / F.col("n_tokens_here"), F.greatest(F.lit(0.0), 1.0 - F.aggregate("word_p", F.lit(0.0), lambda a, x: a + x)))
-    word_js = F.when(word_ready, _distance(F.concat(F.zip_with("hist", "word_p", pair), F.array(rest))))
+    hist = F.zip_with("found", "word_p", lambda n, q: pair(n / F.col("n_tokens"), q))
+    all_found = F.aggregate("found", F.lit(0).cast("long"), lambda a, x: a + x)
+    rest = pair(1.0 - all_found / F.col("n_tokens"), F.greatest(F.lit(0.0), 1.0 - F.aggregate("word_p", F.lit(0.0), lambda a, x: a + x)))
+    word_js = F.when(word_ready, _distance(F.concat(hist, F.array(rest))))
     class_js = F.when(class_ready, _distance(F.zip_with("classes", "class_p", lambda c, q: pair(c / F.col("chars"), q))))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     rows = rows.withColumn("class_js", class_js).withColumn("word_js", word_js).withColumn("base_failed", failed)
