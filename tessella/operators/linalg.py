@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,25 +22,38 @@ def _plus(product: DataFrame, alpha: float, beta: float, c: DataFrame | None, ke
     return out.unionByName(c.select(*keys, (F.col("v") * F.lit(beta)).alias("v"))).groupBy(*keys).agg(F.sum("v").alias("v"))
 
 
-def gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None) -> DataFrame:
+def gemm(a: DataFrame, b: DataFrame, alpha: float = 1.0, beta: float = 0.0, c: DataFrame | None = None, grid: int = 1) -> DataFrame:
     """alpha A B + beta C. Both sides meet on the inner index and partial sums are combined before
-    the second shuffle; absent cells are zeros."""
+    the second shuffle; absent cells are zeros.
+
+    A small side is broadcast by Spark. For two large sides with long columns set grid: rows of A
+    and columns of B are dealt to grid blocks each, so the products of one inner index are spread
+    over grid^2 tasks, for grid copies of each side.
+    """
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
-    product = left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
+    on = ["k"]
+    if grid > 1:
+        block = lambda x: F.pmod(F.xxhash64(x), F.lit(grid)).cast("int")
+        every = F.explode(F.array(*(F.lit(g) for g in range(grid))))
+        left, right = left.withColumn("bi", block("i")).withColumn("bj", every), right.withColumn("bj", block("j")).withColumn("bi", every)
+        on = ["k", "bi", "bj"]
+    product = left.join(right, on).groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))
     return _plus(product, alpha, beta, c, ["i", "j"])
 
 
-def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0.0, y: DataFrame | None = None) -> DataFrame:
-    """alpha A x + beta y; vectors are (i, v)."""
-    product = a.join(x.select(F.col("i").alias("j"), F.col("v").alias("x")), "j").groupBy("i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
-    return _plus(product, alpha, beta, y, ["i"])
+def gemv(a: DataFrame, x: DataFrame, alpha: float = 1.0, beta: float = 0.0, y: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """alpha A x + beta y; vectors are (i, v). `by` names the columns that tell many matrices apart."""
+    by = by or []
+    product = a.join(x.select(*by, F.col("i").alias("j"), F.col("v").alias("x")), [*by, "j"]).groupBy(*by, "i").agg(F.sum(F.col("v") * F.col("x")).alias("v"))
+    return _plus(product, alpha, beta, y, [*by, "i"])
 
 
-def ger(x: list[float], y: list[float], a: DataFrame, alpha: float = 1.0) -> DataFrame:
-    """A + alpha x y^T for literal vectors, added in place cell by cell; absent cells are not made."""
-    xs, ys = F.array(*map(F.lit, x)), F.array(*map(F.lit, y))
-    return a.select("i", "j", (F.col("v") + F.lit(alpha) * F.get(xs, F.col("i").cast("int")) * F.get(ys, F.col("j").cast("int"))).alias("v"))
+def ger(x: list[float] | Column, y: list[float] | Column, a: DataFrame, alpha: float = 1.0) -> DataFrame:
+    """A + alpha x y^T, added in place cell by cell; absent cells are not made. A vector is a literal
+    or an expression of the cell's row or column."""
+    at = lambda v, index: v if isinstance(v, Column) else F.get(F.array(*map(F.lit, v)), F.col(index).cast("int"))
+    return a.select("i", "j", (F.col("v") + F.lit(alpha) * at(x, "i") * at(y, "j")).alias("v"))
 
 
 def syrk(a: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -63,8 +77,8 @@ def triangle(a: DataFrame, lower: bool = True, unit: bool = False) -> DataFrame:
     return kept.withColumn("v", F.when(F.col("i") == F.col("j"), F.lit(1.0)).otherwise(F.col("v"))) if unit else kept
 
 
-def trmv(a: DataFrame, x: DataFrame, lower: bool = True, unit: bool = False) -> DataFrame:
-    return gemv(triangle(a, lower, unit), x)
+def trmv(a: DataFrame, x: DataFrame, lower: bool = True, unit: bool = False, by: list[str] | None = None) -> DataFrame:
+    return gemv(triangle(a, lower, unit), x, by=by)
 
 
 def gemm_i32(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -88,13 +102,21 @@ def pruned_gemm(a: DataFrame, b: DataFrame, prune: float) -> DataFrame:
 
 
 def gram(rows: DataFrame, vector: str, n: int) -> DataFrame:
-    """X^T X of a table of array rows: n (n + 1) / 2 sums over the rows, each combined before the
-    shuffle, so the table is read once and never joined. (i, j, v) with i <= j."""
-    v = F.col(vector)
-    cells = [(i, j) for i in range(n) for j in range(i, n)]
-    sums = rows.agg(*(F.sum(v[i].cast("double") * v[j].cast("double")).alias(f"s{i}_{j}") for i, j in cells))
-    entries = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"s{i}_{j}").alias("v")) for i, j in cells))
-    return sums.select(F.inline(entries))
+    """X^T X of a table of array rows of n values: (i, j, v) with i <= j.
+
+    Each task adds up the products of its Arrow batches, an n x n matrix, and sends n (n + 1) / 2
+    cells, so the table is read once and never joined. Null rows and rows of another length raise.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((n, n))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, n).astype(float)
+            total += x.T @ x
+        i, j = np.triu_indices(n)
+        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    return rows.select(vector).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 # --- dense matrices by group: (matrix, i, j, v) -> one NumPy call a matrix, so a matrix must fit in a task

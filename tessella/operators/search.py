@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits
+from ..functions import bits, vectors
 from ..functions.bits import SliceGate
 
 
@@ -71,12 +71,18 @@ def hybrid_pipeline(df: DataFrame, query: list[int], lanes: list[int], gate: Sli
 
 
 def cosine_top_k(df: DataFrame, query: list[float], k: int, vector: str = "embedding", id_col: str = "vec_id") -> DataFrame:
-    """k largest cosines; products are written out term by term over the query's dimensions."""
+    """k largest cosines. Up to 128 dimensions the products are written out term by term, for
+    generated code; longer vectors, whose code would be too large for that, are folded."""
     v = F.col(vector)
     total = lambda xs: sum(xs[1:], xs[0])
     dims = range(len(query))
-    dot = total([v[i].cast("double") * F.lit(float(query[i])) for i in dims])
-    own = F.sqrt(total([v[i].cast("double") * v[i].cast("double") for i in dims]))
+    if len(query) <= 128:
+        dot = total([v[i].cast("double") * F.lit(float(query[i])) for i in dims])
+        own = F.sqrt(total([v[i].cast("double") * v[i].cast("double") for i in dims]))
+    else:
+        literal = F.array(*(F.lit(float(x)) for x in query))
+        dot = vectors.dot(vectors.doubles(v), literal)
+        own = vectors.l2(vectors.doubles(v))
     size = sum(float(x) ** 2 for x in query) ** 0.5
     cos = F.coalesce(F.try_divide(dot, own * F.lit(size)), F.lit(0.0))
     return df.withColumn("cos", cos).orderBy(F.desc("cos"), id_col).limit(k)

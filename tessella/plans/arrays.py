@@ -103,7 +103,7 @@ def minmax_u8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("vec_id", "z.q", "z.zero")
 
 
-@query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings), s AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) / 7 AS s FROM e) SELECT vec_id, list_transform(x, lambda v: round(least(7, greatest(-8, round(v / s))) * s, 6)::DOUBLE) AS back FROM s")
+@query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings), s AS (SELECT *, list_max(list_transform(x, lambda v: abs(v))) / 7 AS s FROM e) SELECT vec_id, list_transform(x, lambda v: round(CAST(least(7, greatest(-8, round(v / s))) AS INTEGER) * s, 6)::DOUBLE) AS back FROM s")
 def int4_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _x(spark, sf_dir).withColumn("z", V.quantize_i4("x"))
     return q.select("vec_id", _rounded(V.dequantize_i4(F.col("z.packed"), F.col("z.scale"), 64), 6).alias("back"))

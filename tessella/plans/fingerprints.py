@@ -9,6 +9,7 @@ from ..functions import bits
 from ..functions.bits import slice_gate
 from ..functions.register import register_all
 from ..operators import hdc, search
+from ..operators._cut import stored
 from ._registry import CH4, FP2, INT8, channels, first_row, ham, lane, prints, query, signed8, table
 
 GATE = slice_gate(64, probe0=32, probe1=64)
@@ -90,7 +91,7 @@ def hdr_sigma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {FP2}, e AS (SELECT p.vec_id, CAST(bit_count(xor(p.a, q.a)) AS BIGINT) AS d0, {_E} FROM fp2 p, fp2 q WHERE q.vec_id = 0) SELECT vec_id, conflict, agreement, CAST({_HDR} AS INTEGER) AS hdr FROM e WHERE d0 <= {GATE.k0} AND conflict <= {GATE.k1} AND {_HDR} > 0")
 def kernel_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = prints(spark, sf_dir)
+    df = stored(prints(spark, sf_dir), "prints")
     return search.kernel_pipeline(df, first_row(df, "fp"), GATE).select("vec_id", "energy.conflict", "energy.agreement", "hdr")
 
 
@@ -133,6 +134,7 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     lane_of = lambda x: (F.when(x < 0, 32768).otherwise(0) + F.floor(F.abs(x.cast("double")) * 16384)).cast("int")
     df = e.select("vec_id", bits.sign_lanes("embedding", 2, 32).alias("fp"), F.transform("embedding", lane_of).alias("lanes"))
+    df = stored(df, "prints")
     out = search.hybrid_pipeline(df, first_row(df, "fp"), first_row(df, "lanes"), GATE, 25)
     return out.select("vec_id", "d", "lane_d", F.round("score", 4).alias("score"))
 

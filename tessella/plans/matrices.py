@@ -8,68 +8,93 @@ from pyspark.sql import functions as F
 from ..operators import linalg, stats
 from ._registry import INT8, query, signed8, table
 
-_COO = "coo AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings WHERE vec_id < 64)"
+_COO = "coo AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
+#: A fixed 64 x 64 matrix to multiply with, and a vector of 64.
+_B = "b AS (SELECT i, j, (((i * 7 + j * 3) % 11) - 5)::DOUBLE / 8 AS v FROM (SELECT unnest(range(64)) AS i), (SELECT unnest(range(64)) AS j))"
+_X = "x AS (SELECT i, ((i % 5) - 2)::DOUBLE / 4 AS v FROM (SELECT unnest(range(64)) AS i))"
 
 
 def _coo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A 64 x 64 matrix: the feature is a square block, not a cut of the data."""
-    square = table(spark, sf_dir, "embeddings").where("vec_id < 64")
-    return stats.long_form(square, "vec_id", "embedding").withColumn("j", F.col("j").cast("long"))
+    """The whole table as an n x 64 matrix."""
+    return stats.long_form(table(spark, sf_dir, "embeddings"), "vec_id", "embedding").withColumn("j", F.col("j").cast("long"))
+
+
+def _b(spark: SparkSession) -> DataFrame:
+    cells = spark.range(64 * 64).select(F.floor(F.col("id") / 64).alias("i"), (F.col("id") % 64).alias("j"))
+    return cells.withColumn("v", ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5).cast("double") / 8)
+
+
+def _vector(spark: SparkSession) -> DataFrame:
+    return spark.range(64).select(F.col("id").alias("i"), ((F.col("id") % 5 - 2).cast("double") / 4).alias("v"))
 
 
 def _r(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.withColumn("v", F.round("v", digits))
+    return df.withColumn("v", F.round("v", digits) + 0.0)
 
 
-@query(f"WITH {_COO} SELECT a.i, b.j, round(2 * sum(a.v * b.v), 5)::DOUBLE AS v FROM coo a JOIN coo b ON a.j = b.i GROUP BY a.i, b.j")
+@query(f"WITH {_COO}, {_B} SELECT a.i, b.j, round(2 * sum(a.v * b.v), 5)::DOUBLE + 0 AS v FROM coo a JOIN b ON a.j = b.i GROUP BY a.i, b.j")
 def gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _coo(spark, sf_dir)
-    return _r(linalg.gemm(a, a, alpha=2.0))
+    return _r(linalg.gemm(_coo(spark, sf_dir), _b(spark), alpha=2.0))
 
 
-@query(f"WITH {_COO} SELECT a.i, round(sum(a.v * b.v) + 0.5 * max(c.v), 5)::DOUBLE AS v FROM coo a JOIN coo b ON a.j = b.i AND b.j = 0 JOIN coo c ON c.i = a.i AND c.j = 1 GROUP BY a.i")
+@query(f"WITH {_COO}, {_X} SELECT a.i, round(sum(a.v * x.v) + 0.5 * max(c.v), 5)::DOUBLE + 0 AS v FROM coo a JOIN x ON a.j = x.i JOIN coo c ON c.i = a.i AND c.j = 1 GROUP BY a.i")
 def gemv(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _coo(spark, sf_dir)
-    return _r(linalg.gemv(a, a.where("j = 0").select("i", "v"), 1.0, 0.5, a.where("j = 1").select("i", "v")))
+    return _r(linalg.gemv(a, _vector(spark), 1.0, 0.5, a.where("j = 1").select("i", "v")))
 
 
-@query(f"WITH {_COO} SELECT a.i, b.i AS j, round(sum(a.v * b.v), 5)::DOUBLE AS v FROM coo a JOIN coo b ON a.j = b.j WHERE a.i <= b.i GROUP BY a.i, b.i")
+@query(f"WITH {_COO} SELECT a.j AS i, b.j, round(sum(a.v * b.v), 4)::DOUBLE + 0 AS v FROM coo a JOIN coo b ON a.i = b.i WHERE a.j <= b.j GROUP BY a.j, b.j")
 def syrk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(linalg.syrk(_coo(spark, sf_dir)))
+    return _r(linalg.syrk(linalg.transpose(_coo(spark, sf_dir))), 4)
+
+
+@query(f"WITH {_COO}, {_B} SELECT s.i, b.j, round(sum(s.v * b.v), 4)::DOUBLE + 0 AS v FROM (SELECT a.j AS i, c.j, sum(a.v * c.v) AS v FROM coo a JOIN coo c ON a.i = c.i GROUP BY a.j, c.j) s JOIN b ON s.j = b.i GROUP BY s.i, b.j")
+def symm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _r(linalg.symm(linalg.syrk(linalg.transpose(_coo(spark, sf_dir))), _b(spark)), 4)
 
 
-@query(f"WITH {_COO} SELECT i, j, round(v + 0.1 * i * (j + 1), 5)::DOUBLE AS v FROM coo")
+@query(f"WITH {_COO} SELECT i, j, round(v + 0.1 * i * (j + 1), 5)::DOUBLE + 0 AS v FROM coo")
 def ger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(linalg.ger([float(i) for i in range(64)], [float(j + 1) for j in range(64)], _coo(spark, sf_dir), 0.1))
+    return _r(linalg.ger(F.col("i").cast("double"), [float(j + 1) for j in range(64)], _coo(spark, sf_dir), 0.1))
 
 
-@query(f"WITH {_COO} SELECT a.i, round(sum(CASE WHEN a.i = a.j THEN 1 ELSE a.v END * b.v), 5)::DOUBLE AS v FROM coo a JOIN coo b ON a.j = b.i AND b.j = 0 WHERE a.j <= a.i GROUP BY a.i")
+@query(f"WITH {_COO}, m AS (SELECT i // 64 AS matrix, i % 64 AS i, j, v FROM coo) SELECT a.matrix, a.i, round(sum(CASE WHEN a.i = a.j THEN 1 ELSE a.v END * b.v), 5)::DOUBLE + 0 AS v FROM m a JOIN m b ON a.matrix = b.matrix AND a.j = b.i AND b.j = 0 WHERE a.j <= a.i GROUP BY a.matrix, a.i")
 def trmv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _coo(spark, sf_dir)
-    return _r(linalg.trmv(a, a.where("j = 0").select("i", "v"), lower=True, unit=True))
+    """One triangle for each block of 64 vectors; the last block may have fewer."""
+    a = _coo(spark, sf_dir).select(F.floor(F.col("i") / 64).alias("matrix"), (F.col("i") % 64).alias("i"), "j", "v")
+    return _r(linalg.trmv(a, a.where("j = 0").select("matrix", "i", "v"), lower=True, unit=True, by=["matrix"]))
+
+
+_C8 = "c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(v) AS v FROM int8), b8 AS (SELECT i, j, CAST(v * 8 AS BIGINT) AS v FROM b)"
+
+
+def _cells8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signed8(spark, sf_dir).select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
+
+
+def _b8(spark: SparkSession) -> DataFrame:
+    return _b(spark).withColumn("v", (F.col("v") * 8).cast("int"))
 
 
-@query(f"WITH {INT8}, c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(v) AS v FROM int8 WHERE vec_id < 64) SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM c a JOIN c b ON a.j = b.i GROUP BY a.i, b.j")
+@query(f"WITH {INT8}, {_B}, {_C8} SELECT a.i, b.j, CAST(sum(a.v * b.v) AS BIGINT) AS v FROM c a JOIN b8 b ON a.j = b.i GROUP BY a.i, b.j")
 def int8_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = signed8(spark, sf_dir).where("vec_id < 64").select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
-    return linalg.gemm_i32(c, c)
+    return linalg.gemm_i32(_cells8(spark, sf_dir), _b8(spark))
 
 
-@query(f"WITH {INT8}, c AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(v) AS v FROM int8 WHERE vec_id < 64), u AS (SELECT i, j, v + 128 AS v FROM c), s AS (SELECT j, sum(v) AS s FROM c GROUP BY j) SELECT a.i, b.j, round((sum(a.v * b.v) - 128 * max(s.s)) * 0.02, 4)::DOUBLE AS v FROM u a JOIN c b ON a.j = b.i JOIN s ON s.j = b.j GROUP BY a.i, b.j")
+@query(f"WITH {INT8}, {_B}, {_C8}, u AS (SELECT i, j, v + 128 AS v FROM c), s AS (SELECT j, sum(v) AS s FROM b8 GROUP BY j) SELECT a.i, b.j, round((sum(a.v * b.v) - 128 * max(s.s)) * 0.02, 4)::DOUBLE + 0 AS v FROM u a JOIN b8 b ON a.j = b.i JOIN s ON s.j = b.j GROUP BY a.i, b.j")
 def int8_gemm_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = signed8(spark, sf_dir).where("vec_id < 64").select(F.col("vec_id").alias("i"), F.posexplode("v").alias("j", "v")).withColumn("j", F.col("j").cast("long"))
-    return _r(linalg.gemm_u8_i8(c.withColumn("v", F.col("v") + 128), c, 0.2, 128, 0.1), 4)
+    return _r(linalg.gemm_u8_i8(_cells8(spark, sf_dir).withColumn("v", F.col("v") + 128), _b8(spark), 0.2, 128, 0.1), 4)
 
 
-@query(f"WITH {_COO}, w AS (SELECT i, j, v * (1 + (i % 7)) AS v FROM coo), n AS (SELECT i, sqrt(sum(v * v)) AS norm FROM w GROUP BY i), k AS (SELECT i FROM n WHERE norm >= (SELECT quantile_cont(norm, 0.8) FROM n)) SELECT a.i, b.j, round(sum(a.v * b.v), 4)::DOUBLE AS v FROM w a JOIN w b ON a.j = b.i WHERE a.i IN (SELECT i FROM k) GROUP BY a.i, b.j")
+@query(f"WITH {_COO}, {_B}, w AS (SELECT i, j, v * (1 + (i % 7)) AS v FROM coo), n AS (SELECT i, sqrt(sum(v * v)) AS norm FROM w GROUP BY i), k AS (SELECT i FROM n WHERE norm >= (SELECT quantile_cont(norm, 0.8) FROM n)) SELECT a.i, b.j, round(sum(a.v * b.v), 4)::DOUBLE + 0 AS v FROM w a JOIN b ON a.j = b.i WHERE a.i IN (SELECT i FROM k) GROUP BY a.i, b.j")
 def pruned_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _coo(spark, sf_dir).withColumn("v", F.col("v") * (1 + F.col("i") % 7))
-    return _r(linalg.pruned_gemm(w, w, 0.8), 4)
+    return _r(linalg.pruned_gemm(w, _b(spark), 0.8), 4)
 
 
-@query("WITH x AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 4)::DOUBLE AS v FROM x a JOIN x b USING (vec_id) WHERE a.j <= b.j AND a.j < 16 AND b.j < 16 GROUP BY a.j, b.j")
+@query("WITH x AS (SELECT vec_id, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings) SELECT CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, round(sum(a.v * b.v), 4)::DOUBLE + 0 AS v FROM x a JOIN x b USING (vec_id) WHERE a.j <= b.j GROUP BY a.j, b.j")
 def gram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _r(linalg.gram(table(spark, sf_dir, "embeddings"), "embedding", 16), 4)
+    return _r(linalg.gram(table(spark, sf_dir, "embeddings"), "embedding", 64), 4)
 
 
 def _dense(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:

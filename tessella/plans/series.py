@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import stats, temporal
+from ..operators._cut import shared_folder
 from ..streaming import shift
 from ._registry import FP2, prints, query, table
 
@@ -69,11 +69,11 @@ def shift_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.withColumn("start", F.unix_timestamp("start"))
 
 
-@query(f"WITH {_HIST}, m AS (SELECT start, sum(band * n) / sum(n) / 3.0 AS mass FROM h GROUP BY start), b AS (SELECT *, lag(mass) OVER (ORDER BY start) AS before FROM m) SELECT CAST(epoch(start) AS BIGINT) AS start, round(mass, 5)::DOUBLE AS mass, CASE WHEN mass - before > 0.02 THEN 'up' WHEN mass - before < -0.02 THEN 'down' ELSE 'stable' END AS shift FROM b")
+@query(f"WITH {_HIST}, m AS (SELECT start, sum(band * n)::DOUBLE / sum(n)::DOUBLE / 3.0::DOUBLE AS mass FROM h GROUP BY start), b AS (SELECT *, lag(mass) OVER (ORDER BY start) AS before FROM m) SELECT CAST(epoch(start) AS BIGINT) AS start, mass, CASE WHEN mass - before > 0.02::DOUBLE THEN 'up' WHEN mass - before < -0.02::DOUBLE THEN 'down' ELSE 'stable' END AS shift FROM b")
 def shift_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = temporal.shift_histogram(table(spark, sf_dir, "events"), "ts", "value", "1 day", _EDGES)
     s = temporal.shift_detect(h, 4, 0.02)
-    return s.select(F.unix_timestamp("start").alias("start"), F.round("mass", 5).alias("mass"), "shift")
+    return s.select(F.unix_timestamp("start").alias("start"), "mass", "shift")
 
 
 @query(f"WITH {_HIST} SELECT CAST(epoch(start) AS BIGINT) AS start, band, n FROM h")
@@ -82,7 +82,7 @@ def shift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = table(spark, sf_dir, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     windows = shift.shift_windows(stream, "ts", "value", "1 day", _EDGES, "1 day")
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    base = shared_folder(spark)
     out = shift.run_available(windows, f"shift_{uuid.uuid4().hex[:8]}", "complete", f"{base}/stream-{uuid.uuid4().hex}")
     return out.withColumn("start", F.unix_timestamp("start"))
 
