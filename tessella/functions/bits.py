@@ -257,3 +257,29 @@ def from_signs(x: Column | str, lanes: int, width: int) -> Column:
     x = col(x)
     one = lambda p: F.when(F.coalesce(F.get(x, F.lit(p)), F.lit(0)) > 0, F.lit(1 << (p % width) if p % width < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
     return F.array(*(reduce(lambda a, b: a.bitwiseOR(b), [one(w * width + i) for i in range(width)]) for w in range(lanes)))
+
+
+def partial_hamming(a: list[Column], b: list[Column], words: int, n_bits: int) -> Column:
+    """Differing bits in the first n_bits (whole words, one at least) of each channel."""
+    n = max(1, min(words, -(-n_bits // 64)))
+    return _sum([hamming(x, y, n) for x, y in zip(a, b, strict=True)])
+
+
+def partial_similarity(a: list[Column], b: list[Column], words: int, n_bits: int) -> Column:
+    n = max(1, min(words, -(-n_bits // 64)))
+    return 1.0 - partial_hamming(a, b, words, n_bits) / F.lit(float(64 * n * len(a)))
+
+
+def pack_states(states: Column | str) -> Column:
+    """States 0 to 3, four in a byte, the first in the highest bits."""
+    x = col(states)
+    at = lambda i: F.coalesce(F.get(x, i), F.lit(0))
+    byte = lambda k: at(4 * k) * 64 + at(4 * k + 1) * 16 + at(4 * k + 2) * 4 + at(4 * k + 3)
+    count = F.ceil(F.size(x) / 4).cast("int")
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), byte))
+
+
+def unpack_states(packed: Column | str, n: int) -> Column:
+    x = col(packed)
+    byte = lambda i: F.get(x, F.floor(i / 4).cast("int"))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftright", byte(i), (6 - i % 4 * 2).cast("int")).bitwiseAND(F.lit(3)))

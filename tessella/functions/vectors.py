@@ -307,3 +307,52 @@ def dequantize_i4(packed: Column, scale_: Column, n: Column | int) -> Column:
     signed = lambda v: F.when(v > 7, v - 16).otherwise(v)
     both = F.struct(packed.alias("p"), scale_.alias("s"))
     return let(both, lambda z: F.transform(F.sequence(F.lit(0), n - 1), lambda i: signed(half(z["p"], i)) * z["s"]))
+
+
+# --- two-dimensional values: struct<shape, data>, row by row
+
+
+def row_slice(array: Column, row: int) -> Column:
+    """One row's values; a row beyond the shape raises."""
+    wide = array["shape"][1]
+    return F.when(array["shape"][0] > row, F.slice(array["data"], wide * row + 1, wide)).otherwise(F.raise_error(F.lit("no such row")))
+
+
+def column_slice(array: Column, column: int) -> Column:
+    wide = array["shape"][1]
+    return F.when(wide > column, F.filter(array["data"], lambda _, i: i % wide == column)).otherwise(F.raise_error(F.lit("no such column")))
+
+
+def flip_axis(array: Column, axis: int) -> Column:
+    """Rows (axis 0) or the values of each row (axis 1) in the opposite order."""
+    high, wide = array["shape"][0], array["shape"][1]
+    at = lambda i: (high - 1 - F.floor(i / wide)) * wide + i % wide if axis == 0 else F.floor(i / wide) * wide + wide - 1 - i % wide
+    return F.struct(array["shape"].alias("shape"), F.transform(array["data"], lambda _, i: F.get(array["data"], at(i).cast("int"))).alias("data"))
+
+
+def concatenate_axis(a: Column, b: Column, axis: int) -> Column:
+    """Two matrices one below the other (axis 0) or side by side (axis 1); other sides must be equal."""
+    other = 1 - axis
+    shape = F.array(*(a["shape"][d] + b["shape"][d] if d == axis else a["shape"][d] for d in (0, 1)))
+    if axis == 0:
+        data = F.concat(a["data"], b["data"])
+    else:
+        row = lambda m, i: F.slice(m["data"], m["shape"][1] * i + 1, m["shape"][1])
+        data = F.flatten(F.transform(F.sequence(F.lit(0), a["shape"][0] - 1), lambda i: F.concat(row(a, i), row(b, i))))
+    good = a["shape"][other] == b["shape"][other]
+    return F.when(good, F.struct(shape.alias("shape"), data.alias("data"))).otherwise(F.raise_error(F.lit("shapes do not fit")))
+
+
+# --- order kept beside sorted values
+
+
+def sort_with_places(x: Column | str) -> Column:
+    """struct<sorted, places>: values ascending and where each stood (from 0), equal ones in place order."""
+    pairs = F.array_sort(F.transform(col(x), lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
+    return let(pairs, lambda p: F.struct(F.transform(p, lambda e: e["v"]).alias("sorted"), F.transform(p, lambda e: e["i"]).alias("places")))
+
+
+def unsort(sorted_: Column, places: Column) -> Column:
+    """The values in the places where they stood."""
+    pairs = F.array_sort(F.zip_with(places, sorted_, lambda i, v: F.struct(i.alias("i"), v.alias("v"))))
+    return F.transform(pairs, lambda e: e["v"])

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import bits
+
 
 def running_sum(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -79,3 +81,25 @@ def shift_detect(histogram: DataFrame, bands: int, limit: float = 0.15) -> DataF
     rows = mass.withColumn("before", F.lag("mass").over(w))
     moved = F.col("mass") - F.col("before")
     return rows.withColumn("shift", F.when(moved > limit, "up").when(moved < -limit, "down").otherwise("stable"))
+
+
+def ewm_correction(states: DataFrame, key: list[str], order: str, fp: str, words: int, width: int = 64) -> DataFrame:
+    """(key, order, correction, total, tier): for each state the bits of each word that changed since
+    the one before, their sum, and its tier by deviations (a small change is a rare one)."""
+    before = F.lag(fp).over(Window.partitionBy(*key).orderBy(order))
+    rows = states.withColumn("before", before).where(F.col("before").isNotNull())
+    changed = F.array(*(F.bit_count(F.col(fp)[i].bitwiseXOR(F.col("before")[i])).cast("long") for i in range(words)))
+    rows = rows.withColumn("correction", changed).withColumn("total", F.aggregate("correction", F.lit(0).cast("long"), lambda a, x: a + x))
+    return rows.select(*key, order, "correction", "total", bits.sigma_score(F.col("total"), words * width)["tier"].alias("tier"))
+
+
+def causal_links(activity: DataFrame, key: list[str], order: str, planes: dict[str, str], n_bits: int) -> DataFrame:
+    """(key, order, cause, effect, confidence): a plane whose activity falls to less than half between
+    two successive rows is the cause of one whose activity grows to more than twice as much."""
+    w = Window.partitionBy(*key).orderBy(order)
+    rows = activity.select(*key, order, *(F.col(c).alias(f"early_{p}") for p, c in planes.items()), *(F.lead(c).over(w).alias(f"late_{p}") for p, c in planes.items()))
+    falls = lambda p: F.col(f"early_{p}") > 2 * F.col(f"late_{p}")
+    grows = lambda p: F.col(f"late_{p}") > 2 * F.col(f"early_{p}")
+    link = lambda a, b: F.when(falls(a) & grows(b), F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect"), (F.col(f"early_{a}") / F.lit(float(n_bits))).alias("confidence")))
+    links = F.array(*(link(a, b) for a in planes for b in planes if a != b))
+    return rows.select(*key, order, F.inline(F.filter(links, lambda e: e.isNotNull())))
