@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,12 +22,15 @@ _made: list[str] = []
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as spark.checkpoint.dir names it.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is made and set.
+    Only on a local master a temporary folder is made and set where that setting is absent; on a
+    cluster that raises, since executors could not read the driver's own folder.
     """
     context = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not context.getCheckpointDir():
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-"))
         base = context.getCheckpointDir()
     return base.rstrip("/")
@@ -65,6 +72,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_slices(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about `limit`, one row at least."""
+    upto = np.cumsum(sizes, dtype=np.int64)
+    lo = 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def byte_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about `limit` bytes of text each, one row at least."""
+    return row_slices(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), limit)
+
+
 def fits_broadcast(df: DataFrame, max_rows: int) -> bool:
     """Whether df has at most max_rows rows; it reads no more than that."""
     return df.limit(max_rows + 1).count() <= max_rows

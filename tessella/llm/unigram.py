@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 #: Stands for a space, as SentencePiece writes it.
 SPACE = "▁"
@@ -19,15 +19,31 @@ class Pieces:
 
     rows: tuple[tuple[str, int, float], ...]
     byte_ids: tuple[int, ...]
+    unknown: float = field(default=float("nan"))
 
-    @property
-    def unknown(self) -> float:
-        return min(s for _, _, s in self.rows) - UNKNOWN_PENALTY
+    def __post_init__(self) -> None:
+        """unknown, the score of a character that no piece has, is set from the least piece's."""
+        if self.unknown != self.unknown:
+            object.__setattr__(self, "unknown", min(s for _, _, s in self.rows) - UNKNOWN_PENALTY)
 
     @property
     def longest(self) -> int:
         return max(len(p) for p, _, _ in self.rows)
 
+    def useful(self) -> Pieces:
+        """The pieces without those that no best path can hold: some other pieces of the table
+        spell them at a better score, by more than rounding. A step over the vocabulary alone."""
+        score, longest, kept = {p: s for p, _, s in self.rows}, self.longest, []
+        for piece, i, s in self.rows:
+            best = [0.0]
+            for end in range(1, len(piece) + 1):
+                starts = range(1 if end == len(piece) else max(0, end - longest), end)
+                parts = ((k, score.get(piece[k:end], self.unknown if end - k == 1 else None)) for k in starts)
+                best.append(max((best[k] + x for k, x in parts if x is not None), default=float("-inf")))
+            if len(piece) == 1 or best[-1] <= s + 1e-6 * (abs(s) + 1):
+                kept.append((piece, i, s))
+        return Pieces(tuple(kept), self.byte_ids, self.unknown)
+
 
 def load(model_file: str, floor: float = -1e8) -> Pieces:
     """The normal pieces of the file. A score under floor is a placeholder's: such a piece is left

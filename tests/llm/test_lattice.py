@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer, decoders, models
@@ -58,6 +60,31 @@ def test_repeated_rows_and_empty_table(spark, pieces):
     assert lattice.encode(empty, pieces).collect() == [] and tokencount.count_tokens(empty, pieces).collect() == []
 
 
+def test_long_words(spark, pieces, library):
+    """One word of many letters: with and without pieces, cut in blocks, and nothing raised."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choices(a, k=n)) for a in ("abcdeth", "漢字中国", "aé漢😀") for n in (255, 256, 257, 300, 5000, 40_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.ids for r in lattice.encode(docs, pieces).collect()}
+    assert got == {i: library(t) for i, t in enumerate(texts)}
+
+
+def test_rare_words_and_clashing_columns(spark, pieces, library):
+    """Every word through the lattice but one; columns with the plan's names; a text id."""
+    docs = spark.createDataFrame([(f"d{i}", t, 1, "x", 2) for i, t in enumerate(TEXTS)], "doc_id string, text string, dealt int, word string, row int")
+    got = {r.doc_id: r.ids for r in lattice.encode(docs, pieces, frequent=1, sample_docs=1).collect()}
+    assert got == {f"d{i}": library(t) for i, t in enumerate(TEXTS)}
+
+
+def test_decode_odd_ids(spark, pieces):
+    low = {b: i for b, i in enumerate(pieces.byte_ids)}
+    e = [low[b] for b in "aé".encode()]
+    rows = [(1, None), (2, []), (3, [0, 1, -5, 10**6, None]), (4, e), (5, [low[32], *e]), (6, [low[32], low[0xC3]])]
+    df = spark.createDataFrame([(*r, "old") for r in rows], "k int, ids array<int>, decoded string")
+    got = {r.k: r.decoded for r in lattice.decode(df, pieces).collect()}
+    assert got == {1: None, 2: "", 3: "", 4: "é", 5: "aé", 6: "\ufffd"}
+
+
 def test_long_text(spark, pieces, library):
     text = "wordy lines, of prose " * 3000
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
