@@ -21,13 +21,17 @@ def lfd(n: Column, n_half: Column) -> Column:
 
 
 def _summaries(members: DataFrame, lanes: int, width: int) -> DataFrame:
-    """Centre (the member nearest to the majority vector), radius and counts of each node."""
+    """Centre (the member nearest to the majority vector), radius and counts of each node.
+
+    Tables of nodes have 2^16 rows at most and are broadcast, so the rows of a node, all rows at
+    the root, are never dealt by node; what is grouped is combined in each task first.
+    """
     middle = bundle_majority(members, ["node", "depth"], lanes, width).select("node", "depth", F.col("fp").alias("mid"))
-    near = members.join(middle, ["node", "depth"]).withColumn("dm", bits.hamming("fp", "mid", lanes))
+    near = members.join(F.broadcast(middle), ["node", "depth"]).withColumn("dm", bits.hamming("fp", "mid", lanes))
     centers = near.groupBy("node", "depth").agg(F.min_by("fp", F.struct("dm", "id")).alias("center"))
-    far = members.join(centers, ["node", "depth"]).withColumn("dc", bits.hamming("fp", "center", lanes))
+    far = members.join(F.broadcast(centers), ["node", "depth"]).withColumn("dc", bits.hamming("fp", "center", lanes))
     radii = far.groupBy("node", "depth").agg(F.first("center").alias("center"), F.max("dc").alias("radius"), F.count("*").alias("n"))
-    half = far.join(radii.select("node", "depth", "radius"), ["node", "depth"]).groupBy("node", "depth").agg(F.count_if(F.col("dc") * 2 <= F.col("radius")).alias("n_half"))
+    half = far.join(F.broadcast(radii.select("node", "depth", "radius")), ["node", "depth"]).groupBy("node", "depth").agg(F.count_if(F.col("dc") * 2 <= F.col("radius")).alias("n_half"))
     return radii.join(half, ["node", "depth"]).withColumn("lfd", lfd(F.col("n"), F.col("n_half")))
 
 
@@ -43,15 +47,15 @@ def build(df: DataFrame, lanes: int, width: int = 64, min_size: int = 10, max_de
     for depth in range(max_depth + 1):
         level = cut(_summaries(rows, lanes, width).withColumn("leaf", (F.col("n") <= min_size) | (F.col("radius") == 0) | F.lit(depth == max_depth)))
         clusters = level if clusters is None else clusters.unionByName(level)
-        done = rows.join(level.where("leaf").select("node", "depth"), ["node", "depth"], "left_semi")
+        done = rows.join(F.broadcast(level.where("leaf").select("node", "depth")), ["node", "depth"], "left_semi")
         settled = done if settled is None else settled.unionByName(done)
-        open_rows = rows.join(level.where("not leaf").select("node", "depth", "center"), ["node", "depth"])
-        if open_rows.isEmpty():
+        open_rows = rows.join(F.broadcast(level.where("not leaf").select("node", "depth", "center")), ["node", "depth"])
+        if not level.where("not leaf").count():
             break
         left = open_rows.withColumn("d", bits.hamming("fp", "center", lanes)).groupBy("node").agg(F.max_by("fp", F.struct("d", -F.col("id"))).alias("left"))
-        both = open_rows.join(left, "node").withColumn("dl", bits.hamming("fp", "left", lanes))
+        both = open_rows.join(F.broadcast(left), "node").withColumn("dl", bits.hamming("fp", "left", lanes))
         right = both.groupBy("node").agg(F.max_by("fp", F.struct("dl", -F.col("id"))).alias("right"))
-        side = both.join(right, "node").withColumn("go", F.when(F.col("dl") <= bits.hamming("fp", "right", lanes), 0).otherwise(1))
+        side = both.join(F.broadcast(right), "node").withColumn("go", F.when(F.col("dl") <= bits.hamming("fp", "right", lanes), 0).otherwise(1))
         step = F.col("node").bitwiseOR(F.col("go") * (1 << (15 - depth))).cast("int")
         rows = cut(side.select("id", "fp", step.alias("node"), F.lit(depth + 1).alias("depth")))
     return cut(clusters), cut(settled)
@@ -136,3 +140,61 @@ def undo_diffs(clusters: DataFrame, diffs: DataFrame, lanes: int) -> DataFrame:
 def lod_masks(members: DataFrame, lanes: int) -> DataFrame:
     """(node, depth, mask): the OR of a leaf's members, for lower bounds."""
     return members.groupBy("node", "depth").agg(*(F.bit_or(F.col("fp")[i]).alias(f"m{i}") for i in range(lanes))).select("node", "depth", F.array(*(F.col(f"m{i}") for i in range(lanes))).alias("mask"))
+
+
+def local_inverse_lfd(clusters: DataFrame, query: list[int], rho: int, lanes: int) -> float:
+    """Mean of 1 / LFD (at least 0.1) over the leaves that may hold a member at most rho away; 1 without one."""
+    near = clusters.where("leaf").where(delta_minus(query, lanes) <= rho)
+    found = near.agg(F.avg(1.0 / F.greatest(F.col("lfd"), F.lit(0.1)))).first()[0]
+    return 1.0 if found is None else found
+
+
+def nearest_by_radius(clusters: DataFrame, members: DataFrame, query: list[int], k: int, lanes: int) -> DataFrame:
+    """The k nearest members, exactly, by (d, id): a radius search whose radius grows until it holds k.
+
+    It doubles while nothing is found and grows by the local dimension, 1.1 to 2 times, afterwards;
+    twice the root's radius, or the query's distance from its centre and more, holds every member.
+    """
+    root = clusters.where("depth = 0").select("radius", "n", delta_plus(query, lanes).alias("all")).first()
+    if root is None:
+        return members.withColumn("d", F.lit(0).cast("long")).limit(0)
+    rho = max(1, root.radius // root.n)
+    while rho < root["all"]:
+        found = within(clusters, members, query, rho, lanes).count()
+        if found >= k:
+            break
+        grow = 2.0 if not found else min(2.0, max(1.1, (k / found) ** local_inverse_lfd(clusters, query, rho, lanes)))
+        rho = min(root["all"], -int(-rho * grow // 1))
+    return within(clusters, members, query, rho, lanes).orderBy("d", "id").limit(k)
+
+
+def diff_distances(clusters: DataFrame, diffs: DataFrame, query: list[int], lanes: int) -> DataFrame:
+    """(id, d): distances to compressed members without restoring them, from their leaf's distance and
+    the words that differ."""
+    q = bits.literal(query)
+    leaves = F.broadcast(clusters.where("leaf").select("node", "depth", "center", bits.hamming("center", q, lanes).alias("dc")))
+
+    def change(e: Column) -> Column:
+        plain = F.get("center", e["pos"]).bitwiseXOR(F.get(q, e["pos"]))
+        return (F.bit_count(plain.bitwiseXOR(e["x"])) - F.bit_count(plain)).cast("long")
+
+    return diffs.join(leaves, ["node", "depth"]).select("id", F.aggregate("diff", F.col("dc"), lambda a, e: a + change(e)).alias("d"))
+
+
+def lod_nearest(clusters: DataFrame, members: DataFrame, masks: DataFrame, query: list[int], k: int, lanes: int) -> DataFrame:
+    """The k nearest members, exactly, by (d, id), pruned by the OR masks of leaves.
+
+    A member can be no nearer than the query's bits outside its leaf's mask; leaves whose bound is
+    over the k-th least upper bound (delta_plus) are left out.
+    """
+    leaves = clusters.where("leaf").join(F.broadcast(masks), ["node", "depth"]).select("node", "depth", "n", delta_plus(query, lanes).alias("upper"), bits.or_mask_bound(bits.literal(query), "mask", lanes).alias("lower"))
+    have, limit = 0, None
+    for r in leaves.groupBy("upper").agg(F.sum("n").alias("n")).orderBy("upper").limit(k).collect():
+        have, limit = have + r.n, r.upper
+        if have >= k:
+            break
+    if limit is None:
+        return members.withColumn("d", F.lit(0).cast("long")).limit(0)
+    kept = F.broadcast(leaves.where(F.col("lower") <= limit).select("node", "depth"))
+    d = bits.hamming("fp", bits.literal(query), lanes)
+    return members.join(kept, ["node", "depth"], "left_semi").withColumn("d", d).orderBy("d", "id").limit(k)

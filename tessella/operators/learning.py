@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits
 from ..functions.vectors import let
+from .search import kernel_pipeline
 
 #: Fixed thresholds: sign consensus of 192 in 255, over 2 exponent bits, over 1 mantissa bit.
 CONSENSUS, EXPONENT, MANTISSA = 192, 2, 1
@@ -149,3 +150,39 @@ def spots(cube: DataFrame, bits_: int, near: bool = True) -> DataFrame:
     z = F.abs(F.col("popcount") - bits_ / 2) / F.lit((bits_ / 4) ** 0.5)
     rows = cube.withColumn("z", z)
     return rows.where("z < 1").orderBy("z", "i", "j", "k") if near else rows.where("z > 2").orderBy(F.desc("z"), "i", "j", "k")
+
+
+# --- layers over a ground truth, and cascades of binary neurons
+
+
+def read_through(ground: Column | str, deltas: Column | str, layer: Column | int | None = None) -> Column:
+    """The ground XOR its layers from the first to `layer` (all of them if None)."""
+    ground, deltas = (F.col(x) if isinstance(x, str) else x for x in (ground, deltas))
+    used = deltas if layer is None else F.slice(deltas, 1, layer + 1)
+    return F.aggregate(used, ground, lambda a, d: F.zip_with(a, d, lambda x, y: x.bitwiseXOR(y)))
+
+
+def collapse_layer(ground: Column | str, deltas: Column | str, layer: int) -> Column:
+    """struct<ground, deltas>: one layer XORed into the ground and taken out of the stack."""
+    ground, deltas = (F.col(x) if isinstance(x, str) else x for x in (ground, deltas))
+    rest = F.filter(deltas, lambda _, i: i != layer)
+    merged = F.zip_with(ground, F.get(deltas, layer), lambda x, y: x.bitwiseXOR(y))
+    return F.struct(merged.alias("ground"), rest.alias("deltas"))
+
+
+def changed_bits(ground: Column | str, deltas: Column | str, lanes: int) -> Column:
+    """Bits in which the ground and what is read through all layers differ."""
+    return bits.hamming(ground, read_through(ground, deltas), lanes)
+
+
+def bnn_cascade_search(weights: DataFrame, query: list[int], k: int, gate: bits.SliceGate, n_bits: int, fp: str = "fp", id_col: str = "vec_id", probe0: int = 1, probe1: int = 8) -> DataFrame:
+    """The kernel pipeline over a table of weights, then the k best scores, with matches and score."""
+    kept = kernel_pipeline(weights, query, gate, fp, probe0, probe1)
+    kept = kept.withColumn("matches", F.lit(n_bits) - F.col("energy.conflict"))
+    return kept.withColumn("score", 2.0 * F.col("matches") / F.lit(float(n_bits)) - 1.0).orderBy(F.desc("score"), id_col).limit(k)
+
+
+def bnn_conv1d_channels(inputs: DataFrame, kernels: dict[str, list[int]], stride: int, n_bits: int, position: str) -> DataFrame:
+    """Scores over several channels as one vector of bits, at every stride-th position."""
+    d = sum((bits.hamming(c, bits.literal(k), len(k)) for c, k in kernels.items()), F.lit(0).cast("long"))
+    return inputs.where(F.col(position) % stride == 0).withColumn("score", 2.0 * (n_bits - d) / F.lit(float(n_bits)) - 1.0)

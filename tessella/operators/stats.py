@@ -62,12 +62,47 @@ def cooccurrence(df: DataFrame, sequence: list[str], order: str, item: str, reac
     return counts.join(one, "i").join(two, "j").select("i", "j", "n", (F.col("n") / F.sqrt(F.col("ti").cast("double") * F.col("tj"))).alias("score"))
 
 
+def values_at(df: DataFrame, by: list[str], value: str, ranks: DataFrame, buckets: int = 32) -> DataFrame:
+    """(by, tag, value): the values that stand at given ranks (from 0) of each group in ascending order.
+
+    ranks: (by, tag, rank), a few rows for each group. No group is sorted in one task: a sketch of
+    each group, merged from all tasks, cuts its values into buckets; rows are counted by bucket;
+    only the buckets that hold a wanted rank are ordered, each for itself. Exact whatever the
+    sketch says. Null values do not count; values that are all equal stay in one bucket.
+    """
+    rows = df.select(*by, F.col(value).alias("value")).where("value is not null")
+    cuts = rows.groupBy(*by).agg(F.percentile_approx("value", [i / buckets for i in range(1, buckets)], 1000).alias("cuts"))
+    placed = rows.join(cuts, by).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col("value")))).drop("cuts")
+    before = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy(*by, "bucket").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    wanted = counts.join(ranks, by).where((F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n")))
+    wanted = wanted.select(*by, "bucket", "tag", (F.col("rank") - F.col("before") + 1).alias("place"))
+    held = placed.join(wanted.select(*by, "bucket").distinct(), [*by, "bucket"], "left_semi")
+    ordered = held.withColumn("place", F.row_number().over(Window.partitionBy(*by, "bucket").orderBy("value")))
+    return ordered.join(wanted, [*by, "bucket", "place"]).select(*by, "tag", "value")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """(by, a column for each name in probs): quantiles with linear interpolation on (n - 1) p."""
+    sizes = df.where(F.col(value).isNotNull()).groupBy(*by).agg(F.count("*").alias("n"))
+    at = lambda name, p, fn: F.struct(F.concat(F.lit(name), F.lit("<" if fn is F.floor else ">")).alias("tag"), fn((F.col("n") - 1) * F.lit(p)).alias("rank"))
+    ranks = sizes.select(*by, F.inline(F.array(*(at(k, p, fn) for k, p in probs.items() for fn in (F.floor, F.ceil)))))
+    found = values_at(df, by, value, ranks).groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("tag", "value"))).alias("at"))
+
+    def between(name: str, p: float) -> Column:
+        low, high, rank = F.col("at")[name + "<"], F.col("at")[name + ">"], (F.col("n") - 1) * F.lit(p)
+        return (low + (high - low) * (rank - F.floor(rank))).alias(name)
+
+    return sizes.join(found, by).select(*by, *(between(k, p) for k, p in probs.items()))
+
+
 def profile(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, mean, deviation, least, largest and quartiles; the quartiles are the values at index n q / 100, not interpolated.
 
-    The index is found by counting ranks, so no group is gathered into one array.
+    The values are found by counting (values_at), so no group is gathered or sorted in one task.
     """
-    w = Window.partitionBy(*by)
-    rows = df.withColumn("rn", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda q: F.max(F.when(F.col("rn") == F.least(F.col("n") - 1, F.floor(F.col("n") * q / 100)), F.col(value)))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"), at(25).alias("p25"), at(50).alias("p50"), at(75).alias("p75"))
+    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"), F.min(value).alias("min"), F.max(value).alias("max"))
+    at = lambda q: F.struct(F.lit(f"p{q}").alias("tag"), F.least(F.col("n") - 1, F.floor(F.col("n") * q / 100)).alias("rank"))
+    ranks = sums.select(*by, F.inline(F.array(at(25), at(50), at(75))))
+    found = values_at(df, by, value, ranks).groupBy(*by).agg(*(F.max(F.when(F.col("tag") == t, F.col("value"))).alias(t) for t in ("p25", "p50", "p75")))
+    return sums.join(found, by, "left")

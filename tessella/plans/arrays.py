@@ -64,8 +64,10 @@ def axis_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 4)::DOUBLE AS p25, round(median(value), 4)::DOUBLE AS median, round(var_pop(value), 3)::DOUBLE AS var, round(stddev_pop(value), 3)::DOUBLE AS std, count(*) AS n FROM events GROUP BY event_type")
 def grouped_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("event_type")
-    return e.agg(F.round(F.percentile("value", F.lit(0.25)), 4).alias("p25"), F.round(F.median("value"), 4).alias("median"), F.round(F.var_pop("value"), 3).alias("var"), F.round(F.stddev_pop("value"), 3).alias("std"), F.count("*").alias("n"))
+    e = table(spark, sf_dir, "events")
+    sums = e.groupBy("event_type").agg(F.round(F.var_pop("value"), 3).alias("var"), F.round(F.stddev_pop("value"), 3).alias("std"), F.count("*").alias("n"))
+    found = stats.quantiles(e, ["event_type"], "value", {"p25": 0.25, "median": 0.5})
+    return sums.join(found, "event_type").select("event_type", F.round("p25", 4).alias("p25"), F.round("median", 4).alias("median"), "var", "std", "n")
 
 
 @query("SELECT user_id, arg_max(event_id, struct_pack(v := value, b := -event_id)) AS id, max(value) AS value FROM events GROUP BY user_id")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bits, qualia
-from ..operators import gates, indexed, sweeps, temporal
+from ..functions.bits import slice_gate
+from ..operators import gates, graph, indexed, learning, sweeps, temporal
 from ._registry import CH4, FP2, INT8, channels, first_row, ham, prints, query, signed8, table
 
 _CH = ("meta", "cam", "btree", "embed")
@@ -174,3 +175,68 @@ def partial_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = df.where("vec_id = 0").first()
     a, b = [F.col(c) for c in _CH], [bits.literal(list(q[c])) for c in _CH]
     return df.select("vec_id", bits.partial_hamming(a, b, 1, 64).alias("d"), bits.partial_similarity(a, b, 1, 64).alias("similarity"))
+
+
+def _trace() -> str:
+    """Three steps of the trace; a step is asked only while those before it were confident."""
+    ask = "xor(xor(p.a, {0}.a), r.a)", "xor(xor(p.b, {0}.b), r.b)"
+    d = "CAST(bit_count(" + ask[0] + ") + bit_count(" + ask[1] + ") AS BIGINT)"
+    step = "s{1} AS (SELECT {1} AS step, p.vec_id AS id, p.a, p.b, " + d + " AS d FROM fp2 p, {0}, fp2 r WHERE r.vec_id = 1{2} ORDER BY d, id LIMIT 1)"
+    parts = [step.format("o", 0, ""), step.format("s0", 1, " AND s0.d / 64 < 0.35"), step.format("s1", 2, " AND s1.d / 64 < 0.35")]
+    union = " UNION ALL ".join(f"SELECT CAST(step AS INTEGER) AS step, id, d, d / 64 < 0.35 AS confident FROM s{i}" for i in range(3))
+    return f"WITH {FP2}, o AS (SELECT * FROM fp2 WHERE vec_id = 0), {', '.join(parts)} {union}"
+
+
+@query(_trace())
+def reverse_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = prints(spark, sf_dir)
+    entities = df.select(F.col("vec_id").alias("id"), "fp")
+    return graph.reverse_trace(entities, first_row(df, "fp"), first_row(df, "fp", 1), 2, 3, 0.35, 32)
+
+
+_BIND = "list_transform(list_zip(p.v, t.v), lambda t: least(7, greatest(-7, t[1] + t[2])))"
+_COS = "coalesce(list_sum(list_transform(list_zip(b, {0}), lambda t: t[1]::DOUBLE * t[2])) / nullif(sqrt(list_sum(list_transform(b, lambda x: x::DOUBLE * x))) * sqrt(list_sum(list_transform({0}, lambda x: x::DOUBLE * x))), 0), 0)"
+
+
+@query(f"WITH {INT8}, n AS (SELECT vec_id, (vec_id * 7 + 3) % 50 AS other FROM int8), near AS (SELECT CASE WHEN vec_id = 5 THEN other ELSE vec_id END AS x FROM n WHERE vec_id = 5 OR other = 5), g AS (SELECT p.vec_id, {_BIND} AS b, c.v AS c, list_transform(r.embedding, lambda x: x::DOUBLE) AS r FROM int8 p, int8 t, int8 c, embeddings r WHERE t.vec_id = 5 AND c.vec_id = 1 AND r.vec_id = 2 AND p.vec_id <> 5 AND p.vec_id NOT IN (SELECT x FROM near)), s AS (SELECT vec_id, {_COS.format('c')} AS direct, {_COS.format('r')} AS signal FROM g) SELECT vec_id AS node, round(direct, 6)::DOUBLE + 0 AS direct, round(signal, 6)::DOUBLE + 0 AS signal FROM s ORDER BY abs(s.signal) DESC, vec_id LIMIT 20")
+def entity_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All nodes without an edge to one entity, by how strongly their binding answers a residual."""
+    s = signed8(spark, sf_dir)
+    nodes = s.select(F.col("vec_id").alias("node"), "v")
+    edges = nodes.select(F.col("node").alias("src"), ((F.col("node") * 7 + 3) % 50).alias("dst"))
+    residual = [float(x) for x in first_row(table(spark, sf_dir, "embeddings"), "embedding", 2)]
+    out = graph.probe_entity(nodes, edges, 5, first_row(s, "v", 1), residual, 20)
+    return out.select("node", (F.round("direct", 6) + 0.0).alias("direct"), (F.round("signal", 6) + 0.0).alias("signal"))
+
+
+_LAYERS = f"{FP2}, l AS (SELECT label, max(CASE WHEN k = 1 THEN a END) AS g, max(CASE WHEN k = 2 THEN a END) AS x, max(CASE WHEN k = 3 THEN a END) AS y, max(CASE WHEN k = 4 THEN a END) AS z FROM (SELECT label, a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM fp2) WHERE k <= 4 GROUP BY label HAVING count(*) = 4)"
+
+
+@query(f"WITH {_LAYERS} SELECT label, CAST(xor(xor(xor(g, x), y), z) AS BIGINT) AS whole, CAST(xor(xor(g, x), y) AS BIGINT) AS through1, CAST(xor(g, y) AS BIGINT) AS ground, CAST(xor(xor(g, x), xor(y, z)) AS BIGINT) AS after, CAST(bit_count(xor(xor(x, y), z)) AS BIGINT) AS changed FROM l")
+def layer_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ground and three layers for each label, from its first four vectors: read, collapsed, read again."""
+    p = prints(spark, sf_dir).select("label", "vec_id", F.array(F.col("fp")[0]).alias("w"))
+    first = p.groupBy("label").agg(F.slice(F.array_sort(F.collect_list(F.struct("vec_id", "w"))), 1, 4).alias("r")).where("size(r) = 4")
+    l = first.select("label", F.col("r")[0]["w"].alias("ground"), F.transform(F.slice("r", 2, 3), lambda e: e["w"]).alias("deltas"))
+    c = l.withColumn("c", learning.collapse_layer("ground", "deltas", 1))
+    return c.select(
+        "label", learning.read_through("ground", "deltas")[0].alias("whole"), learning.read_through("ground", "deltas", F.lit(1))[0].alias("through1"),
+        F.col("c.ground")[0].alias("ground"), learning.read_through(F.col("c.ground"), F.col("c.deltas"))[0].alias("after"), learning.changed_bits("ground", "deltas", 1).alias("changed"),
+    )
+
+
+_GATE = slice_gate(64)
+
+
+@query(f"WITH {FP2}, m AS (SELECT p.vec_id, {ham('p', 'q')} AS d, CAST(bit_count(xor(p.a, q.a)) AS BIGINT) AS d0 FROM fp2 p, fp2 q WHERE q.vec_id = 0) SELECT vec_id, 64 - d AS matches, 2.0::DOUBLE * (64 - d) / 64.0::DOUBLE - 1 AS score FROM m WHERE d0 <= {_GATE.k0} AND d <= {_GATE.k1} AND d < {_GATE.cold} ORDER BY d, vec_id LIMIT 30")
+def bnn_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = prints(spark, sf_dir)
+    return learning.bnn_cascade_search(df, first_row(df, "fp"), 30, _GATE, 64).select("vec_id", "matches", "score")
+
+
+@query(f"WITH {CH4} SELECT p.vec_id, 2.0::DOUBLE * (48 - (bit_count(xor(p.meta, q.meta)) + bit_count(xor(p.cam, q.cam)) + bit_count(xor(p.btree, q.btree)))) / 48.0::DOUBLE - 1 AS score FROM ch4 p, ch4 q WHERE q.vec_id = 0 AND p.vec_id % 3 = 0")
+def bnn_conv1d_3ch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three channels as one kernel, at every third position: the stride is the operator's."""
+    df = channels(spark, sf_dir)
+    q = df.where("vec_id = 0").first()
+    return learning.bnn_conv1d_channels(df, {c: list(q[c]) for c in _CH[:3]}, 3, 48, "vec_id").select("vec_id", "score")

@@ -9,7 +9,6 @@ import pytest
 from tessella import plans
 
 SF = os.environ.get("PLANS_SF_DIR", "/root/testdata/sf0.01")
-SLOW = {"radius_search", "knn_exact", "xor_diff", "anomaly_score", "command_scan"}  # one tree each; see test_clusters
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
@@ -35,6 +34,6 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_equals_sql(spark, duck, name):
     assert rows(plans.queries()[name](spark, SF).toPandas()) == rows(duck.sql(plans.oracle_sql()[name]).df())
