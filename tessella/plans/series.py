@@ -83,7 +83,7 @@ def shift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     windows = shift.shift_windows(stream, "ts", "value", "1 day", _EDGES, "1 day")
     base = shared_folder(spark)
-    out = shift.run_available(windows, f"shift_{uuid.uuid4().hex[:8]}", "complete", f"{base}/stream-{uuid.uuid4().hex}")
+    out = shift.run_available(windows, "complete", f"{base}/stream-{uuid.uuid4().hex}")
     return out.withColumn("start", F.unix_timestamp("start"))
 
 

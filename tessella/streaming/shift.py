@@ -54,8 +54,20 @@ def normalize(events: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return events.select(key, order, value).groupBy(key).applyInPandasWithState(step, f"{key} {kind}, {order} {when}, {value} double, out double", "mean double, var double", "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what is there now into a table of that name in memory, and returns it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_available(stream: DataFrame, mode: str, checkpoint: str) -> DataFrame:
+    """Runs a stream over what is there now into Parquet beside its checkpoint, and reads that.
+
+    Each micro-batch has a folder of its own, so one that is run again replaces itself; in complete
+    mode the latest replaces all. Nothing of the result passes through the driver.
+    """
+    path = f"{checkpoint}-rows"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark = stream.sparkSession
+    if not query.recentProgress:
+        return spark.createDataFrame([], stream.schema)
+    return spark.read.schema(stream.schema).parquet(f"{path}/*")

@@ -1,4 +1,3 @@
-import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,7 +59,7 @@ def test_soak_and_normalize_streams(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame(rows, schema).write.parquet(path)
     stream = spark.readStream.schema(schema).parquet(path)
-    out = shift.run_available(shift.soak(stream, "k", "t", "v"), f"s{uuid.uuid4().hex[:8]}", "update", str(tmp_path / "c1"))
+    out = shift.run_available(shift.soak(stream, "k", "t", "v"), "update", str(tmp_path / "c1"))
     assert {(r.k, r.level, r.n) for r in out.collect()} == {("k0", 127, 20), ("k1", 127, 20)}
-    out = shift.run_available(shift.normalize(stream, "k", "t", "v"), f"n{uuid.uuid4().hex[:8]}", "append", str(tmp_path / "c2"))
+    out = shift.run_available(shift.normalize(stream, "k", "t", "v"), "append", str(tmp_path / "c2"))
     assert out.count() == 40
