@@ -283,3 +283,33 @@ def unpack_states(packed: Column | str, n: int) -> Column:
     x = col(packed)
     byte = lambda i: F.get(x, F.floor(i / 4).cast("int"))
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.call_function("shiftright", byte(i), (6 - i % 4 * 2).cast("int")).bitwiseAND(F.lit(3)))
+
+
+def pack_five(states: Column | str) -> Column:
+    """States 0 to 4, three in a byte: 25 a + 5 b + c, missing ones 2 (the silent state)."""
+    x = col(states)
+    at = lambda i: F.coalesce(F.get(x, i), F.lit(2))
+    byte = lambda k: at(3 * k) * 25 + at(3 * k + 1) * 5 + at(3 * k + 2)
+    count = F.ceil(F.size(x) / 3).cast("int")
+    return F.when(F.size(x) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), count - 1), byte))
+
+
+def unpack_five(packed: Column | str, n: int) -> Column:
+    x = col(packed)
+    byte = lambda i: F.get(x, F.floor(i / 3).cast("int"))
+    one = lambda i: F.when(i % 3 == 0, F.floor(byte(i) / 25)).when(i % 3 == 1, F.floor(byte(i) / 5) % 5).otherwise(byte(i) % 5).cast("int")
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), one)
+
+
+def signal_quality(x: Column | str, words: int) -> Column:
+    """Variance of the words' set bits: low for noise."""
+    counts = [F.bit_count(col(x)[i]).cast("double") for i in range(words)]
+    mean = reduce(lambda a, b: a + b, counts) / float(words)
+    return reduce(lambda a, b: a + b, [c * c for c in counts]) / float(words) - mean * mean
+
+
+def refine_cold(a: Column | str, b: Column | str) -> Column:
+    """Score band of an uncertain match from its lanes: 2 where under 4 signs and under 4 exponent bits
+    differ, else 1."""
+    d = structural_diff(a, b)
+    return F.when((d["sign_flips"] < 4) & (d["exponent_bits"] < 4), 2).otherwise(1)

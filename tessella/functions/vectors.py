@@ -356,3 +356,27 @@ def unsort(sorted_: Column, places: Column) -> Column:
     """The values in the places where they stood."""
     pairs = F.array_sort(F.zip_with(places, sorted_, lambda i, v: F.struct(i.alias("i"), v.alias("v"))))
     return F.transform(pairs, lambda e: e["v"])
+
+
+# --- other lengths
+
+
+def upsample(x: Column | str, n: int, size: int) -> Column:
+    """`size` values stretched to n by linear interpolation; the last value is held."""
+    x = col(x)
+
+    def at(j: Column) -> Column:
+        place = j / F.lit(n / size)
+        low = F.least(F.floor(place), F.lit(size - 1)).cast("int")
+        high = F.least(low + 1, F.lit(size - 1))
+        part = place - F.floor(place)
+        return F.get(x, low) * (1.0 - part) + F.get(x, high) * part
+
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at)
+
+
+def downsample(x: Column | str, n: int, size: int, low: int, high: int) -> Column:
+    """`size` values as n means of successive groups, rounded half away from zero and clamped."""
+    group = max(1, size // n)
+    mean = lambda i: total(F.slice(col(x), i * group + 1, F.lit(group))) / F.lit(float(group))
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.least(F.lit(high), F.greatest(F.lit(low), F.round(mean(i)).cast("int"))))

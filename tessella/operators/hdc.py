@@ -103,3 +103,22 @@ def nearest_entry(probe: DataFrame, codebook: DataFrame, lanes: int, max_entries
     scored = F.transform(book, lambda e: F.struct(bits.hamming(e["fp"], F.col("fp"), lanes).alias("d"), e["entry"].alias("entry")))
     best = F.array_min(scored)
     return probe.withColumn("best", best).select("id", F.col("best.entry").alias("entry"), F.col("best.d").alias("d"))
+
+
+def infer_verb(edge: Column, src: Column, dst: Column, lanes: int, width: int = 64) -> Column:
+    """struct<d, verb>: the verb whose decoded target is nearest to dst, the smaller offset among equals."""
+    one = lambda v, k: F.struct(bits.hamming(decode_target(edge, src, v, lanes, width), dst, lanes).alias("d"), F.lit(k).alias("k"), F.lit(v).alias("verb"))
+    best = F.array_min(F.array(*(one(v, k) for v, k in VERBS.items())))
+    return F.struct(best["d"].alias("d"), best["verb"].alias("verb"))
+
+
+def bundle_average(df: DataFrame, by: list[str], vector: str = "v") -> DataFrame:
+    """(by, pos, v): the mean of each position, rounded down; for phases that do not wrap around."""
+    long = df.select(*by, F.posexplode(vector).alias("pos", "x"))
+    return long.groupBy(*by, "pos").agg(F.floor(F.sum("x") / F.count("*")).cast("int").alias("v"))
+
+
+def mutate(triple: Column, slots: str, replacement: Column) -> Column:
+    """struct<s, p, o, confidence> with one or two of its slots replaced: confidence halves for each."""
+    part = lambda c: (replacement if c in slots else triple[c]).alias(c)
+    return F.struct(*map(part, "spo"), (triple["confidence"] * 0.5 ** len(slots)).alias("confidence"))

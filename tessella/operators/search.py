@@ -127,3 +127,9 @@ def similar_pairs(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col:
     same = one.select(F.col("fp").alias("fa"), F.col("fp").alias("fb")).withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit)
     pairs = near.unionByName(same).join(rows.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(rows.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
     return pairs.where("CASE WHEN fa = fb THEN x < y ELSE x <> y END").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")
+
+
+def cosine_within(df: DataFrame, query: list[float], least: float, vector: str = "embedding") -> DataFrame:
+    """Rows whose cosine with the query is at least `least`, with cos."""
+    cos = vectors.cosine(vectors.doubles(vector), F.array(*(F.lit(float(x)) for x in query)))
+    return df.withColumn("cos", cos).where(F.col("cos") >= F.lit(least))

@@ -155,3 +155,34 @@ def truth_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH d AS (SELECT l_orderkey, l_linenumber, l_discount AS ds, l_tax AS dp, (l_quantity % 10) / 10 AS d3 FROM lineitem) SELECT l_orderkey, l_linenumber, CASE WHEN greatest(ds, dp, d3) < 0.3 THEN 'core' WHEN d3 = greatest(ds, dp, d3) THEN 'sp' WHEN dp = greatest(ds, dp, d3) THEN 'so' ELSE 'po' END AS halo FROM d")
 def halo_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", truth.halo_by_distance(F.col("l_discount"), F.col("l_tax"), F.col("l_quantity") % 10 / 10).alias("halo"))
+
+
+_SEVEN = [_verb("s", "d", k) for k in range(1, 8)]
+_DIST = ", ".join(f"bit_count(xor({a}, {_F[0]})) + bit_count(xor({b}, {_F[1]}))" for a, b in _SEVEN)
+
+
+@query(f"WITH {FP2}, x AS (SELECT s.vec_id, [{_DIST}] AS d FROM fp2 s JOIN fp2 d ON d.vec_id = s.vec_id + 1) SELECT vec_id, CAST(list_min(d) AS BIGINT) AS d, ['BECOMES', 'CAUSES', 'SUPPORTS', 'CONTRADICTS', 'REFINES', 'GROUNDS', 'ABSTRACTS'][list_position(d, list_min(d))] AS verb FROM x")
+def inferred_verbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verb of each edge again, from its ends."""
+    p = _neighbours(spark, sf_dir).withColumn("e", hdc.encode_verb(F.col("s"), "REFINES", F.col("d"), 2, 32))
+    return p.select("vec_id", hdc.infer_verb(F.col("e"), F.col("s"), F.col("d"), 2, 32).alias("v")).select("vec_id", "v.d", "v.verb")
+
+
+@query(f"WITH {INT8}, l AS (SELECT label, unnest(range(64)) AS pos, unnest(v) + 128 AS x FROM int8) SELECT label, CAST(pos AS INTEGER) AS pos, CAST(floor(sum(x) / count(*)) AS INTEGER) AS v FROM l GROUP BY label, pos")
+def bundle_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = signed8(spark, sf_dir).select("label", F.transform("v", lambda x: x + 128).alias("v"))
+    return hdc.bundle_average(s, ["label"])
+
+
+@query(f"WITH {FP2}, c AS (SELECT vec_id, bit_count(a)::DOUBLE AS x, bit_count(b)::DOUBLE AS y FROM fp2) SELECT vec_id, (x * x + y * y) / 2 - ((x + y) / 2) * ((x + y) / 2) AS quality FROM c")
+def signal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints(spark, sf_dir).select("vec_id", bits.signal_quality("fp", 2).alias("quality"))
+
+
+@query(f"WITH {FP2} SELECT s.vec_id, s.a AS s, q.a AS p, d.a AS o, 0.5::DOUBLE AS c1, q.a AS s2, 0.25::DOUBLE AS c2 FROM fp2 s JOIN fp2 d ON d.vec_id = s.vec_id + 1, fp2 q WHERE q.vec_id = 0")
+def mutated_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One slot and two slots of a triple replaced."""
+    other = bits.literal([w % (1 << 64) for w in prints(spark, sf_dir).where("vec_id = 0").first()["fp"]])
+    t = _neighbours(spark, sf_dir).select("vec_id", F.struct(F.col("s"), F.col("s").alias("p"), F.col("d").alias("o"), F.lit(1.0).alias("confidence")).alias("t"))
+    m = t.select("vec_id", hdc.mutate(F.col("t"), "p", other).alias("one"), hdc.mutate(F.col("t"), "sp", other).alias("two"))
+    return m.select("vec_id", F.col("one.s")[0].alias("s"), F.col("one.p")[0].alias("p"), F.col("one.o")[0].alias("o"), F.col("one.confidence").alias("c1"), F.col("two.s")[0].alias("s2"), F.col("two.confidence").alias("c2"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bf16, bits
 from ..functions import vectors as V
-from ..operators import sweeps
+from ..operators import linalg, search, stats, sweeps
+from ..operators._cut import shared_folder
+from ..sources import records
 from ._registry import query, table
 
 _E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_reverse(list_transform(embedding, lambda x: x::DOUBLE)) AS y FROM embeddings)"
@@ -121,8 +125,6 @@ def sort_and_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_Q}, s AS (SELECT vec_id, list_sort(v) AS v FROM q), d AS (SELECT a.vec_id, CAST(list_sum({_zip('abs(t[1] - t[2])', 'a.v', 'b.v')}) AS BIGINT) AS d FROM s a, s b WHERE b.vec_id = 0) SELECT vec_id, d FROM d WHERE d <= 220")
 def wasserstein_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """1-Wasserstein distance of sorted values to those of one row, within a limit."""
-    from ..operators import search
-
     v = F.transform("embedding", lambda x: F.round(x.cast("double") * 127).cast("int") + 128)
     s = table(spark, sf_dir, "embeddings").select("vec_id", F.array_sort(v).alias("v"))
     q = F.array(*map(F.lit, s.where("vec_id = 0").first()["v"]))
@@ -137,3 +139,53 @@ def packed_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 16).cast("int") % 4)
     p = table(spark, sf_dir, "embeddings").select("vec_id", bits.pack_states(s).alias("packed"))
     return p.select("vec_id", "packed", bits.unpack_states("packed", 64).alias("back"))
+
+
+@query(f"WITH {_Q}, p AS (SELECT vec_id, list_transform(v, lambda x: x - 128) AS v FROM q) SELECT vec_id, list_transform(range(160), lambda j: v[CAST(least(floor(j / 2.5::DOUBLE), 63) AS INTEGER) + 1] * (1.0::DOUBLE - (j / 2.5::DOUBLE - floor(j / 2.5::DOUBLE))) + v[CAST(least(floor(j / 2.5::DOUBLE) + 1, 63) AS INTEGER) + 1] * (j / 2.5::DOUBLE - floor(j / 2.5::DOUBLE))) AS up, list_transform(range(16), lambda i: CAST(least(7, greatest(-7, round(list_sum(v[4 * i + 1:4 * i + 4]) / 4.0::DOUBLE))) AS INTEGER)) AS down FROM p")
+def resampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.transform("embedding", lambda x: F.round(x.cast("double") * 127))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", v.alias("v"))
+    return p.select("vec_id", V.upsample("v", 160, 64).alias("up"), V.downsample("v", 16, 64, -7, 7).alias("down"))
+
+
+_FIVE = "list_transform(embedding, lambda x: CAST(floor(abs(x::DOUBLE) * 20) AS INTEGER) % 5)"
+
+
+@query(f"WITH s AS (SELECT vec_id, list_append(list_append({_FIVE}, 2), 2) AS t, {_FIVE} AS s FROM embeddings) SELECT vec_id, list_transform(range(22), lambda k: CAST(t[3 * k + 1] * 25 + t[3 * k + 2] * 5 + t[3 * k + 3] AS INTEGER)) AS packed, s AS back FROM s")
+def packed_five_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = F.transform("embedding", lambda x: F.floor(F.abs(x.cast("double")) * 20).cast("int") % 5)
+    p = table(spark, sf_dir, "embeddings").select("vec_id", bits.pack_five(s).alias("packed"))
+    return p.select("vec_id", "packed", bits.unpack_five("packed", 64).alias("back"))
+
+
+@query("SELECT p.vec_id, round(list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]), 5)::DOUBLE + 0 AS cos FROM embeddings p, embeddings q WHERE q.vec_id = 0 AND list_cosine_similarity(p.embedding::DOUBLE[], q.embedding::DOUBLE[]) >= 0.1")
+def cosine_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
+    return search.cosine_within(e, q, 0.1).select("vec_id", (F.round("cos", 5) + 0.0).alias("cos"))
+
+
+@query(f"WITH {_E}, c AS (SELECT vec_id AS i, unnest(range(64)) AS k, unnest(list_transform(x, lambda v: CASE WHEN v = 0 THEN 0.0 ELSE sign(v) * floor(abs(v) / {_UNIT}) * {_UNIT} END::DOUBLE)) AS v FROM e), b AS (SELECT k, j, (((k * 7 + j * 3) % 11) - 5)::DOUBLE / 8 AS v FROM (SELECT unnest(range(64)) AS k), (SELECT unnest(range(8)) AS j)) SELECT i, j, round(sum(c.v * b.v), 4)::DOUBLE + 0 AS v FROM c JOIN b USING (k) GROUP BY i, j")
+def bf16_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole table cut to 16-bit floats, times a fixed 64 x 8 matrix; sums in doubles."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", bf16.widened(bf16.truncated("embedding")).alias("x"))
+    a = stats.long_form(e, "vec_id", "x").withColumn("j", F.col("j").cast("long"))
+    b = spark.range(64 * 8).select(F.floor(F.col("id") / 8).alias("i"), (F.col("id") % 8).alias("j"))
+    b = b.withColumn("v", ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5).cast("double") / 8)
+    return linalg.gemm(a, b).withColumn("v", F.round("v", 4) + 0.0)
+
+
+@query("SELECT n_nationkey AS id, n_name AS name, n_regionkey * 1.5::DOUBLE AS score FROM nation")
+def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table through CSV files in the shared folder."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), (F.col("n_regionkey") * 1.5).alias("score"))
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    records.write_csv(n, path)
+    return records.read_csv(spark, path, "id int, name string, score double")
+
+
+@query("SELECT vec_id, [label::DOUBLE, 0.0, vec_id::DOUBLE]::DOUBLE[] AS v FROM embeddings")
+def named_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of a JSON object by name, in a fixed order."""
+    text = F.to_json(F.create_map(F.lit("a"), F.col("label").cast("double"), F.lit("c"), F.col("vec_id").cast("double")))
+    return table(spark, sf_dir, "embeddings").select("vec_id", records.named_values(text, ["a", "b", "c"]).alias("v"))

@@ -240,3 +240,10 @@ def bnn_conv1d_3ch(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = channels(spark, sf_dir)
     q = df.where("vec_id = 0").first()
     return learning.bnn_conv1d_channels(df, {c: list(q[c]) for c in _CH[:3]}, 3, 48, "vec_id").select("vec_id", "score")
+
+
+@query(f"WITH l AS (SELECT vec_id, {_LANES} AS l FROM embeddings), x AS (SELECT p.vec_id, list_transform(list_zip(p.l, q.l), lambda t: xor(t[1], t[2])) AS x FROM l p, l q WHERE q.vec_id = 0) SELECT vec_id, CASE WHEN list_sum(list_transform(x, lambda v: v >> 15)) < 4 AND list_sum(list_transform(x, lambda v: bit_count((v >> 7) & 255))) < 4 THEN 2 ELSE 1 END AS band FROM x")
+def refined_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lane = lambda x: (F.when(x < 0, 32768).otherwise(0) + F.floor(F.abs(x.cast("double")) * 16384)).cast("int")
+    lanes = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lane).alias("l"))
+    return lanes.select("vec_id", bits.refine_cold("l", F.array(*map(F.lit, first_row(lanes, "l")))).alias("band"))

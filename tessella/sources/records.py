@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,3 +73,18 @@ def _word(column: str, i: int):
     byte = lambda k: F.substring(F.hex(column), 2 * (8 * i + k) + 1, 2)
     half = lambda lo: F.conv(F.concat(*(byte(k) for k in range(lo + 3, lo - 1, -1))), 16, 10).cast("long")
     return F.shiftleft(half(4), 32).bitwiseOR(half(0))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table of plain columns as CSV files with a header."""
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
+def named_values(text: Column | str, names: list[str]) -> Column:
+    """The values of a JSON object's numbers in the order of names; 0 where one is missing."""
+    found = F.from_json(F.col(text) if isinstance(text, str) else text, "map<string,double>")
+    return F.transform(F.array(*map(F.lit, names)), lambda n: F.coalesce(F.element_at(found, n), F.lit(0.0)))
