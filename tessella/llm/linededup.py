@@ -28,6 +28,14 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select(*DOC, "k", F.col("e.no").alias("no"), F.xxhash64(line).alias("a"), F.hash(line, F.lit(1)).alias("b"), F.size(F.split(line, WORD_GAP)).alias("n"))
 
 
+def _met(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8) -> DataFrame:
+    """left joined with right, which has one row for a key: the rows of a very common key are dealt
+    to `salts` tasks, to each of which right's row is copied."""
+    salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
+    copies = right.withColumn("__salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
+    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
+
+
 def _named(pairs: DataFrame, label: str) -> DataFrame:
     """pairs (a, b) that occur twice or more, with r: their rank in (a, b) order.
 
@@ -42,19 +50,22 @@ def _named(pairs: DataFrame, label: str) -> DataFrame:
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, th, gone array<int>): the lines (no) that belong to later copies of repeated runs.
 
-    A run is a sequence of successive lines with at least min_words words; it is repeated if the
-    same lines stand at another place, of any document. Lines that occur once end every run, so
-    only the others go on. For each line the shortest window of min_words words that begins there,
-    and the shortest that ends there, are looked up: together such windows cover exactly the
-    repeated runs. Windows of L lines are equal if their prefixes and suffixes of 2^j <= L lines
-    are, and those have ranks from prefix doubling: the rank of 2^j lines is that of the pair of
-    ranks of their halves, in sorted order, as in a suffix array; equal ranks are the intervals
-    whose longest common prefix is that long. Of each interval the first place by (doc_id, th, k)
-    stays. Doubling stops at the longest window, min_words lines at most.
+    A run is a sequence of successive lines with at least min_words words. It is a later copy if the
+    same lines stand at an earlier place, by (doc_id, th, k), that it does not overlap; of lines
+    that repeat on the spot, the first min_words words therefore stay whole. Lines that occur once
+    end every run, so only the others go on.
+
+    For each line the shortest window of min_words words that begins there, and the shortest that
+    ends there, are looked up: together such windows cover exactly the repeated runs, however long
+    these are. Windows of L lines are equal if their prefixes and suffixes of 2^j <= L lines are,
+    and those have ranks from prefix doubling: the rank of 2^j lines is that of the pair of ranks of
+    their halves, in sorted order, as in a suffix array; places of one pair of ranks are the
+    interval of the suffix order whose longest common prefix has L lines. Doubling stops at the
+    longest window, min_words lines at most: deeper ranks would tell no window from another.
     """
     lines = materialize(line_table(docs), "lines")
     names = _named(lines.select("a", "b"), "line-names")
-    live = lines.join(names, ["a", "b"]).select(*DOC, "k", "no", "n", "r")
+    live = _met(lines, names, ["a", "b"]).select(*DOC, "k", "no", "n", "r")
     by_doc = Window.partitionBy(*DOC).orderBy("k")
     live = live.repartition(*DOC).dropDuplicates([*DOC, "k"]).withColumn("seg", F.col("k") - F.row_number().over(by_doc))
     seg = Window.partitionBy(*DOC, "seg")
@@ -99,7 +110,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
         return live.select(*DOC, F.array("no").alias("gone")).limit(0)
     found = materialize(found, "line-found")
     first = found.groupBy("size", "x", "y").agg(F.min(F.struct(*DOC, "at")).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = found.join(first, ["size", "x", "y"]).where(~F.struct(*DOC, "at").eqNullSafe(F.col("first")))
+    here = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    later = _met(found, first, ["size", "x", "y"]).where(~here | (F.col("at") >= F.col("first.at") + F.col("size")))
     gone = later.select(*DOC, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     x, y = gone.alias("g"), live.alias("l")
     same = F.col("g.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("g.th") == F.col("l.th")) & (F.col("g.at") == F.col("l.k"))
@@ -110,9 +122,10 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """docs with text cut, plus n_lines (lines with a word) and n_removed; one row per row.
 
-    Later copies of repeated runs of at least min_words words lose their lines; everything else,
-    lines without a word included, stays as it is, joined by newlines. The first copy, by doc_id
-    (null first), then a hash of the text, then place, stays. Null and empty texts stay as they
+    Later copies of runs of at least min_words words (see repeated_lines) lose their lines;
+    everything else, lines without a word included, stays as it is, joined by newlines. The first
+    copy, by doc_id (null first), then a hash of the text, then place, stays; lines are told apart
+    by 96-bit hashes, texts of one doc_id by 64-bit ones. Null and empty texts stay as they
     are; rows equal in doc_id and text share one fate. Columns of docs keep their places, but for
     columns called n_lines or n_removed, which are replaced; n_chars is counted anew if present.
     """

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import WORD, fits_broadcast, materialize
 
 LEVELS = ("__domain", "__lang", "__source")
+#: Target weights by level and name, as the query and the pipeline use them; names not listed have 1.
+TARGETS = (
+    (0, "d0", 3.0), (0, "d1", 1.0), (0, "d2", 2.0), (0, "d3", 2.0),
+    (1, "en", 4.0), (1, "fr", 3.0), (1, "de", 2.0), (1, "es", 1.0),
+    (2, "src1", 5.0), (2, "src2", 3.0), (2, "src7", 2.0), (2, "src10", 0.5), (2, "src12", 0.0),
+)
+
+
+def targets(spark: SparkSession, weights: tuple[tuple[int, str, float], ...] = TARGETS) -> DataFrame:
+    return spark.createDataFrame(list(weights), "level int, name string, weight double")
 
 
 def tree(docs: DataFrame, domains: int = 4) -> DataFrame:
@@ -31,7 +41,8 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, wei
     to its children by weight; a child that cannot use its share gives the rest to its siblings
     (the saturated ones are those of least capacity to weight, found by running sums), and what a
     whole subtree cannot use was dealt to its ancestors' siblings one level up. weights:
-    (level int, name, weight) for nodes by name, 1 where it has none or a null.
+    (level int, name, weight) for nodes by name, 1 where it has none or a null. A node of weight 0
+    gets nothing, and what its weighted siblings cannot use is then lost.
     """
     out = leaves.withColumn("cap", F.col("tokens") * max_epochs).withColumn("budget", F.lit(total).cast("long"))
     for depth, level in enumerate(levels):
@@ -41,7 +52,7 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, wei
             nodes = nodes.withColumn("w", F.lit(1.0))
         else:
             named = weights.where(F.col("level") == depth).select(F.col("name").alias(level), F.col("weight").cast("double").alias("w"))
-            nodes = nodes.join(named, level, "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+            nodes = nodes.join(F.broadcast(named) if fits_broadcast(named, 100_000) else named, level, "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
         by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
         ratio = F.when(F.col("w") > 0, F.col("node_cap") / F.col("w")).otherwise(F.lit(float("inf")))
         order = by.orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
@@ -50,12 +61,12 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, wei
             .withColumn("cap_before", F.coalesce(F.sum("node_cap").over(order), F.lit(0)))
             .withColumn("w_left", F.sum("w").over(by) - F.coalesce(F.sum("w").over(order), F.lit(0.0)))
             .withColumn("left", F.col("given") - F.col("cap_before"))
-            .withColumn("full", F.col("node_cap") * F.col("w_left") <= F.col("left") * F.col("w"))
+            .withColumn("full", (F.col("w") > 0) & (F.col("node_cap") * F.col("w_left") <= F.col("left") * F.col("w")))
         )
         # Saturated children come first; the first that is not fixes the share of all others.
         first = F.min(F.when(~F.col("full"), F.struct("ratio", level, "left", "w_left"))).over(by)
         nodes = nodes.withColumn("cut", first)
-        share = F.floor(F.col("cut.left") * F.col("w") / F.col("cut.w_left"))
+        share = F.when(F.col("w") > 0, F.floor(F.col("cut.left") * F.col("w") / F.col("cut.w_left"))).otherwise(F.lit(0))
         before = F.col("cut").isNull() | (F.struct("ratio", level) < F.struct(F.col("cut.ratio"), F.col(f"cut.{level}")))
         nodes = nodes.withColumn("node_budget", F.when(before, F.col("node_cap")).otherwise(share).cast("long"))
         out = out.drop("budget").join(nodes.select(*path, F.col("node_budget").alias("budget")), path)
@@ -69,13 +80,16 @@ def plan(
     seed: int = 7,
     weights: DataFrame | None = None,
     buckets_hex: int = 3,
+    fine_rows: int = 1 << 20,
 ) -> DataFrame:
     """A row for each leaf: its whole epochs, and where its prefix of the next epoch ends.
 
     Budget: fraction of all tokens. A leaf takes whole seeded epochs while its budget lasts, then
-    the longest prefix, in the next epoch's order, whose tokens fit. The end is found in two steps,
-    so no leaf is ever in one task: tokens are summed by leaf and 16^buckets_hex ranges of the
-    order, and only the range in which the budget ends is ordered row by row.
+    the longest prefix, in the next epoch's order, whose tokens fit. The end is found in steps, so
+    no leaf is ever in one task: tokens are summed by leaf and 16^buckets_hex ranges of the order;
+    the range in which the budget ends is divided again while it has over fine_rows rows, and only
+    what is left is ordered row by row. A table of few leaves (counted) is broadcast, a larger one
+    is joined by shuffle, with the same result.
     """
     keys = list(LEVELS)
     rows = materialize(tree(docs).select("doc_id", *keys, "__tokens"), "mix-rows")
@@ -85,37 +99,43 @@ def plan(
     whole = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(F.lit(0)).cast("int")
     dealt = dealt.withColumn("whole", whole).select(*keys, "budget", "whole", (F.col("budget") - F.col("whole") * F.col("tokens")).alias("remain"))
     dealt = materialize(dealt, "mix-budgets")
-    small = fits_broadcast(dealt, 100_000)
-    hint = F.broadcast if small else lambda x: x
-    placed = rows.join(hint(dealt), keys).withColumn("rank", _rank(seed, F.col("whole"), F.col("doc_id"))).withColumn("bucket", F.substring("rank", 1, buckets_hex))
-    sums = placed.groupBy(*keys, "remain", "bucket").agg(F.sum("__tokens").alias("t"))
+    hint = F.broadcast if fits_broadcast(dealt, 100_000) else lambda x: x
+    placed = rows.join(hint(dealt), keys).withColumn("rank", _rank(seed, F.col("whole"), F.col("doc_id"))).select("rank", *keys, "__tokens")
+    edge, depth, most = dealt.select(*keys, F.lit("").alias("edge"), F.col("remain").alias("room")), 0, fine_rows + 1
     order = Window.partitionBy(*keys).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    edge = (
-        sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0)))
-        .where((F.col("before") <= F.col("remain")) & (F.col("before") + F.col("t") > F.col("remain")))
-        .select(*keys, F.col("bucket").alias("edge"), (F.col("remain") - F.col("before")).alias("room"))
-    )
-    edge = materialize(edge, "mix-edges")  # at most a row for each leaf
+    while depth == 0 or (most > fine_rows and depth < 32):
+        depth += buckets_hex
+        inside = placed.join(hint(edge), keys).where(F.substring("rank", F.lit(1), F.length("edge")) == F.col("edge"))
+        sums = inside.groupBy(*keys, "room", F.substring("rank", 1, depth).alias("bucket")).agg(F.sum("__tokens").alias("t"), F.count("*").alias("n"))
+        ends = (
+            sums.withColumn("before", F.coalesce(F.sum("t").over(order), F.lit(0)))
+            .where((F.col("before") <= F.col("room")) & (F.col("before") + F.col("t") > F.col("room")))
+            .select(*keys, F.col("bucket").alias("edge"), (F.col("room") - F.col("before")).alias("room"), "n")
+        )
+        edge = materialize(ends, "mix-edges")  # at most a row for each leaf
+        most = edge.agg(F.max("n")).first()[0] or 0
     # Rows of one rank (one doc_id repeated) are taken together or left together.
     upto = Window.partitionBy(*keys).orderBy("rank")
-    fine = placed.join(hint(edge), keys).where("bucket = edge").withColumn("sum", F.sum("__tokens").over(upto))
+    fine = placed.join(hint(edge), keys).where(F.substring("rank", 1, depth) == F.col("edge")).withColumn("sum", F.sum("__tokens").over(upto))
     cut = fine.where("sum <= room").groupBy(*keys).agg(F.max("rank").alias("cut"))
-    return materialize(dealt.join(edge.select(*keys, "edge"), keys, "left").join(cut, keys, "left"), "mix-plan")
+    out = dealt.join(edge.select(*keys, "edge"), keys, "left").join(cut, keys, "left")
+    return materialize(out.select(*keys, *(F.col(c).alias(f"__{c}") for c in ("budget", "whole", "remain", "edge", "cut"))), "mix-plan")
 
 
 def mix(docs: DataFrame, plan: DataFrame, seed: int = 7) -> DataFrame:
     """docs' rows that the plan takes, with __domain, __lang, __source, __tokens and epoch (from 0).
 
     A row taken in several epochs comes once for each. A leaf without tokens gives no row; rows
-    without tokens elsewhere are taken where the order puts them. The plan has a row for each
-    leaf; it is broadcast if counted to be small, so texts are not shuffled. An empty table gives
-    an empty result.
+    without tokens elsewhere are taken where the order puts them. A column of docs called epoch is
+    replaced, other columns are kept whatever their names, but for names with two leading
+    underscores, which the operator uses. The plan has a row for each leaf; it is broadcast if
+    counted to be small, so texts are not shuffled. An empty table gives an empty result.
     """
     keys, small = list(LEVELS), fits_broadcast(plan, 100_000)
     rows = tree(docs).join(F.broadcast(plan) if small else plan, keys)
-    rank = _rank(seed, F.col("whole"), F.col("doc_id"))
-    rows = rows.withColumn("__rank", rank)
-    head = F.col("edge").isNotNull() & ((F.substring("__rank", F.lit(1), F.length("edge")) < F.col("edge")) | F.coalesce(F.col("__rank") <= F.col("cut"), F.lit(False)))
-    times = F.col("whole") + head.cast("int")
+    rows = rows.withColumn("__rank", _rank(seed, F.col("__whole"), F.col("doc_id")))
+    before = F.substring("__rank", F.lit(1), F.length("__edge")) < F.col("__edge")
+    head = F.col("__edge").isNotNull() & (before | F.coalesce(F.col("__rank") <= F.col("__cut"), F.lit(False)))
+    times = F.col("__whole") + head.cast("int")
     rows = rows.where(times > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), times - 1)))
     return rows.select(*(c for c in docs.columns if c != "epoch"), *keys, "__tokens", "epoch")

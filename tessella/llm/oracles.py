@@ -12,21 +12,26 @@ def _level(depth: int, before: str) -> str:
     path, parent = ", ".join(levels[: depth + 1]), ", ".join(levels[:depth]) or "1"
     name = levels[depth]
     return f"""
-n{depth} AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS node_cap, min(budget) AS given FROM {before} GROUP BY {path}),
+n{depth} AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS node_cap, min(budget) AS given, coalesce(min(w.weight), 1.0::DOUBLE) AS w
+  FROM {before} LEFT JOIN weights w ON w.level = {depth} AND w.name = {name} GROUP BY {path}),
+o{depth} AS (SELECT *, CASE WHEN w > 0 THEN node_cap / w ELSE 'infinity'::DOUBLE END AS ratio FROM n{depth}),
 r{depth} AS (SELECT *, row_number() OVER o AS rn,
   CAST(coalesce(sum(node_cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cap_before,
-  CAST(count(*) OVER (PARTITION BY {parent}) - row_number() OVER o + 1 AS DOUBLE) AS w_left
-  FROM n{depth} WINDOW o AS (PARTITION BY {parent} ORDER BY node_cap, {name})),
-f{depth} AS (SELECT *, min(CASE WHEN NOT node_cap * w_left <= given - cap_before THEN rn END) OVER (PARTITION BY {parent}) AS cut FROM r{depth}),
+  sum(w) OVER (PARTITION BY {parent}) - coalesce(sum(w) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left
+  FROM o{depth} WINDOW o AS (PARTITION BY {parent} ORDER BY ratio, {name})),
+f{depth} AS (SELECT *, min(CASE WHEN NOT (w > 0 AND node_cap * w_left <= (given - cap_before) * w) THEN rn END) OVER (PARTITION BY {parent}) AS cut FROM r{depth}),
 c{depth} AS (SELECT *, max(CASE WHEN rn = cut THEN given - cap_before END) OVER (PARTITION BY {parent}) AS cut_left,
   max(CASE WHEN rn = cut THEN w_left END) OVER (PARTITION BY {parent}) AS cut_w FROM f{depth}),
 b{depth} AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap,
-  CAST(CASE WHEN c.cut IS NULL OR c.rn < c.cut THEN c.node_cap ELSE floor(c.cut_left * 1.0::DOUBLE / c.cut_w) END AS BIGINT) AS budget
+  CAST(CASE WHEN c.cut IS NULL OR c.rn < c.cut THEN c.node_cap WHEN c.w > 0 THEN floor(c.cut_left * c.w / c.cut_w) ELSE 0 END AS BIGINT) AS budget
   FROM {before} l JOIN c{depth} c USING ({path}))"""
 
 
-OP3 = f"""
-WITH docs AS (SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 1) AS INTEGER) % 4 AS VARCHAR) AS domain,
+def op3(weights: tuple[tuple[int, str, float], ...]) -> str:
+    rows = ", ".join(f"({level}, '{name}', {weight}::DOUBLE)" for level, name, weight in weights)
+    return f"""
+WITH weights(level, name, weight) AS (VALUES {rows}),
+docs AS (SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 1) AS INTEGER) % 4 AS VARCHAR) AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS tokens FROM documents),
 leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(2 * sum(tokens) AS BIGINT) AS cap FROM docs GROUP BY ALL),
@@ -43,6 +48,7 @@ taken AS (SELECT *, whole + CASE WHEN leaf_tokens > 0 AND upto <= remain THEN 1
 SELECT doc_id, domain, lang, source, tokens, CAST(unnest(range(times)) AS INTEGER) AS epoch FROM taken
 """
 
+
 OP5 = f"""
 WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM documents WHERE text IS NOT NULL),
 t AS (SELECT *, trim(raw, {_SPACES}) AS line FROM lines),
@@ -52,8 +58,8 @@ wins AS (SELECT p.doc_id, p.k AS spot, min(j.k) - p.k + 1 AS size FROM w p JOIN
   UNION SELECT e.doc_id, max(s.k) AS spot, e.k - max(s.k) + 1 FROM w e JOIN w s ON s.doc_id = e.doc_id AND s.k <= e.k AND e.c - s.d >= 50 GROUP BY e.doc_id, e.k),
 arrs AS (SELECT doc_id, list(line ORDER BY k) AS arr FROM w GROUP BY doc_id),
 keyed AS (SELECT wins.*, array_to_string(list_slice(arr, spot + 1, spot + size), chr(10)) AS key FROM wins JOIN arrs USING (doc_id)),
-firsts AS (SELECT *, min(doc_id * 10000000 + spot) OVER (PARTITION BY key) AS first FROM keyed),
-gone AS (SELECT DISTINCT doc_id, unnest(range(spot, spot + size)) AS k FROM firsts WHERE doc_id * 10000000 + spot <> first),
+firsts AS (SELECT *, min(struct_pack(d := doc_id, s := spot)) OVER (PARTITION BY key) AS first FROM keyed),
+gone AS (SELECT DISTINCT doc_id, unnest(range(spot, spot + size)) AS k FROM firsts WHERE doc_id <> first.d OR spot >= first.s + size),
 marked AS (SELECT t.doc_id, t.no, t.raw, w.k, gone.k AS lost FROM t LEFT JOIN w USING (doc_id, no) LEFT JOIN gone ON gone.doc_id = t.doc_id AND gone.k = w.k),
 done AS (SELECT doc_id, count(k) AS n_lines, count(lost) AS n_removed, coalesce(string_agg(CASE WHEN lost IS NULL THEN raw END, chr(10) ORDER BY no), '') AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN d.text IS NULL THEN NULL ELSE done.text END AS text

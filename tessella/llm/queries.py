@@ -25,7 +25,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    taken = mixing.mix(docs, mixing.plan(docs))
+    taken = mixing.mix(docs, mixing.plan(docs, weights=mixing.targets(spark)))
     return taken.select("doc_id", F.col("__domain").alias("domain"), F.col("__lang").alias("lang"), F.col("__source").alias("source"), F.col("__tokens").alias("tokens"), "epoch")
 
 
@@ -81,7 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op3_mixing": oracles.OP3,
+    "op3_mixing": oracles.op3(mixing.TARGETS),
     "op5_line_dedup": oracles.OP5,
     "op10_quality": oracles.op10(quality.MAX_CLASS, quality.MAX_WORD),
 }

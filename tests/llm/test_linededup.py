@@ -8,7 +8,7 @@ def words(line):
 
 
 def brute(docs, least):
-    """For every pair of places, every run of equal lines with enough words: the later goes."""
+    """For every pair of places, every run of equal lines with enough words that do not overlap: the later goes."""
     places = [(i, k, line.strip(" \t\n\x0b\x0c\r")) for i, (_, t) in enumerate(docs) for k, line in enumerate((t or "").split("\n"))]
     rows = {}
     for i, _, line in places:
@@ -21,7 +21,8 @@ def brute(docs, least):
     for x, (i, p) in enumerate(flat):
         for j, q in flat[:x]:
             size = 0
-            while p + size < len(rows[i]) and q + size < len(rows[j]) and rows[i][p + size][1] == rows[j][q + size][1]:
+            room = p - q if i == j else len(rows[j])
+            while size < room and p + size < len(rows[i]) and q + size < len(rows[j]) and rows[i][p + size][1] == rows[j][q + size][1]:
                 size += 1
             if size and sum(words(line) for _, line in rows[i][p : p + size]) >= least:
                 gone[i].update(k for k, _ in rows[i][p : p + size])
@@ -48,3 +49,16 @@ def test_clean_repeated_and_empty(spark):
     got = sorted((str(r.doc_id), r.text) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [("1", line), ("1", line), ("2", "other"), ("None", "x " + line)]
     assert linededup.dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_copies_on_the_spot_leave_one_whole(spark):
+    """Lines that repeat in place keep the first 50 words; with two lines in turn, both first copies."""
+    ten, other = " ".join("abcdefghij"), " ".join("klmnopqrst")
+    docs = [(1, "\n".join([ten] * 60)), (2, "\n".join([ten, other] * 30)), (3, "new words\n" + "\n".join([other] * 12))]
+    df = spark.createDataFrame([(i, t, 1, "x", 2) for i, t in docs], "doc_id long, text string, n int, gone string, k int")
+    got = {r.doc_id: r for r in linededup.dedup(df).collect()}
+    assert got[1].text == "\n".join([ten] * 5) and got[1].n_removed == 55
+    assert got[2].text == "\n".join([ten, other] * 3)
+    assert got[3].text == "new words\n" + "\n".join([other] * 5)
+    assert [got[i].text for i, _ in docs] == brute(docs, 50)
+    assert (got[1].n, got[1].gone, got[1].k) == (1, "x", 2)

@@ -95,8 +95,9 @@ def test_marginals_against_enumeration():
 
 
 def water_fill(total, children):
-    """children: name -> (cap, weight); whole shares by rounds."""
-    out, left, open_ = {}, total, dict(children)
+    """children: name -> (cap, weight); whole shares by rounds. Without weight there is no share."""
+    out, left = {n: 0 for n, (_, wt) in children.items() if not wt}, total
+    open_ = {n: x for n, x in children.items() if x[1]}
     while open_:
         w = sum(x[1] for x in open_.values())
         full = {n for n, (cap, wt) in open_.items() if cap * w <= left * wt}
@@ -112,9 +113,14 @@ def water_fill(total, children):
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["en", "de", None]), rng.choice(["s0"] * 4 + [f"s{k}" for k in range(1, 8)])) for i in range(400)]
-    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, epoch int")
-    for fraction, epochs in ((0.5, 2), (1.4, 2), (3.0, 2), (0.3, 1)):
-        taken = mixing.mix(docs, mixing.plan(docs, fraction, epochs)).collect()
+    clash = "epoch int, whole int, edge string, budget long, remain long, cut string, rank string"
+    docs = spark.createDataFrame([(*r, 1, 2, "e", 3, 4, "c", "r") for r in rows], f"doc_id long, text string, lang string, source string, {clash}")
+    weights = {(0, "d1"): 3.0, (0, "d2"): 0.5, (1, "en"): 4.0, (2, "s0"): 2.0, (2, "s3"): 0.0}
+    cases = [(0.5, 2, {}, 1 << 20), (1.4, 2, {}, 5), (3.0, 2, {}, 1 << 20), (0.3, 1, {}, 1), (0.5, 2, weights, 1 << 20), (1.7, 2, weights, 3)]
+    for fraction, epochs, w, fine in cases:
+        named = spark.createDataFrame([(*k, v) for k, v in w.items()], "level int, name string, weight double") if w else None
+        taken = mixing.mix(docs, mixing.plan(docs, fraction, epochs, weights=named, buckets_hex=1, fine_rows=fine)).collect()
+        assert all((r.whole, r.edge, r.budget, r.remain, r.cut, r["rank"]) == (2, "e", 3, 4, "c", "r") for r in taken)
         leaves = defaultdict(list)
         for i, t, lang, source in rows:
             d = f"d{int(md5(source.encode()).hexdigest()[0], 16) % 4}"
@@ -125,7 +131,7 @@ def test_mixing(spark):
         for depth in range(3):
             for node in [k for k in budget if len(k) == depth]:
                 below = sorted({k[: depth + 1] for k in tokens if k[:depth] == node})
-                caps = {n: (epochs * sum(v for k, v in tokens.items() if k[: depth + 1] == n), 1.0) for n in below}
+                caps = {n: (epochs * sum(v for k, v in tokens.items() if k[: depth + 1] == n), w.get((depth, n[-1]), 1.0)) for n in below}
                 budget |= water_fill(budget[node], caps)
         want = []
         for leaf, docs_ in leaves.items():
@@ -138,5 +144,5 @@ def test_mixing(spark):
                     break
                 rest -= n
                 want.append((i, whole))
-        assert sorted((r.doc_id, r.epoch) for r in taken) == sorted(want), (fraction, epochs)
+        assert sorted((r.doc_id, r.epoch) for r in taken) == sorted(want), (fraction, epochs, w)
     assert mixing.mix(docs.limit(0), mixing.plan(docs.limit(0))).collect() == []
