@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import held_out, materialize
@@ -226,15 +226,10 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
             yield pd.DataFrame(rows, columns=["doc_id", "lo", "ids", "tagged", "toxic"])
 
     kind = sample.schema["doc_id"].dataType.simpleString()
-    place = Window.partitionBy("tagged").orderBy(F.xxhash64("doc_id", "lo"), "doc_id", "lo")
-    parts = (
-        sample.mapInPandas(cut, f"doc_id {kind}, lo int, ids array<int>, tagged boolean, toxic int")
-        .withColumn("n", F.row_number().over(place))
-        .where(F.col("n") <= max_segments // 2)
-        .orderBy("tagged", "n")
-        .select("ids", "toxic")
-        .toPandas()
-    )
+    cuts = materialize(sample.mapInPandas(cut, f"doc_id {kind}, lo int, ids array<int>, tagged boolean, toxic int"), "toxic-segments")
+    # Untagged ones, then tagged ones, each in the order of a hash: two heaps of bounded size.
+    best = lambda tagged: cuts.where(F.col("tagged") == tagged).orderBy(F.xxhash64("doc_id", "lo"), "doc_id", "lo").limit(max_segments // 2).select("ids", "toxic")
+    parts = pd.concat([best(False).toPandas(), best(True).toPandas()])
     segments = [(ids := np.asarray(i, np.int32).reshape(-1, 2), (seeds[ids].any(axis=1) & (t == 1)).astype(np.int64)) for i, t in zip(parts["ids"], parts["toxic"], strict=True)]
     weight, step, start = fit_field(segments, len(words) + 1)
     field = Model(words, weight, step, start, np.zeros(3))
