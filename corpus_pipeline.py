@@ -24,20 +24,24 @@ def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 and more) the document with the smallest doc_id stays."""
+    """Of each group of near copies (5-word shingles, Jaccard similarity 0.8 and more) the document
+    with the smallest doc_id stays."""
     return simhash.keep_one(docs, similarity=0.8)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Half of the tokens, dealt down the tree of domains, languages and sources; each document once at most."""
-    return mixing.mix(docs, mixing.plan(docs, max_epochs=1)).select(*docs.columns)
+    """Half of the tokens, dealt by target weights down the tree of domains, languages and sources;
+    each document once at most."""
+    plan = mixing.plan(docs, max_epochs=1, weights=mixing.targets(spark))
+    return mixing.mix(docs, plan).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, its pieces' ids, their number, and whether they decode to the text."""
     pieces = unigram.load(public_tokenizers.path(PIECES))
     coded = lattice.decode(lattice.encode(docs, pieces), pieces)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), (F.xxhash64("decoded") == F.col("th")).alias("round_trip"), "ids")
+    same = (F.xxhash64("decoded") == F.col("th")).alias("round_trip")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), same, "ids")
 
 
 STAGES = [
