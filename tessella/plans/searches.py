@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, qualia
 from ..functions.bits import slice_gate
-from ..operators import gates, graph, indexed, learning, sweeps, temporal
+from ..operators import gates, graph, indexed, learning, overlays, sweeps, temporal
 from ._registry import CH4, FP2, INT8, channels, first_row, ham, prints, query, signed8, table
 
 _CH = ("meta", "cam", "btree", "embed")
@@ -247,3 +247,45 @@ def refined_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     lane = lambda x: (F.when(x < 0, 32768).otherwise(0) + F.floor(F.abs(x.cast("double")) * 16384)).cast("int")
     lanes = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lane).alias("l"))
     return lanes.select("vec_id", bits.refine_cold("l", F.array(*map(F.lit, first_row(lanes, "l")))).alias("band"))
+
+
+_DELTAS = f"{FP2}, d AS (SELECT label AS id, vec_id % 3 AS writer, vec_id AS version, a AS x, b & 255 AS y FROM fp2 WHERE vec_id >= 10), base AS (SELECT DISTINCT label AS id, label * 77 AS x, label * 1001 AS y FROM fp2)"
+
+
+def _overlay(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    p = prints(spark, sf_dir)
+    words = F.array(F.col("fp")[0], F.col("fp")[1].bitwiseAND(F.lit(255).cast("long")))
+    deltas = p.where("vec_id >= 10").select(F.col("label").alias("id"), (F.col("vec_id") % 3).alias("writer"), F.col("vec_id").alias("version"), words.alias("delta"))
+    base = p.select(F.col("label").alias("id")).distinct()
+    return base.select("id", F.array((F.col("id") * 77).cast("long"), (F.col("id") * 1001).cast("long")).alias("fp")), deltas
+
+
+@query(f"WITH {_DELTAS}, m AS (SELECT id, bit_xor(x) AS x, bit_xor(y) AS y FROM d WHERE version <= 200 GROUP BY id) SELECT b.id, CAST(xor(b.x, coalesce(m.x, 0)) AS BIGINT) AS x, CAST(xor(b.y, coalesce(m.y, 0)) AS BIGINT) AS y FROM base b LEFT JOIN m USING (id)")
+def overlay_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base through its overlays, rewound to a version, flushed and read."""
+    base, deltas = _overlay(spark, sf_dir)
+    flushed, left = overlays.flush(base, overlays.rewind(deltas, min(200, overlays.snapshot(deltas))), 2)
+    out = overlays.read_full(flushed, left, 2)
+    return out.select("id", F.col("fp")[0].alias("x"), F.col("fp")[1].alias("y"))
+
+
+_WRITERS = f"{_DELTAS}, w AS (SELECT id, writer, bit_xor(x) AS x, bit_xor(y) AS y FROM d GROUP BY id, writer), p AS (SELECT id, {', '.join(f'coalesce(max(CASE WHEN writer = {k} THEN {c} END), 0) AS {c}{k}' for c in 'xy' for k in range(3))} FROM w GROUP BY id), t AS (SELECT *, (x0 & x1) | (x0 & x2) | (x1 & x2) AS tx, (y0 & y1) | (y0 & y2) | (y1 & y2) AS ty FROM p)"
+
+
+@query(f"WITH {_WRITERS} SELECT id, CAST(tx AS BIGINT) AS x, CAST(ty AS BIGINT) AS y, CAST(bit_count(tx) + bit_count(ty) AS BIGINT) AS bits, CASE WHEN bit_count(tx) + bit_count(ty) > 18 THEN 'block' WHEN (x0 | x1 | x2 | y0 | y1 | y2) = 0 THEN 'hold' ELSE 'flow' END AS gate FROM t")
+def overlay_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, deltas = _overlay(spark, sf_dir)
+    return overlays.conflict_map(deltas, 2, 18).select("id", F.col("conflict")[0].alias("x"), F.col("conflict")[1].alias("y"), "bits", "gate")
+
+
+@query(f"WITH {_WRITERS}, f AS (SELECT id, xor(xor(x0, x1), x2) AS x, xor(xor(y0, y1), y2) AS y FROM t WHERE bit_count(tx) + bit_count(ty) <= 18 AND (x0 | x1 | x2 | y0 | y1 | y2) <> 0) SELECT b.id, CAST(xor(b.x, coalesce(f.x, 0)) AS BIGINT) AS x, CAST(xor(b.y, coalesce(f.y, 0)) AS BIGINT) AS y FROM base b LEFT JOIN f USING (id)")
+def overlay_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, deltas = _overlay(spark, sf_dir)
+    return overlays.commit(base, deltas, 2, 18).select("id", F.col("fp")[0].alias("x"), F.col("fp")[1].alias("y"))
+
+
+@query(f"WITH {FP2}, e AS (SELECT p.vec_id, {ham('p', 'q')} AS c FROM fp2 p, fp2 q WHERE q.vec_id = 0) SELECT vec_id, c AS conflict, c >= {_GATE.anti} AS anti, c / 64.0::DOUBLE AS density FROM e")
+def anti_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = prints(spark, sf_dir)
+    e = df.withColumn("e", bits.energy("fp", bits.literal(first_row(df, "fp")), 2))
+    return e.select("vec_id", "e.conflict", (F.col("e.conflict") >= _GATE.anti).alias("anti"), bits.conflict_density(F.col("e"), 64).alias("density"))
