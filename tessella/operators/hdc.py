@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,16 +97,47 @@ def causality_asymmetry(src: Column, verb: str, dst: Column, lanes: int, width:
 def nearest_entry(probe: DataFrame, codebook: DataFrame, lanes: int, max_entries: int = 10_000) -> DataFrame:
     """probe (id, fp) with its nearest codebook entry (entry, d), the smaller entry among equals.
 
-    The codebook is a list of names, not data; more than max_entries raises, and it is sent along
-    as an array, so the probe table is neither shuffled nor multiplied.
+    The codebook is a list of names, not data; more than max_entries raises. It is broadcast, and
+    each Arrow batch of probes is held against it in slices, so the probe table is neither shuffled
+    nor multiplied. An empty codebook gives nulls.
     """
-    entries = codebook.select("entry", "fp").limit(max_entries + 1).collect()
-    if len(entries) > max_entries:
+    book = codebook.select("entry", "fp").orderBy("entry").limit(max_entries + 1).toArrow().combine_chunks()
+    if book.num_rows > max_entries:
         raise ValueError(f"the codebook has over {max_entries} entries")
-    book = F.array(*(F.struct(F.lit(e.entry).alias("entry"), bits.literal([w % (1 << 64) for w in e.fp]).alias("fp")) for e in entries))
-    scored = F.transform(book, lambda e: F.struct(bits.hamming(e["fp"], F.col("fp"), lanes).alias("d"), e["entry"].alias("entry")))
-    best = F.array_min(scored)
-    return probe.withColumn("best", best).select("id", F.col("best.entry").alias("entry"), F.col("best.d").alias("d"))
+    words = np.array(book.column("fp").to_pylist(), np.int64).reshape(-1, lanes).view(np.uint64)
+    names = pa.array(book.column("entry").to_pylist(), book.schema.field("entry").type)
+    shared = probe.sparkSession.sparkContext.broadcast((names, words))
+    kinds = f"id {probe.schema['id'].dataType.simpleString()}, entry {codebook.schema['entry'].dataType.simpleString()}, d long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, words = shared.value
+        for b in batches:
+            fps = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, lanes).view(np.uint64)
+            best, at = np.full(len(fps), np.iinfo(np.int64).max), np.full(len(fps), -1)
+            for lo in range(0, len(words), 64):
+                d = np.bitwise_count(fps[:, None, :] ^ words[None, lo : lo + 64, :]).sum(-1, dtype=np.int64)
+                near = d.argmin(1)
+                low = d[np.arange(len(fps)), near]
+                closer = low < best
+                best[closer], at[closer] = low[closer], lo + near[closer]
+            none = at < 0
+            entry = names.take(pa.array(at, mask=none))
+            yield pa.RecordBatch.from_arrays([b.column(0), entry, pa.array(best, mask=none)], names=["id", "entry", "d"])
+
+    return probe.select("id", "fp").mapInArrow(run, kinds)
+
+
+def decay(fp: Column, key: Column, lanes: int, keep: float, seed: int, width: int = 64) -> Column:
+    """fp with each set bit cleared with about probability 1 - keep: a bit goes where it is set in all
+    of n words drawn for (seed, key, lane) from MD5, 2^-n being nearest to 1 - keep."""
+    if keep >= 1:
+        return fp
+    n = max(1, round(-math.log2(1 - max(0.0, keep))))
+    text = lambda w, k: F.concat_ws(":", F.lit(str(seed)), key.cast("string"), F.lit(str(w)), F.lit(str(k)))
+    half = lambda w, k, at: F.conv(F.substring(F.md5(text(w, k).cast("binary")), at, 8), 16, 10).cast("long")
+    word = lambda w, k: half(w, k, 1) if width <= 32 else F.shiftleft(half(w, k, 1), 32).bitwiseOR(half(w, k, 9))
+    killed = lambda w: reduce(lambda a, b: a.bitwiseAND(b), [word(w, k) for k in range(n)])
+    return F.array(*(fp[w].bitwiseAND(F.bitwise_not(killed(w))) for w in range(lanes)))
 
 
 def infer_verb(edge: Column, src: Column, dst: Column, lanes: int, width: int = 64) -> Column:

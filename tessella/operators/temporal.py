@@ -6,13 +6,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bits
+from ._cut import stored
 
 
 def running_sum(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+    """df plus cumsum, the sum of each key's values up to the row. A key is one task's work; where one
+    may be very long use running_sum_split."""
     w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("cumsum", F.sum(value).over(w))
 
 
+def running_sum_split(df: DataFrame, value: str, order: list[str], by: list[str]) -> DataFrame:
+    """running_sum for keys of any length: rows are dealt by ranges of (key, order), so a long key has
+    many ranges; each range is summed by itself and the sums of the ranges before it are added.
+
+    The dealt rows are written once, so that both passes see the same ranges.
+    """
+    rows = stored(df.repartitionByRange(*by, *order).withColumn("__range", F.spark_partition_id()), "running-ranges")
+    sums = rows.groupBy(*by, "__range").agg(F.sum(value).alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*by, "__range", F.coalesce(F.sum("__sum").over(before), F.lit(0.0)).alias("__carry"))
+    inside = Window.partitionBy(*by, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.withColumn("cumsum", F.sum(value).over(inside)).join(carry, [*by, "__range"])
+    return out.withColumn("cumsum", F.col("__carry") + F.col("cumsum")).select(*df.columns, "cumsum")
+
+
 def granger_signal(df: DataFrame, a: str, b: str, tau: int, by: list[str], order: list[str], distance) -> DataFrame:
     """Mean over t of d(A_t, B_{t+tau}) - d(B_t, B_{t+tau}); 0 for a series not longer than tau."""
     later = F.lead(b, tau).over(Window.partitionBy(*by).orderBy(*order))
@@ -103,3 +121,18 @@ def causal_links(activity: DataFrame, key: list[str], order: str, planes: dict[s
     link = lambda a, b: F.when(falls(a) & grows(b), F.struct(F.lit(a).alias("cause"), F.lit(b).alias("effect"), (F.col(f"early_{a}") / F.lit(float(n_bits))).alias("confidence")))
     links = F.array(*(link(a, b) for a in planes for b in planes if a != b))
     return rows.select(*key, order, F.inline(F.filter(links, lambda e: e.isNotNull())))
+
+
+def saliency(corrections: DataFrame, key: list[str], order: str) -> DataFrame:
+    """(key, word, first, last, turns, trend) of ewm_correction's rows: `contested` where a word's
+    corrections turn twice or more, `crystallizing` where they fall by more than 2, `dissolving` where
+    they grow by more than 2, else `steady`. Keys with a single correction have no row."""
+    long = corrections.select(*key, order, F.posexplode("correction").alias("word", "value"))
+    w = Window.partitionBy(*key, "word").orderBy(order)
+    rows = long.withColumn("p", F.lag("value", 1).over(w)).withColumn("q", F.lag("value", 2).over(w))
+    turned = (F.col("value") != F.col("p")) & ((F.col("value") > F.col("p")) != (F.col("p") > F.col("q")))
+    out = rows.groupBy(*key, "word").agg(
+        F.min_by("value", order).alias("first"), F.max_by("value", order).alias("last"), F.count_if(turned).alias("turns"), F.count("*").alias("n")
+    ).where("n > 1").drop("n")
+    trend = F.when(F.col("turns") >= 2, "contested").when(F.col("last") + 2 < F.col("first"), "crystallizing").when(F.col("last") > F.col("first") + 2, "dissolving")
+    return out.withColumn("trend", trend.otherwise("steady"))

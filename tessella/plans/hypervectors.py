@@ -186,3 +186,14 @@ def mutated_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _neighbours(spark, sf_dir).select("vec_id", F.struct(F.col("s"), F.col("s").alias("p"), F.col("d").alias("o"), F.lit(1.0).alias("confidence")).alias("t"))
     m = t.select("vec_id", hdc.mutate(F.col("t"), "p", other).alias("one"), hdc.mutate(F.col("t"), "sp", other).alias("two"))
     return m.select("vec_id", F.col("one.s")[0].alias("s"), F.col("one.p")[0].alias("p"), F.col("one.o")[0].alias("o"), F.col("one.confidence").alias("c1"), F.col("two.s")[0].alias("s2"), F.col("two.confidence").alias("c2"))
+
+
+_KILL = "CAST('0x' || substr(md5('7:' || CAST(vec_id AS VARCHAR) || ':{0}:{1}'), 1, 8) AS BIGINT)"
+_KILLED = [" & ".join(_KILL.format(w, k) for k in range(3)) for w in (0, 1)]
+
+
+@query(f"WITH {FP2} SELECT vec_id, CAST(a & ~({_KILLED[0]}) AS BIGINT) AS x0, CAST(b & ~({_KILLED[1]}) AS BIGINT) AS x1 FROM fp2")
+def decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints that lose about an eighth of their set bits."""
+    d = prints(spark, sf_dir).select("vec_id", hdc.decay(F.col("fp"), F.col("vec_id"), 2, 0.875, 7, 32).alias("d"))
+    return d.select("vec_id", F.col("d")[0].alias("x0"), F.col("d")[1].alias("x1"))

@@ -289,3 +289,11 @@ def anti_resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir)
     e = df.withColumn("e", bits.energy("fp", bits.literal(first_row(df, "fp")), 2))
     return e.select("vec_id", "e.conflict", (F.col("e.conflict") >= _GATE.anti).alias("anti"), bits.conflict_density(F.col("e"), 64).alias("density"))
+
+
+_EWM = f"{FP2}, s AS (SELECT *, lag(a) OVER o AS pa, lag(b) OVER o AS pb FROM fp2 WINDOW o AS (PARTITION BY label ORDER BY vec_id)), c AS (SELECT label, vec_id, CAST(bit_count(xor(a, pa)) AS BIGINT) AS c0, CAST(bit_count(xor(b, pb)) AS BIGINT) AS c1 FROM s WHERE pa IS NOT NULL)"
+
+
+@query(f"WITH {_EWM}, l AS (SELECT label, vec_id, 0 AS word, c0 AS v FROM c UNION ALL SELECT label, vec_id, 1, c1 FROM c), w AS (SELECT *, lag(v, 1) OVER o AS p, lag(v, 2) OVER o AS q FROM l WINDOW o AS (PARTITION BY label, word ORDER BY vec_id)), g AS (SELECT label, word, arg_min(v, vec_id) AS first, arg_max(v, vec_id) AS last, CAST(count_if(v <> p AND (v > p) <> (p > q)) AS BIGINT) AS turns FROM w GROUP BY label, word HAVING count(*) > 1) SELECT label, CAST(word AS INTEGER) AS word, first, last, turns, CASE WHEN turns >= 2 THEN 'contested' WHEN last + 2 < first THEN 'crystallizing' WHEN last > first + 2 THEN 'dissolving' ELSE 'steady' END AS trend FROM g")
+def saliency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return temporal.saliency(temporal.ewm_correction(prints(spark, sf_dir), ["label"], "vec_id", "fp", 2, 32), ["label"], "vec_id")

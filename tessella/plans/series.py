@@ -20,6 +20,13 @@ def cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
     return temporal.running_sum(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", F.round("cumsum", 3).alias("cumsum"))
 
 
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2)::DOUBLE AS cumsum FROM events")
+def cumsum_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five long keys, each in many ranges."""
+    out = temporal.running_sum_split(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
+    return out.select("event_id", F.round("cumsum", 2).alias("cumsum"))
+
+
 def _pair(t: int) -> str:
     return f"coalesce(avg(CASE WHEN l{t} IS NOT NULL THEN abs(a - l{t}) - abs(b - l{t}) END), 0)"
 
