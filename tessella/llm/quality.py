@@ -84,7 +84,7 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def references(rows: DataFrame, top: int = 30) -> DataFrame:
     """For each language of counted rows, over all its documents: lang, words and word_p (its `top`
-    most frequent words and their shares of all words), class_p (shares of characters), ref_tokens.
+    most frequent words and their shares of all words), longest (letters of the longest of them), class_p (shares of characters), ref_tokens.
 
     Counted in full; sums are combined before each shuffle, and each task passes on its `top` words
     of a language only once they are summed, so a language with most of the rows is no hot task.
@@ -101,7 +101,8 @@ def references(rows: DataFrame, top: int = 30) -> DataFrame:
     best = best.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("k", "word", "n"))).alias("best"))
     out = shares.join(best, "lang", "left")
     part = F.transform("best", lambda e: e["n"] / F.col("ref_tokens"))
-    return materialize(out.select("lang", "ref_tokens", "class_p", F.col("best.word").alias("words"), part.alias("word_p")), "quality-refs")
+    longest = F.array_max(F.transform("best", lambda e: F.length(e["word"])))
+    return materialize(out.select("lang", "ref_tokens", "class_p", F.col("best.word").alias("words"), part.alias("word_p"), longest.alias("longest")), "quality-refs")
 
 
 def _distance(pairs: Column) -> Column:
@@ -142,8 +143,10 @@ def judge(
     ready = F.col("ref_tokens") >= min_ref_tokens
     class_ready = ready & (F.col("chars") >= min_chars)
     word_ready = ready & (F.col("n_tokens") >= min_tokens)
-    # Each word with two spaces of its own, so that what taking " word " away saves is its count.
-    rows = rows.withColumn("spaced", F.when(word_ready, F.concat(F.lit(" "), F.replace("letters", F.lit(" "), F.lit("  ")), F.lit(" ")))).drop("letters")
+    # Words no longer than the reference's, each with two spaces of its own, so that what taking
+    # " word " away saves is its count.
+    near = F.filter(F.split("letters", " "), lambda x: F.length(x) <= F.col("longest"))
+    rows = rows.withColumn("spaced", F.when(word_ready, F.concat(F.lit(" "), F.array_join(near, "  "), F.lit(" ")))).drop("letters")
     spaces = lambda w: F.concat(F.lit(" "), w, F.lit(" "))
     times = lambda w: F.octet_length("spaced") - F.octet_length(F.replace(F.col("spaced"), spaces(w), F.lit("")))
     rows = rows.withColumn("found", F.when(word_ready, F.transform("words", lambda w: (times(w) / (F.octet_length(w) + 2)).cast("long"))))
