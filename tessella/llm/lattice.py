@@ -26,7 +26,7 @@ from .unigram import SPACE, Pieces
 # number of a character that is spelled in bytes.
 CODE = (1 << 22) - 1
 #: Characters of which the edges are found at once, and bytes of text in a batch.
-BLOCK_CHARS, BATCH_BYTES = 1 << 18, 1 << 20
+BLOCK_CHARS, BATCH_BYTES = 1 << 18, 2 << 20
 
 
 @lru_cache(maxsize=1)
