@@ -167,14 +167,17 @@ def lu(df: DataFrame) -> DataFrame:
 
 
 def cholesky(df: DataFrame) -> DataFrame:
-    """Lower factor; info is k + 1 at the first diagonal that is not positive, and the factor NaN."""
+    """Lower factor; info is k + 1 at the first pivot that is not positive, and the factor null."""
 
     def one(m, a):
-        n = len(a)
-        for k in range(1, n + 1):
-            if np.linalg.det(a[:k, :k]) <= 0:
-                return _cells(m, "l", np.full((n, n), np.nan), k)
-        return _cells(m, "l", np.linalg.cholesky(a))
+        low = np.zeros_like(a)
+        for k in range(len(a)):
+            pivot = a[k, k] - low[k, :k] @ low[k, :k]
+            if not pivot > 0:
+                return _cells(m, "l", np.full(a.shape, np.nan), k + 1)
+            low[k, k] = pivot**0.5
+            low[k + 1 :, k] = (a[k + 1 :, k] - low[k + 1 :, :k] @ low[k, :k]) / low[k, k]
+        return _cells(m, "l", low)
 
     return by_matrix(df, one)
 
@@ -209,21 +212,71 @@ def solve(df: DataFrame, rhs_columns: int) -> DataFrame:
 
 
 def fft(df: DataFrame, vector: str, id_col: str, inverse: bool = False) -> DataFrame:
-    """(id, k, re, im) of real vectors whose length is a power of two; the inverse takes (re, im)
-    interleaved and is scaled by 1/n."""
+    """(id, k, re, im) of real vectors of one length, a power of two; the inverse takes (re, im)
+    interleaved and is scaled by 1/n. Arrow batches are transformed as one matrix."""
     kind = df.schema[id_col].dataType.simpleString()
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, -1)
+            x = x[:, 0::2] + 1j * x[:, 1::2] if inverse else x
+            n = x.shape[1]
+            if n & (n - 1):
+                raise ValueError("the length is no power of two")
+            y = np.fft.ifft(x) if inverse else np.fft.fft(x)
+            ids = b.column(0).take(pa.array(np.repeat(np.arange(b.num_rows), n)))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.tile(np.arange(n), b.num_rows)), pa.array(y.real.ravel()), pa.array(y.imag.ravel())], names=["id", "k", "re", "im"])
+
+    return df.select(id_col, vector).mapInArrow(run, f"id {kind}, k long, re double, im double")
+
+
+# --- tall tables: n columns, any number of rows
+
+
+def _gram_matrix(df: DataFrame, vector: str, n: int) -> np.ndarray:
+    """X^T X on the driver: n x n numbers, whatever the rows."""
+    out = np.zeros((n, n))
+    for r in gram(df, vector, n).collect():
+        out[r.i, r.j] = out[r.j, r.i] = r.v
+    return out
+
+
+def times(df: DataFrame, vector: str, matrix: np.ndarray, id_col: str, name: str = "q") -> DataFrame:
+    """(id, name): each row's vector times a small matrix, by Arrow batch."""
+    kind = df.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, v in zip(b[id_col], b[vector], strict=True):
-                x = np.asarray(v, float)
-                x = x[0::2] + 1j * x[1::2] if inverse else x
-                if len(x) & (len(x) - 1):
-                    raise ValueError("the length is no power of two")
-                y = np.fft.ifft(x) if inverse else np.fft.fft(x)
-                out.append(pd.DataFrame({"id": key, "k": np.arange(len(y)), "re": y.real, "im": y.imag}))
-            if out:
-                yield pd.concat(out)
-
-    return df.select(id_col, vector).mapInPandas(run, f"id {kind}, k long, re double, im double")
+            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(b.num_rows, matrix.shape[0])
+            y = x @ matrix
+            offsets = np.arange(len(y) + 1, dtype=np.int32) * matrix.shape[1]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(y.ravel()))], names=["id", name])
+
+    return df.select(id_col, vector).mapInArrow(run, f"id {kind}, {name} array<double>")
+
+
+def tall_qr(df: DataFrame, vector: str, n: int, id_col: str) -> tuple[DataFrame, np.ndarray]:
+    """Q (id, q array<double>) and R (n x n, upper) of a table of n columns with full rank.
+
+    R is the Cholesky factor of the Gram matrix, and Q = X R^-1; both once more on Q, since the
+    Gram matrix squares the condition. The rows are read, never gathered; a table without full rank raises.
+    """
+    first = np.linalg.cholesky(_gram_matrix(df, vector, n)).T
+    q = times(df, vector, np.linalg.inv(first), id_col)
+    second = np.linalg.cholesky(_gram_matrix(q, "q", n)).T
+    return times(q, "q", np.linalg.inv(second), "id"), second @ first
+
+
+def condition_number(df: DataFrame, vector: str, n: int) -> float:
+    """Largest over least singular value of a table of n columns; infinite without full rank."""
+    values = np.linalg.eigvalsh(_gram_matrix(df, vector, n))
+    return float(np.sqrt(values[-1] / values[0])) if values[0] > 0 else float("inf")
+
+
+def least_squares(df: DataFrame, vector: str, target: str, n: int) -> np.ndarray:
+    """The n coefficients that minimise the sum of (x . beta - target)^2: two grouped sums over the rows."""
+    both = df.select(F.concat(F.col(vector).cast("array<double>"), F.array(F.col(target).cast("double"))).alias("row"))
+    g = _gram_matrix(both, "row", n + 1)
+    return np.linalg.solve(g[:n, :n], g[:n, n])

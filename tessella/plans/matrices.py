@@ -122,3 +122,22 @@ def fft(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = linalg.fft(table(spark, sf_dir, "embeddings"), "embedding", "vec_id")
     zero = lambda c: F.when(F.round(c, 4) == 0, 0.0).otherwise(F.round(c, 4))
     return out.select("id", "k", zero(F.col("re")).alias("re"), zero(F.col("im")).alias("im"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v FROM (SELECT unnest(range(16)) AS i), (SELECT unnest(range(16)) AS j) WHERE i <= j")
+def tall_qr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q^T Q of the whole table's first 16 dimensions (the matrix is that wide): the identity."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 16).alias("x"))
+    q, _ = linalg.tall_qr(e, "x", 16, "vec_id")
+    return _r(linalg.gram(q, "q", 16), 6)
+
+
+@query("WITH d AS (SELECT vec_id, list_transform(embedding[1:16], lambda x: x::DOUBLE) AS x FROM embeddings), b AS (SELECT list_transform(range(16), lambda i: (i % 5 - 2) / 4.0::DOUBLE) AS b) SELECT vec_id, round(list_sum(list_transform(list_zip(x, b), lambda t: t[1] * t[2])), 6)::DOUBLE + 0 AS fitted FROM d, b")
+def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficients found again from exact targets, shown by what they fit."""
+    beta = [(i % 5 - 2) / 4.0 for i in range(16)]
+    x = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"))
+    x = x.withColumn("y", F.aggregate(F.zip_with("x", F.array(*map(F.lit, beta)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
+    found = linalg.least_squares(x, "x", "y", 16)
+    fitted = linalg.times(x, "x", found.reshape(-1, 1), "vec_id", "f")
+    return fitted.select(F.col("id").alias("vec_id"), (F.round(F.col("f")[0], 6) + 0.0).alias("fitted"))
