@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import bits, qualia, truth
+from ..functions import bits, qualia, truth, volumes
 from ..operators import graph, hdc
 from ..operators._cut import stored
 from ._registry import FP2, INT8, prints, query, signed8, table
@@ -197,3 +197,35 @@ def decayed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints that lose about an eighth of their set bits."""
     d = prints(spark, sf_dir).select("vec_id", hdc.decay(F.col("fp"), F.col("vec_id"), 2, 0.875, 7, 32).alias("d"))
     return d.select("vec_id", F.col("d")[0].alias("x0"), F.col("d")[1].alias("x1"))
+
+
+def _weighed(x):
+    """A volume in one number: its values times their positions, from 1."""
+    return F.aggregate(F.transform(x, lambda b, i: (b * (i + 1)).cast("long")), F.lit(0).cast("long"), lambda a, y: a + y)
+
+
+_GO = "(({0} // 32) % 8) * 256 + ({0} % 8) * 32 + ({0} // 256) * 4 + ({0} % 32) // 8"
+
+
+@query(f"WITH {_VOLUME}, r AS (SELECT id, p, i, {_GO.format('i')} AS j FROM v), t AS (SELECT *, {_GO.format('j')} AS k FROM r) SELECT id, CAST(sum(p * (j + 1)) AS BIGINT) AS once, CAST(sum(p * (k + 1)) AS BIGINT) AS twice, CAST(sum(p * (i + 1)) AS BIGINT) AS back FROM t GROUP BY id")
+def spatial_binds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Volumes turned once, twice, and back."""
+    turn = volumes.rotation()
+    v = _volumes(spark, sf_dir)
+    return v.select("id", _weighed(volumes.bind("p", turn)).alias("once"), _weighed(volumes.bind("p", volumes.compose(turn, turn))).alias("twice"), _weighed(volumes.unbind(volumes.bind("p", turn), turn)).alias("back"))
+
+
+@query(f"WITH {_VOLUME} SELECT id, CAST(sum(xor(p, q) * (i + 1)) AS BIGINT) AS related, CAST(sum((((p - 128) - (q - 128) + 128 + 256) % 256 - 128) * (i + 1)) AS BIGINT) AS taken, CAST(sum((i % 256) * (i + 1)) AS BIGINT) AS content FROM v GROUP BY id")
+def delta_cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of two volumes, and a content stored in one and recovered."""
+    v = _volumes(spark, sf_dir).withColumn("c", F.transform(F.sequence(F.lit(0), F.lit(2047)), lambda i: i % 256))
+    signed = lambda x: F.transform(x, lambda b: b - 128)
+    stored_ = volumes.delta_xor(volumes.delta_xor("p", "q"), "c")
+    return v.select("id", _weighed(volumes.delta_xor("p", "q")).alias("related"), _weighed(volumes.delta_sub(signed("p"), signed("q"))).alias("taken"), _weighed(volumes.recover_xor(stored_, "p", "q")).alias("content"))
+
+
+@query(f"WITH {_VOLUME}, h AS (SELECT id, [{', '.join(f'CAST(count_if(p // 16 = {k}) AS INTEGER)' for k in range(16))}] AS p, [{', '.join(f'CAST(count_if(q // 16 = {k}) AS INTEGER)' for k in range(16))}] AS q FROM v WHERE i < 700 GROUP BY id) SELECT id, p AS bins, CAST(list_sum(list_transform(list_zip(p, q), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS distance FROM h")
+def phase_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of the first 700 bytes (whole volumes hold every byte equally often) and their distance."""
+    v = _volumes(spark, sf_dir).select("id", volumes.histogram16(F.slice("p", 1, 700)).alias("p"), volumes.histogram16(F.slice("q", 1, 700)).alias("q"))
+    return v.select("id", F.col("p").alias("bins"), bits.l1_distance("p", "q").alias("distance"))
