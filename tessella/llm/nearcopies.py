@@ -8,7 +8,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import fits_broadcast, materialize
@@ -17,6 +17,8 @@ from .components import connected_components
 SHINGLE = 5
 #: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: 0.9996 at 0.8.
 BANDS, ROWS = 20, 5
+#: Longs of parity bits for each set.
+PARITY = 8
 _random = np.random.default_rng(20)
 _A, _B = (_random.integers(0, 1 << 64, BANDS * ROWS, np.uint64) for _ in range(2))
 _A |= np.uint64(1)
@@ -46,15 +48,21 @@ def _key(hashes: np.ndarray) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """PARITY longs of bits, each whether an odd number of shingles falls on it."""
+    odd = np.bincount((hashes % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+
+
 def _signatures(texts: DataFrame) -> DataFrame:
-    """(th, key, bands) of (th, text): key names the set of shingles."""
+    """(th, key, bands, size, parity) of (th, text): key names the set of shingles, size is its number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [shingles(x.as_py()) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_key, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], names=["th", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(_key, sets), pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array(map(len, sets), pa.int32()), pa.array(map(parity, sets), pa.list_(pa.int64()))], names=["th", "key", "bands", "size", "parity"])
 
-    return texts.mapInArrow(run, "th long, key long, bands array<long>")
+    return texts.mapInArrow(run, "th long, key long, bands array<long>, size int, parity array<long>")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -79,23 +87,46 @@ def _verified(pairs: DataFrame, signed: DataFrame, texts: DataFrame, similarity:
     return materialize(both.where(shared >= F.lit(similarity) * (F.size("x") + F.size("y") - shared)).select("a", "b"), "near-links")
 
 
+def _placed(members: DataFrame, links: DataFrame) -> DataFrame:
+    """members plus root, the component of the key by the links so far."""
+    roots = connected_components(links).withColumnRenamed("node", "key")
+    return materialize(members.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")), "near-placed")
+
+
+def _may(x: str, y: str, similarity: float) -> Column:
+    """Whether two sets can be that similar: bits of parity that differ are no more than the shingles
+    that only one of them has, so this refuses no similar pair."""
+    apart = sum((F.bit_count(F.col(f"parity_{x}")[i].bitwiseXOR(F.col(f"parity_{y}")[i])) for i in range(PARITY)), F.lit(0))
+    both = F.col(f"size_{x}") + F.col(f"size_{y}")
+    return both - apart >= F.lit(similarity) * (both + apart)
+
+
+def _side(rows: DataFrame, x: str) -> DataFrame:
+    return rows.select("band", "value", *(F.col(c).alias(f"{c}_{x}") for c in ("key", "root", "size", "parity")))
+
+
 def similar_sets(texts: DataFrame, similarity: float = 0.8, prints: DataFrame | None = None, close: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """texts: (th, text), th a hash of the text. Returns (th, key), key naming the text's set of
     shingles, and links (a, b) of keys of at least that similarity.
 
     The links' components are those of all such pairs that share a band. First each member of a
-    bucket is held against the bucket's smallest and largest key; then buckets whose members are
-    not all in one component are joined with themselves, for pairs of different components only.
-    So a large group of near copies costs its size, and no bucket is capped. prints (th, fp) and
+    bucket is held against the bucket's most central member. Then buckets whose members are not
+    all in one component are joined with themselves, for pairs of different components that can be
+    similar enough at all by their parity bits, a condition of the join. So the pairs that are made
+    are about those that are links; no bucket is capped and no link is lost. prints (th, fp) and
     links close (a, b) between fingerprints add candidates, which are checked like any other.
     """
     rows = materialize(_signatures(texts.select("th", "text")), "near-signatures")
-    signed = materialize(rows.groupBy("key").agg(F.min("th").alias("th"), F.first("bands").alias("bands")), "near-keys")
+    signed = materialize(rows.groupBy("key").agg(F.min("th").alias("th"), *(F.first(c).alias(c) for c in ("bands", "size", "parity"))), "near-keys")
     keys = rows.select("th", "key").distinct()
     members = signed.select("key", F.posexplode("bands").alias("band", "value"))
-    buckets = members.groupBy("band", "value").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo < hi")
+    buckets = members.groupBy("band", "value").agg(F.count("*").alias("size")).where("size > 1")
     members = materialize(members.join(buckets, ["band", "value"]), "near-buckets")
-    pairs = members.select(F.col("key").alias("a"), F.explode(F.array("lo", "hi")).alias("b"))
+    # The most central member of a bucket, which shares the largest buckets: of copies, the least changed.
+    weights = members.groupBy("key").agg(F.sum("size").alias("weight"))
+    members = materialize(members.join(weights, "key").select("band", "value", "key", "weight"), "near-weighted")
+    hubs = members.groupBy("band", "value").agg(F.max_by("key", F.struct("weight", "key")).alias("hub"))
+    pairs = members.join(hubs, ["band", "value"]).select(F.col("key").alias("a"), F.col("hub").alias("b"))
     if prints is not None and close is not None:
         held = keys.join(prints.select("th", "fp").distinct(), "th").select("key", "fp").distinct()
         first = held.groupBy("fp").agg(F.min("key").alias("first"))
@@ -104,12 +135,10 @@ def similar_sets(texts: DataFrame, similarity: float = 0.8, prints: DataFrame |
         pairs = pairs.unionByName(close.join(end("a"), "a").join(end("b"), "b").select(F.col("key_a").alias("a"), F.col("key_b").alias("b")))
     pairs = pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     links = _verified(pairs, signed, texts, similarity)
-    roots = connected_components(links).withColumnRenamed("node", "key")
-    placed = members.select("band", "value", "key").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    placed = materialize(placed, "near-placed")
-    mixed = placed.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi and n > 2")
-    placed = placed.join(mixed.select("band", "value"), ["band", "value"])
-    left = placed.select("band", "value", F.col("key").alias("a"), F.col("root").alias("ra"))
-    right = placed.select("band", "value", F.col("key").alias("b"), F.col("root").alias("rb"))
-    more = left.join(right, ["band", "value"]).where("a < b and ra <> rb").select("a", "b")
+    placed = _placed(members, links)
+    mixed = placed.groupBy("band", "value").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+    placed = placed.join(mixed.select("band", "value"), ["band", "value"]).join(signed.select("key", "size", "parity"), "key")
+    placed = materialize(placed.select("band", "value", "key", "root", "size", "parity"), "near-mixed")
+    may = (F.col("key_a") < F.col("key_b")) & (F.col("root_a") != F.col("root_b")) & _may("a", "b", similarity)
+    more = _side(placed, "a").join(_side(placed, "b"), ["band", "value"]).where(may).select(F.col("key_a").alias("a"), F.col("key_b").alias("b"))
     return keys, links.unionByName(_verified(more, signed, texts, similarity))

@@ -57,3 +57,34 @@ def test_table_against_all_pairs(spark):
                 root = {k: min(root[i], root[j]) if r in (root[i], root[j]) else r for k, r in root.items()}
     got = corpus_pipeline.near_copies_out(spark, docs, "").collect()
     assert sorted((r.doc_id, r.text) for r in got) == [(i, t) for i, t in rows if root[i] == i]
+
+
+def test_parity_bound_refuses_no_similar_pair():
+    """Differing parity bits never outnumber the shingles that only one set has."""
+    rng = np.random.default_rng(7)
+    for size in (0, 1, 40, 300, 5000):
+        x = np.unique(rng.integers(0, 1 << 64, size, np.uint64))
+        for change in (0, 1, 7, 60):
+            y = np.unique(np.concatenate([x[change:], rng.integers(0, 1 << 64, change // 2, np.uint64)]))
+            apart = int(np.bitwise_count((nearcopies.parity(x) ^ nearcopies.parity(y)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(x, y)) and (apart - len(np.setxor1d(x, y))) % 2 == 0
+
+
+def test_large_group_about_the_limit(spark):
+    """Copies of one text with so many changes that pairs stand on both sides of the limit."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(160)]
+    texts = []
+    for _ in range(70):
+        words = list(base)
+        for i in rng.sample(range(160), rng.randrange(1, 7)):
+            words[i] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = [set(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    root = list(range(70))
+    for i in range(70):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies_out(spark, docs, "").collect()) == sorted({*root})
