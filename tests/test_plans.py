@@ -23,6 +23,7 @@ def cell(v):
 
 def rows(df):
     names = sorted(df.columns)
+    df = df.astype({c: "float64" for c in names if str(df[c].dtype) == "Int64"})  # whole numbers with nulls, as toPandas has them
     return names, sorted(tuple(map(cell, r)) for r in df[names].itertuples(index=False))
 
 
