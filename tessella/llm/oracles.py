@@ -111,3 +111,68 @@ verdict AS (SELECT b.*, b.n_words < 50 OR 100 * b.n_repeat_words > 50 * b.n_word
   FROM base b JOIN docs USING (doc_id) LEFT JOIN totals t USING (lang) LEFT JOIN sizes s ON s.doc_id = b.doc_id LEFT JOIN word_js w ON w.doc_id = b.doc_id LEFT JOIN class_js c ON c.doc_id = b.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR far_words OR far_classes) AS kept FROM verdict
 """
+
+
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units, [CAST('0x' || substr(h, 8 * i + 1, 8) AS BIGINT) FOR i IN range(4)] AS r FROM d),
+c AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS lo,
+  greatest(r[1] % (len(units) + 1), r[2] % (len(units) + 1)) AS hi FROM u),
+p AS (SELECT *, coalesce(array_to_string(units[1:lo], ''), '') AS a, coalesce(array_to_string(units[lo + 1:hi], ''), '') AS b, coalesce(array_to_string(units[hi + 1:n], ''), '') AS z,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 100 THEN 'plain'
+    WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c),
+o AS (SELECT *, CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || z || '<M>' || b WHEN 'spm' THEN '<S>' || z || '<P>' || a || '<M>' || b ELSE t END AS output FROM p),
+q AS (SELECT *, string_split_regex(output, '<[PSM]>') AS x FROM o)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(a) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(b) AS BIGINT) END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE form WHEN 'psm' THEN x[2] || x[4] || x[3] WHEN 'spm' THEN x[3] || x[4] || x[2] ELSE output END) AS restored_sha256 FROM q
+"""
+
+
+OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS bad FROM labels GROUP BY doc_id),
+f AS (SELECT d.doc_id, part, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad, {
+  'A': len(w) < 200,
+  'B': 100 * len(list_distinct(w)) < 50 * len(w),
+  'C': 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 3 * length(t),
+  'D': regexp_matches(t, '[#$%&*|]'),
+  'E': coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY t), false)} AS fails FROM d LEFT JOIN l USING (doc_id)),
+failed AS (SELECT *, (CASE WHEN fails.A THEN 'A' ELSE '' END) || (CASE WHEN fails.B THEN 'B' ELSE '' END) || (CASE WHEN fails.C THEN 'C' ELSE '' END)
+  || (CASE WHEN fails.D THEN 'D' ELSE '' END) || (CASE WHEN fails.E THEN 'E' ELSE '' END) AS set FROM f),
+sets AS (SELECT part, set, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || e.x || g.x AS filter_order FROM letters a, letters b, letters c, letters e, letters g
+  WHERE len(list_distinct([a.x, b.x, c.x, e.x, g.x])) = 5),
+steps AS (SELECT filter_order, CAST(step AS INTEGER) AS step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+told AS (SELECT s.*, set, part, n, good, bad, contains(set, own) AS here, len(translate(set, before, '')) < len(set) AS gone FROM steps s, sets),
+sums AS (SELECT part, filter_order, step, own,
+  CAST(coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (here AND NOT gone), 0) AS BIGINT) AS removed,
+  CAST(coalesce(sum(n) FILTER (here AND gone), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (set = own), 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(sum(good) FILTER (here AND NOT gone), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(bad) FILTER (here AND NOT gone), 0) AS BIGINT) AS toxic_lost
+  FROM told GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM sums
+"""
+
+
+def op13(templates: list[tuple], gram: int, similarity: float) -> str:
+    quoted = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
+    rows = ", ".join(f"({i}, '{label}', {str(base).lower()}, {size}, {slack}, {votes}, {quoted(words)})" for i, label, base, size, slack, votes, words in templates)
+    return rf"""
+WITH templates(template, label, base, size, slack, votes, words) AS (VALUES {rows}),
+tg AS (SELECT template, slack, spot - 1 AS spot, words[spot:spot + {gram - 1}] AS g FROM (SELECT *, unnest(range(1, size - {gram} + 2)) AS spot FROM templates)),
+docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dg AS (SELECT doc_id, pos - 1 AS pos, w[pos:pos + {gram - 1}] AS g FROM (SELECT *, unnest(range(1, len(w) - {gram} + 2)) AS pos FROM docs)),
+hits AS (SELECT doc_id, template, slack, spot, pos, pos - spot AS diagonal FROM dg JOIN tg USING (g)),
+diagonals AS (SELECT doc_id, template, slack, diagonal, count(*) AS n FROM hits GROUP BY ALL),
+apart AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER (PARTITION BY doc_id, template ORDER BY diagonal) > slack, true) AS apart FROM diagonals),
+bands AS (SELECT *, max(CASE WHEN apart THEN diagonal END) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS band FROM apart),
+kept AS (SELECT doc_id, template, band FROM bands JOIN templates USING (template) GROUP BY doc_id, template, band, votes HAVING sum(n) >= votes),
+found AS (SELECT h.doc_id, h.template, b.band, unnest(range(h.spot, h.spot + {gram})) AS word, h.pos FROM hits h JOIN bands b USING (doc_id, template, diagonal) JOIN kept k ON k.doc_id = h.doc_id AND k.template = h.template AND k.band = b.band),
+sums AS (SELECT doc_id, template, band, count(DISTINCT word) AS covered, min(pos) AS start, max(pos) + {gram} AS stop FROM found GROUP BY ALL),
+spans AS (SELECT doc_id, label, base, start, CAST(covered AS DOUBLE) / greatest(size, stop - start) AS score FROM sums JOIN templates USING (template)),
+good AS (SELECT * FROM spans WHERE score >= CASE WHEN base THEN 1.0 ELSE {similarity} END),
+told AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score FROM good GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score
+FROM docs LEFT JOIN told USING (doc_id)
+"""

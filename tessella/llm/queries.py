@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, lattice, linededup, media, mixing, oracles, quality, simhash, tokenbin, tokencount, toxicity, unigram
+from . import audit, fim, langid, lattice, licenses, linededup, media, mixing, oracles, quality, simhash, tokenbin, tokencount, toxicity, unigram
 from ._shared import held_out, new_scratch, table
 
 
@@ -67,6 +67,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("class_js", "word_js")  # so that the last bits of distances are no result
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_simhash": op2_simhash,
@@ -78,10 +92,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentencepiece": op8_sentencepiece,
     "op9_toxicity": op9_toxicity,
     "op10_quality": op10_quality,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_licenses": op13_licenses,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_mixing": oracles.op3(mixing.TARGETS),
     "op5_line_dedup": oracles.OP5,
     "op10_quality": oracles.op10(quality.MAX_CLASS, quality.MAX_WORD),
+    "op11_fill_in_middle": oracles.OP11,
+    "op12_filter_audit": oracles.OP12,
+    "op13_licenses": oracles.op13(licenses.template_rows(), licenses.GRAM, licenses.SIMILARITY),
 }

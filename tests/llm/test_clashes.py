@@ -6,12 +6,12 @@ import public_tokenizers
 import pytest
 
 import corpus_pipeline
-from tessella.llm import langid, lattice, linededup, media, mixing, quality, simhash, tokenbin, tokencount, toxicity, unigram
+from tessella.llm import audit, fim, langid, lattice, licenses, linededup, media, mixing, quality, simhash, tokenbin, tokencount, toxicity, unigram
 
 CLASH = (
     "th fp fingerprint component_id gone first no k n seg at size words ids decoded score spans predicted lang_best margin classes lines grams starts "
     "n_words kept budget edge remain whole cut rank bucket start n_tokens name part payload feature root key value hashes bands a b e d w p x y "
-    "r level found piece known docs edges common letters copies tagged label toxic tokens epoch lost chunks"
+    "r level found piece known docs edges common letters form output restored which cut end second mask part good bad word hits template band copies tagged label toxic tokens epoch lost chunks"
 ).split()
 BASE = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -55,6 +55,9 @@ RUNS = {
     "tokenbin": lambda d, labels, t: _tokens(d, t),
     "lattice": lambda d, labels, t: lattice.decode(lattice.encode(d, PIECES), PIECES),
     "toxicity": lambda d, labels, t: toxicity.score(d, toxicity.learn(d, labels)).select("doc_id", "score"),
+    "fim": lambda d, labels, t: fim.restore(fim.transform(d)),
+    "audit": lambda d, labels, t: audit.audit(d, labels.drop("quality").withColumn("quality", labels["toxic"]), min_words=30),
+    "licenses": lambda d, labels, t: licenses.scan(d),
     "quality": lambda d, labels, t: quality.judge(d, min_ref_tokens=10).drop("class_js", "word_js"),
 }
 
