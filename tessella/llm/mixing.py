@@ -37,22 +37,31 @@ def _rank(seed: int, epoch: Column, doc_id: Column) -> Column:
 def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, weights: DataFrame | None = None, max_epochs: int = 2) -> DataFrame:
     """leaves (levels..., tokens) plus cap and budget, whole tokens; total is at most all caps.
 
-    A node's capacity is max_epochs times its tokens. From the root down, a node's budget is dealt
-    to its children by weight; a child that cannot use its share gives the rest to its siblings
-    (the saturated ones are those of least capacity to weight, found by running sums), and what a
-    whole subtree cannot use was dealt to its ancestors' siblings one level up. weights:
-    (level int, name, weight) for nodes by name, 1 where it has none or a null. A node of weight 0
-    gets nothing, and what its weighted siblings cannot use is then lost.
+    A leaf's capacity is max_epochs times its tokens, none if a node on its path has weight 0; a
+    node's is the sum of its leaves'. From the root down, a node's budget is dealt to its children
+    by weight; a child that cannot use its share gives the rest to its siblings (the saturated ones
+    are those of least capacity to weight, found by running sums), and what a whole subtree cannot
+    use was dealt to its ancestors' siblings one level up. Shares are rounded down; the tokens that
+    this leaves over go, one each, to the children with the largest fractions, by name among
+    equals. So the whole total is dealt. weights: (level int, name, weight) for nodes by name, 1
+    where it has none or a null.
     """
-    out = leaves.withColumn("cap", F.col("tokens") * max_epochs).withColumn("budget", F.lit(total).cast("long"))
+    out = leaves
     for depth, level in enumerate(levels):
-        path, parent = list(levels[: depth + 1]), list(levels[:depth])
-        nodes = out.groupBy(*path).agg(F.sum("cap").alias("node_cap"), F.min("budget").alias("given"))
         if weights is None:
-            nodes = nodes.withColumn("w", F.lit(1.0))
+            out = out.withColumn(f"__w{depth}", F.lit(1.0))
         else:
-            named = weights.where(F.col("level") == depth).select(F.col("name").alias(level), F.col("weight").cast("double").alias("w"))
-            nodes = nodes.join(F.broadcast(named) if fits_broadcast(named, 100_000) else named, level, "left").withColumn("w", F.coalesce("w", F.lit(1.0)))
+            named = weights.where(F.col("level") == depth).select(F.col("name").alias(level), F.col("weight").cast("double").alias(f"__w{depth}"))
+            out = out.join(F.broadcast(named) if fits_broadcast(named, 100_000) else named, level, "left").withColumn(f"__w{depth}", F.coalesce(f"__w{depth}", F.lit(1.0)))
+    usable = F.lit(True)
+    for depth in range(len(levels)):
+        usable = usable & (F.col(f"__w{depth}") > 0)
+    out = out.withColumn("cap", F.when(usable, F.col("tokens") * max_epochs).otherwise(F.lit(0)).cast("long"))
+    total = min(total, out.agg(F.sum("cap")).first()[0] or 0)
+    out = out.withColumn("budget", F.lit(total).cast("long"))
+    for depth, level in enumerate(levels):
+        path, parent = list(levels[: depth + 1]), list(levels[:depth])
+        nodes = out.groupBy(*path).agg(F.sum("cap").alias("node_cap"), F.min("budget").alias("given"), F.min(f"__w{depth}").alias("w"))
         by = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
         ratio = F.when(F.col("w") > 0, F.col("node_cap") / F.col("w")).otherwise(F.lit(float("inf")))
         order = by.orderBy("ratio", level).rowsBetween(Window.unboundedPreceding, -1)
@@ -66,11 +75,15 @@ def budgets(leaves: DataFrame, total: int, levels: tuple[str, ...] = LEVELS, wei
         # Saturated children come first; the first that is not fixes the share of all others.
         first = F.min(F.when(~F.col("full"), F.struct("ratio", level, "left", "w_left"))).over(by)
         nodes = nodes.withColumn("cut", first)
-        share = F.when(F.col("w") > 0, F.floor(F.col("cut.left") * F.col("w") / F.col("cut.w_left"))).otherwise(F.lit(0))
         before = F.col("cut").isNull() | (F.struct("ratio", level) < F.struct(F.col("cut.ratio"), F.col(f"cut.{level}")))
-        nodes = nodes.withColumn("node_budget", F.when(before, F.col("node_cap")).otherwise(share).cast("long"))
-        out = out.drop("budget").join(nodes.select(*path, F.col("node_budget").alias("budget")), path)
-    return out
+        nodes = nodes.withColumn("open", ~before & (F.col("w") > 0)).withColumn("exact", F.when(F.col("open"), F.col("cut.left") * F.col("w") / F.col("cut.w_left")))
+        nodes = nodes.withColumn("share", F.floor("exact").cast("long"))
+        nodes = nodes.withColumn("over", F.col("cut.left") - F.sum("share").over(by))
+        nodes = nodes.withColumn("place", F.row_number().over(by.orderBy(F.desc("open"), F.desc(F.col("exact") - F.col("share")), level)))
+        one = F.when(F.col("place") <= F.col("over"), F.lit(1)).otherwise(F.lit(0))
+        budget = F.when(before, F.col("node_cap")).when(F.col("open"), F.col("share") + one).otherwise(F.lit(0)).cast("long")
+        out = out.drop("budget").join(nodes.select(*path, budget.alias("budget")), path)
+    return out.drop(*(f"__w{d}" for d in range(len(levels))))
 
 
 def plan(

@@ -12,8 +12,7 @@ def _level(depth: int, before: str) -> str:
     path, parent = ", ".join(levels[: depth + 1]), ", ".join(levels[:depth]) or "1"
     name = levels[depth]
     return f"""
-n{depth} AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS node_cap, min(budget) AS given, coalesce(min(w.weight), 1.0::DOUBLE) AS w
-  FROM {before} LEFT JOIN weights w ON w.level = {depth} AND w.name = {name} GROUP BY {path}),
+n{depth} AS (SELECT {path}, CAST(sum(cap) AS BIGINT) AS node_cap, min(budget) AS given, min(w{depth}) AS w FROM {before} GROUP BY {path}),
 o{depth} AS (SELECT *, CASE WHEN w > 0 THEN node_cap / w ELSE 'infinity'::DOUBLE END AS ratio FROM n{depth}),
 r{depth} AS (SELECT *, row_number() OVER o AS rn,
   CAST(coalesce(sum(node_cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cap_before,
@@ -22,9 +21,12 @@ r{depth} AS (SELECT *, row_number() OVER o AS rn,
 f{depth} AS (SELECT *, min(CASE WHEN NOT (w > 0 AND node_cap * w_left <= (given - cap_before) * w) THEN rn END) OVER (PARTITION BY {parent}) AS cut FROM r{depth}),
 c{depth} AS (SELECT *, max(CASE WHEN rn = cut THEN given - cap_before END) OVER (PARTITION BY {parent}) AS cut_left,
   max(CASE WHEN rn = cut THEN w_left END) OVER (PARTITION BY {parent}) AS cut_w FROM f{depth}),
-b{depth} AS (SELECT l.domain, l.lang, l.source, l.tokens, l.cap,
-  CAST(CASE WHEN c.cut IS NULL OR c.rn < c.cut THEN c.node_cap WHEN c.w > 0 THEN floor(c.cut_left * c.w / c.cut_w) ELSE 0 END AS BIGINT) AS budget
-  FROM {before} l JOIN c{depth} c USING ({path}))"""
+x{depth} AS (SELECT *, CASE WHEN rn >= cut AND w > 0 THEN cut_left * w / cut_w END AS exact FROM c{depth}),
+s{depth} AS (SELECT *, cut_left - sum(CAST(floor(exact) AS BIGINT)) OVER (PARTITION BY {parent}) AS over,
+  row_number() OVER (PARTITION BY {parent} ORDER BY exact IS NULL, exact - floor(exact) DESC, {name}) AS place FROM x{depth}),
+b{depth} AS (SELECT l.* EXCLUDE (budget), CAST(CASE WHEN s.cut IS NULL OR s.rn < s.cut THEN s.node_cap
+  WHEN s.w > 0 THEN floor(s.exact) + CASE WHEN s.place <= s.over THEN 1 ELSE 0 END ELSE 0 END AS BIGINT) AS budget
+  FROM {before} l JOIN s{depth} s USING ({path}))"""
 
 
 def op3(weights: tuple[tuple[int, str, float], ...]) -> str:
@@ -34,7 +36,10 @@ WITH weights(level, name, weight) AS (VALUES {rows}),
 docs AS (SELECT doc_id, 'd' || CAST(CAST('0x' || substr(md5(coalesce(source, '')), 1, 1) AS INTEGER) % 4 AS VARCHAR) AS domain,
   coalesce(lang, '') AS lang, coalesce(source, '') AS source,
   CAST(coalesce(len(regexp_extract_all(text, '{_WORD}')), 0) AS BIGINT) AS tokens FROM documents),
-leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens, CAST(2 * sum(tokens) AS BIGINT) AS cap FROM docs GROUP BY ALL),
+sums AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL),
+named AS (SELECT s.*, coalesce(d.weight, 1.0::DOUBLE) AS w0, coalesce(l.weight, 1.0::DOUBLE) AS w1, coalesce(o.weight, 1.0::DOUBLE) AS w2 FROM sums s
+  LEFT JOIN weights d ON d.level = 0 AND d.name = domain LEFT JOIN weights l ON l.level = 1 AND l.name = lang LEFT JOIN weights o ON o.level = 2 AND o.name = source),
+leaves AS (SELECT *, CASE WHEN w0 > 0 AND w1 > 0 AND w2 > 0 THEN 2 * tokens ELSE 0 END AS cap FROM named),
 start AS (SELECT *, least((SELECT CAST(floor(sum(tokens) * 0.5) AS BIGINT) FROM leaves), (SELECT CAST(sum(cap) AS BIGINT) FROM leaves)) AS budget FROM leaves),
 {_level(0, "start")},
 {_level(1, "b0")},

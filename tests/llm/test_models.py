@@ -95,14 +95,19 @@ def test_marginals_against_enumeration():
 
 
 def water_fill(total, children):
-    """children: name -> (cap, weight); whole shares by rounds. Without weight there is no share."""
-    out, left = {n: 0 for n, (_, wt) in children.items() if not wt}, total
-    open_ = {n: x for n, x in children.items() if x[1]}
+    """children: name -> (cap, weight). Whole shares by rounds: who cannot use a share takes the cap and
+    leaves the rest to the others; tokens lost by rounding go to the largest fractions."""
+    out, left = {n: 0 for n, (cap, wt) in children.items() if not wt or not cap}, total
+    open_ = {n: x for n, x in children.items() if n not in out}
     while open_:
         w = sum(x[1] for x in open_.values())
         full = {n for n, (cap, wt) in open_.items() if cap * w <= left * wt}
         if not full:
-            return out | {n: int(left * wt / w) for n, (_, wt) in open_.items()}
+            exact = {n: left * wt / w for n, (_, wt) in open_.items()}
+            shares = {n: int(x) for n, x in exact.items()}
+            for n in sorted(exact, key=lambda n: (shares[n] - exact[n], n))[: left - sum(shares.values())]:
+                shares[n] += 1
+            return out | shares
         # The least ratio first, as the running sums do.
         n = min(full, key=lambda x: (open_[x][0] / open_[x][1], x))
         out[n], left = open_[n][0], left - open_[n][0]
@@ -110,6 +115,13 @@ def water_fill(total, children):
     return out
 
 
+def test_a_budget_under_a_node_of_weight_zero_goes_to_others(spark):
+    leaves = spark.createDataFrame([("d0", "en", "a", 100), ("d0", "en", "z", 900), ("d1", "en", "b", 1000)], "__domain string, __lang string, __source string, tokens long")
+    weights = spark.createDataFrame([(2, "z", 0.0)], "level int, name string, weight double")
+    deal = lambda total: {r["__source"]: r.budget for r in mixing.budgets(leaves, total, weights=weights, max_epochs=1).collect()}
+    assert deal(1000) == {"a": 100, "z": 0, "b": 900} and deal(5000) == {"a": 100, "z": 0, "b": 1000} and deal(151) == {"a": 76, "z": 0, "b": 75}
+
+
 def test_mixing(spark):
     rng = random.Random(4)
     rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), rng.choice(["en", "de", None]), rng.choice(["s0"] * 4 + [f"s{k}" for k in range(1, 8)])) for i in range(400)]
@@ -127,12 +139,14 @@ def test_mixing(spark):
             leaves[d, lang or "", source].append((i, len(t.split())))
         tokens = {k: sum(n for _, n in v) for k, v in leaves.items()}
         total = min(int(sum(tokens.values()) * fraction), epochs * sum(tokens.values()))
-        budget = {(): total}
+        cap = {k: epochs * v * all(w.get((j, k[j]), 1.0) > 0 for j in range(3)) for k, v in tokens.items()}
+        budget = {(): min(total, sum(cap.values()))}
         for depth in range(3):
             for node in [k for k in budget if len(k) == depth]:
                 below = sorted({k[: depth + 1] for k in tokens if k[:depth] == node})
-                caps = {n: (epochs * sum(v for k, v in tokens.items() if k[: depth + 1] == n), w.get((depth, n[-1]), 1.0)) for n in below}
+                caps = {n: (sum(cap[k] for k in tokens if k[: depth + 1] == n), w.get((depth, n[-1]), 1.0)) for n in below}
                 budget |= water_fill(budget[node], caps)
+        assert sum(v for k, v in budget.items() if len(k) == 3) == budget[()]
         want = []
         for leaf, docs_ in leaves.items():
             if not tokens[leaf]:
@@ -146,3 +160,15 @@ def test_mixing(spark):
                 want.append((i, whole))
         assert sorted((r.doc_id, r.epoch) for r in taken) == sorted(want), (fraction, epochs, w)
     assert mixing.mix(docs.limit(0), mixing.plan(docs.limit(0))).collect() == []
+
+
+def test_of_several_texts_under_one_id_one_is_learned_whatever_the_order(spark):
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i % 40, " ".join(random.Random(i).choices(words, k=30)) + (" bad slur" if i % 40 % 4 == 0 else "")) for i in range(120)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    models = []
+    for parts, order in ((1, rows), (7, rows[::-1])):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(parts)
+        models.append(toxicity.learn(docs, labels, min_docs=2, min_contexts=1, purity=2))
+    a, b = models
+    assert a.words == b.words and np.array_equal(a.weight, b.weight) and np.array_equal(a.blend, b.blend)
