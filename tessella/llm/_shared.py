@@ -36,6 +36,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, as Spark's own writers would read it, so that every executor opens
+    the same place. A path without a scheme that falls on a local disk raises on a cluster: each
+    executor would have a disk of its own. A `file:` that is written out is taken as a shared mount.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    if full.startswith("file:"):
+        if not path.startswith("file:") and not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{path} is on each machine's own disk; name a shared file system")
+        full = "file://" + full.removeprefix("file:").removeprefix("//")
+    return full
+
+
 def new_scratch(spark: SparkSession, label: str) -> str:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _made.append(path)
