@@ -171,7 +171,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
     min_contexts different words (copies of one document have one), is tagged where it stands in a toxic
     document. The field is fitted on at most max_segments runs of `segment` tokens, tagged and
     untagged in halves, over the max_words words and stems that most documents of the sample have. Words
-    are counted on the executors; only bounded tables reach the driver.
+    are counted on the executors; only bounded tables reach the driver. Of several texts under one
+    doc_id the one with the smallest hash is learned, whatever the order of the rows.
     """
     chosen = (
         labels.select(F.col("doc_id").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -183,7 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_docs: int = 6000, max_words: i
         .limit(max_docs)
     )
     chosen = materialize(chosen, "toxic-chosen")  # at most max_docs rows
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.max("toxic").alias("toxic"))
+    sample = materialize(sample, "toxic-sample")
 
     def uses(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

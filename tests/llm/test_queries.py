@@ -13,7 +13,7 @@ import zstandard
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessella.llm import langid, queries, unigram
+from tessella.llm import langid, queries, toxicity, unigram
 from tests.llm.test_linededup import brute as brute_lines
 from tests.llm.test_quality import base
 from tests.llm.test_simhash import brute_components, brute_print
@@ -136,3 +136,26 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
             assert after == [(i, t) for i, t in before if roots[i] == i]
         else:
             assert set(after) <= set(before) and 0 < sum(len(t.split()) for _, t in after) <= 0.5 * sum(len(t.split()) for _, t in before)
+
+
+def test_toxicity_by_a_plain_loop(spark, texts):
+    """The query's scores again: each whole text's marginals by sums over paths in the log domain, token by token."""
+    model = toxicity.learn(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    step, got = model.step, run(spark, "op9_toxicity")
+    for i, t in texts.items():
+        found = [w.lower() for w in regex.findall(r"[^\W\d_]+", t or "")]
+        own = [model.weight[model.words.get(w, 0)] + model.weight[model.words.get(w[:5] + "+", 0) if len(w) > 5 else 0] for w in found]
+        emit = [(0.0, max(-30.0, min(30.0, e))) for e in own]
+        ahead, behind = [], [(0.0, 0.0)] * len(emit)
+        for k, e in enumerate(emit):
+            if k == 0:
+                ahead.append((e[0], e[1] + model.start))
+            else:
+                ahead.append(tuple(e[s] + np.logaddexp(ahead[-1][0] + step[0][s], ahead[-1][1] + step[1][s]) for s in (0, 1)))
+        for k in range(len(emit) - 2, -1, -1):
+            behind[k] = tuple(np.logaddexp(step[s][0] + emit[k + 1][0] + behind[k + 1][0], step[s][1] + emit[k + 1][1] + behind[k + 1][1]) for s in (0, 1))
+        p = [1 / (1 + np.exp(a[0] + b[0] - a[1] - b[1])) for a, b in zip(ahead, behind, strict=True)]
+        x = model.blend @ [1.0, np.log1p(sum(p)), float(max(p, default=0.0) >= 0.5)]
+        want = 1 / (1 + np.exp(-max(-40, min(40, x))))
+        assert abs(got[i].score - want) < 1e-6 and got[i].predicted == int(got[i].score >= 0.5)
+        assert got[i].n_spans == sum(v >= 0.5 for v in p) or any(abs(v - 0.5) < 1e-6 for v in p)
