@@ -100,13 +100,14 @@ def spans(docs: DataFrame, phrases=PHRASES, notices=NOTICES, similarity: float =
     a few inserted or lost words keep apart are merged. Bands with votes enough (template_rows)
     are verified in the text itself, word by word: score is the number of the template's words
     that verified hits cover, by the template's size or the span's if that is longer. Phrases need 1.
-    Only texts with a candidate are read again: by broadcast where they are counted to be few, else
-    by shuffle, with the same result.
+    Only texts with a candidate are read again: found by a broadcast of their hashes where these are
+    counted to be few (a long each), else by shuffle, with the same result.
     """
     table, grams = _templates(docs.sparkSession, template_rows(phrases, notices, similarity))
     rows = _keyed(docs).select(*KEY, "text")
     found = materialize(_candidates(rows, table, grams), "license-candidates")
-    met = rows.join(F.broadcast(found) if fits_broadcast(found, broadcast_rows) else found, KEY)
+    texts = found.select("__th").distinct()
+    met = rows.join(F.broadcast(texts) if fits_broadcast(texts, broadcast_rows) else texts, "__th", "left_semi").join(found.hint("merge"), KEY)
     # Written, so that the words are split once and not for each hit.
     met = materialize(met.select(*KEY, _words(F.translate("text", UPPER, LOWER)).alias("w"), "hits"), "license-texts")
     hits = met.select(*KEY, F.explode("hits").alias("h"), "w").select(*KEY, "h.*", F.slice("w", F.col("h.pos") + 1, F.lit(GRAM)).alias("own")).distinct()
