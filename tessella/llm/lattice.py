@@ -14,11 +14,13 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._shared import byte_slices, materialize, row_slices
+from ._shared import byte_slices, materialize, new_scratch, qualified, row_slices
 from .unigram import SPACE, Pieces
 
 # An edge of the lattice is one long: its end (34 bits), its length (8), its code (22). In order,
@@ -41,15 +43,28 @@ def _letters(texts: str) -> np.ndarray:
     return np.frombuffer(texts.encode("utf-32-le"), "<u4")
 
 
+NO_WORDS = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
+
+
+@lru_cache(maxsize=1)
+def known_words(path: str) -> tuple[pa.Array, pa.ListArray]:
+    """The words of a table that common_words wrote, and their ids; a worker reads it once for all its tasks."""
+    system, top = pafs.FileSystem.from_uri(path)
+    names = sorted(f.path for f in system.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".parquet"))
+    parts = [pq.read_table(n, filesystem=system) for n in names]
+    if not sum(map(len, parts)):
+        return NO_WORDS
+    word, ids = pa.concat_tables(parts).combine_chunks().columns
+    return word.combine_chunks().cast(pa.string()), ids.combine_chunks().cast(pa.list_(pa.int32()))
+
+
 class Lattice:
-    """The lattices of a batch's words against a piece table, and the words whose ids are known."""
+    """The lattices of a batch's words against a piece table."""
 
-    def __init__(self, pieces: Pieces, words: pa.Array | None = None, ids: pa.ListArray | None = None):
+    def __init__(self, pieces: Pieces):
         self.longest = max(map(len, (p for p, _, _ in pieces.rows)))
         self.scores = np.full(max(i for _, i, _ in pieces.rows) + 1, pieces.unknown)
         self.unknown, self.bytes = pieces.unknown, np.asarray(pieces.byte_ids, np.int32)
-        self.words = words if words is not None else pa.array([], pa.string())
-        self.ids = ids if ids is not None else pa.array([], pa.list_(pa.int32()))
         self.tables: dict[int, tuple[pa.Array, np.ndarray, np.ndarray]] = {}
         by_length: dict[int, list[tuple[str, int]]] = {}
         for piece, i, score in pieces.rows:
@@ -127,20 +142,21 @@ class Lattice:
         words = pa.StringArray.from_buffers(len(begin), pa.py_buffer(offsets), pa.py_buffer(joined.encode("utf-8")))
         return words.dictionary_encode(), np.searchsorted(begin, tops)
 
-    def batch(self, texts: list[str], rows: list[pa.Array], names: list[str], whole: bool = False) -> pa.RecordBatch:
+    def batch(self, texts: list[str], rows: list[pa.Array], names: list[str], whole: bool = False, table: str | None = None) -> pa.RecordBatch:
         """One row for a batch of texts (or, if whole, of words): `docs` with the columns `rows` and
-        each one's words by number; `edges` of the unknown words and `known` ids of the others,
-        numbered in this order; `scores` and `spelled` by code."""
+        each one's words by number; `edges` of the unknown words and `known` ids of those in the
+        table, numbered in this order; `scores` and `spelled` by code."""
         if whole:
             words, offsets = pa.array(texts, pa.string()).dictionary_encode(), np.arange(len(texts) + 1)
         else:
             words, offsets = self.split([SPACE + t.replace(" ", SPACE) if t else "" for t in texts])
         distinct = words.dictionary
-        at = pc.index_in(distinct, value_set=self.words)
+        table_words, table_ids = known_words(table) if table else NO_WORDS
+        at = pc.index_in(distinct, value_set=table_words)
         new = at.is_null().to_numpy(zero_copy_only=False)
         edges, spelled = self.edges(distinct.filter(pa.array(new)))
         number = np.where(new, np.cumsum(new) - 1, new.sum() + np.cumsum(~new) - 1).astype(np.int32)
-        known = self.ids.take(at.drop_null())
+        known = table_ids.take(at.drop_null())
         parts = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(number[words.indices.to_numpy()], pa.int32()))
         docs = pa.StructArray.from_arrays([*rows, parts], [*names, "words"])
         scores = np.concatenate([self.scores, np.full(len(spelled), self.unknown)])
@@ -208,7 +224,7 @@ def _folded(batches: DataFrame, pieces: Pieces) -> DataFrame:
     return rows.select(F.explode(docs).alias("d")).select("d.*")
 
 
-def _batched(rows: DataFrame, text: str, lattice: Lattice, whole: bool = False, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def _batched(rows: DataFrame, text: str, lattice: Lattice, whole: bool = False, table: str | None = None, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Batches (see Lattice.batch) of rows, whose column `text` is not null; the other columns go along."""
     kept = [c for c in rows.columns if whole or c != text]
     shared = rows.sparkSession.sparkContext.broadcast(lattice)
@@ -218,17 +234,19 @@ def _batched(rows: DataFrame, text: str, lattice: Lattice, whole: bool = False,
             texts = b.column(rows_names.index(text))
             for lo, hi in byte_slices(texts, batch_bytes):
                 columns = [b.column(rows_names.index(c)).slice(lo, hi - lo) for c in kept]
-                yield shared.value.batch(texts.slice(lo, hi - lo).to_pylist(), columns, kept, whole)
+                yield shared.value.batch(texts.slice(lo, hi - lo).to_pylist(), columns, kept, whole, table)
 
     rows_names = rows.columns
     fields = ", ".join(f"`{c}`: {rows.schema[c].dataType.simpleString()}" for c in kept)
     return rows.mapInArrow(run, f"docs array<struct<{fields}, words: array<int>>>, edges array<array<array<bigint>>>, known array<array<int>>, scores array<double>, spelled array<array<int>>")
 
 
-def common_words(docs: DataFrame, pieces: Pieces, frequent: int, sample_docs: int, max_letters: int = 32) -> tuple[pa.Array, pa.ListArray]:
-    """The most frequent words, of max_letters at most, of about sample_docs documents, and their ids.
+def common_words(docs: DataFrame, pieces: Pieces, frequent: int, sample_docs: int, max_letters: int = 32) -> str:
+    """The folder of a table (word, ids) of the most frequent words, of max_letters at most, of about
+    sample_docs documents.
 
-    A table of bounded size. Which words stand here does not change any result: it only says which
+    Of bounded size, and on the shared folder only: neither driver nor broadcast holds it, each
+    worker reads it once. Which words stand here does not change any result: it only says which
     are encoded once for all and not in each batch.
     """
     spark, n = docs.sparkSession, docs.count()
@@ -243,10 +261,9 @@ def common_words(docs: DataFrame, pieces: Pieces, frequent: int, sample_docs: in
     counts = some.where("text <> ''").select("text").mapInArrow(run, "word string, n long").where(F.length("word") <= max_letters)
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(frequent).select("word")
     top = materialize(top, "lattice-top").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = _folded(_batched(top, "word", Lattice(pieces), whole=True), pieces).toArrow().combine_chunks()
-    empty = [pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))]
-    word, ids = (c.combine_chunks() if c.num_chunks else e for c, e in zip(found.columns, empty, strict=True))
-    return word.cast(pa.string()), ids.cast(pa.list_(pa.int32()))
+    found, path = _folded(_batched(top, "word", Lattice(pieces), whole=True), pieces), new_scratch(spark, "lattice-words")
+    found.write.parquet(path)
+    return qualified(spark, path)
 
 
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = 393_216, sample_docs: int = 32_768) -> DataFrame:
@@ -264,8 +281,8 @@ def encode(docs: DataFrame, pieces: Pieces, frequent: int = 393_216, sample_docs
     if pieces.longest > 255 or max(i for _, i, _ in pieces.rows) > CODE - 0x110000:
         raise ValueError("pieces of over 255 characters, or too many ids")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    lattice = Lattice(pieces, *common_words(rows, pieces, frequent, sample_docs))
-    return materialize(_folded(_batched(rows.withColumn("th", F.xxhash64("text")), "text", lattice), pieces), "lattice-ids")
+    table = common_words(rows, pieces, frequent, sample_docs)
+    return materialize(_folded(_batched(rows.withColumn("th", F.xxhash64("text")), "text", Lattice(pieces), table=table), pieces), "lattice-ids")
 
 
 def decode(coded: DataFrame, pieces: Pieces, ids_col: str = "ids") -> DataFrame:
