@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -17,6 +19,7 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[str] = []
+_tidied = 0.0
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -64,9 +67,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_scratch(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    tidy(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession, interval_s: float = 10.0) -> None:
+    """Let Spark's cleaner drop the shuffle files and broadcasts of plans that are done.
+
+    It finds them when the driver's memory is collected, which by itself happens late (or every
+    spark.cleaner.periodicGC.interval, half an hour); a job of many written steps would keep them all.
+    """
+    global _tidied
+    if time.monotonic() - _tidied >= interval_s:
+        gc.collect()  # Python's references to plans go first
+        spark._jvm.System.gc()
+        _tidied = time.monotonic()
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the scratch tables that this driver made; to be called once results are written."""
     jvm, dropped = spark.sparkContext._jvm, 0

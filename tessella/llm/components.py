@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ._shared import materialize
@@ -17,16 +17,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     execution may split, so a hub of any degree never has to meet in one task. The edge table is
     written to the shared folder after each round.
     """
-    pairs = (
-        edges.where("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct()
-    )
-    pairs, before = materialize(pairs, "cc"), None
+    pairs, before = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), None
+    pairs, _ = _written(pairs)
     for _ in range(max_rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (
             large.join(down, "u")
@@ -34,8 +30,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             .where("u <> v")
             .distinct()
         )
-        pairs = materialize(small, "cc")
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        pairs, now = _written(small)
         if now == before:
             break
         before = now
@@ -43,3 +38,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     stars = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return stars.unionByName(stars.select(F.col("root").alias("node"), "root").distinct())
+
+
+def _written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """pairs written, and their number and sum of hashes, which the write itself observes."""
+    told = Observation()
+    seen = pairs.observe(told, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h"))
+    out = materialize(seen, "cc")
+    return out, (told.get["n"], told.get["h"])
