@@ -10,13 +10,20 @@ import math
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .vectors import col, elementwise
 
 
+#: Up to so many words an expression names each of them; more are folded, so that plans stay short.
+NAMED_WORDS = 32
+
+
 def literal(words: list[int]) -> Column:
+    if len(words) > NAMED_WORDS:
+        return F.lit(np.array([w - (1 << 64) if w >> 63 else w for w in words], np.int64))
     return F.array(*(F.lit(w - (1 << 64) if w >> 63 else w).cast("long") for w in words))
 
 
@@ -52,8 +59,10 @@ def invert(x: Column | str) -> Column:
 
 
 def hamming(a: Column | str, b: Column | str, words: int | None = None) -> Column:
-    """Differing bits; lengths must be equal."""
+    """Differing bits, of the first `words` words if given; lengths must be equal without."""
     a, b = col(a), col(b)
+    if words and words > NAMED_WORDS:
+        return popcount(xor_bind(F.slice(a, 1, words), F.slice(b, 1, words)))
     if words:
         return _each(words, lambda i: a[i].bitwiseXOR(b[i]))
     return popcount(xor_bind(a, b))

@@ -35,6 +35,18 @@ def _summaries(members: DataFrame, lanes: int, width: int) -> DataFrame:
     return radii.join(half, ["node", "depth"]).withColumn("lfd", lfd(F.col("n"), F.col("n_half")))
 
 
+def halves(rows: DataFrame, lanes: int) -> DataFrame:
+    """(id, fp, node, depth) one step down, of rows (id, fp, node, depth, center): each node is split by
+    two poles, the member farthest from the centre and the one farthest from that; ties go left."""
+    by = ["node", "depth"]
+    left = rows.withColumn("d", bits.hamming("fp", "center", lanes)).groupBy(*by).agg(F.max_by("fp", F.struct("d", -F.col("id"))).alias("left"))
+    both = rows.join(F.broadcast(left), by).withColumn("dl", bits.hamming("fp", "left", lanes))
+    right = both.groupBy(*by).agg(F.max_by("fp", F.struct("dl", -F.col("id"))).alias("right"))
+    side = both.join(F.broadcast(right), by).withColumn("go", F.when(F.col("dl") <= bits.hamming("fp", "right", lanes), 0).otherwise(1))
+    step = F.col("node").bitwiseOR(F.col("go") * F.call_function("shiftleft", F.lit(1), 15 - F.col("depth"))).cast("int")
+    return side.select("id", "fp", step.alias("node"), (F.col("depth") + 1).alias("depth"))
+
+
 def build(df: DataFrame, lanes: int, width: int = 64, min_size: int = 10, max_depth: int = 6, id_col: str = "id", fp: str = "fp") -> tuple[DataFrame, DataFrame]:
     """(clusters, members), level by level: each node over min_size rows and of positive radius is
     split by two poles, the member farthest from the centre and the one farthest from that; ties
@@ -52,12 +64,7 @@ def build(df: DataFrame, lanes: int, width: int = 64, min_size: int = 10, max_de
         open_rows = rows.join(F.broadcast(level.where("not leaf").select("node", "depth", "center")), ["node", "depth"])
         if not level.where("not leaf").count():
             break
-        left = open_rows.withColumn("d", bits.hamming("fp", "center", lanes)).groupBy("node").agg(F.max_by("fp", F.struct("d", -F.col("id"))).alias("left"))
-        both = open_rows.join(F.broadcast(left), "node").withColumn("dl", bits.hamming("fp", "left", lanes))
-        right = both.groupBy("node").agg(F.max_by("fp", F.struct("dl", -F.col("id"))).alias("right"))
-        side = both.join(F.broadcast(right), "node").withColumn("go", F.when(F.col("dl") <= bits.hamming("fp", "right", lanes), 0).otherwise(1))
-        step = F.col("node").bitwiseOR(F.col("go") * (1 << (15 - depth))).cast("int")
-        rows = cut(side.select("id", "fp", step.alias("node"), F.lit(depth + 1).alias("depth")))
+        rows = cut(halves(open_rows, lanes))
     return cut(clusters), cut(settled)
 
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import _versions, livetree
 from . import clusters as tree
+from ._cut import stored
 from .stats import profile
 
 #: Fixed command words.
@@ -45,7 +47,8 @@ def parse(text: str) -> Command:
 def execute(command: str | Command, clusters: DataFrame, members: DataFrame) -> DataFrame:
     """GET, MGET: the deepest real prefix with confidence and gate; SCAN, MSCAN: clusters below;
     ANCESTORS, COUNTERFACTUAL: every prefix, every single flip; LFD, CRP, NARS, SHIFT, ANOMALY:
-    analyses of the prefix; DEL, SET: the cluster they would touch (nothing is changed)."""
+    analyses of the prefix; DEL, SET: the cluster they would touch (see execute_on for a tree that
+    changes)."""
     c = parse(command) if isinstance(command, str) else command
     parts = [_one(c.verb, clusters, members, bits, depth) for bits, depth in c.paths]
     out = parts[0]
@@ -54,6 +57,37 @@ def execute(command: str | Command, clusters: DataFrame, members: DataFrame) ->
     return out
 
 
+def execute_on(spark: SparkSession, command: str | Command, path: str) -> DataFrame:
+    """A command on the last version of a tree that changes (livetree), which SET and DEL make a new one of.
+
+    `SET address id hex`, with 16 hex digits a lane, tells what the arrival does there and, if its
+    gate is flow, stores it; `DEL address` drops every member under the address. Both return the
+    version after them. All other commands read (see execute).
+    """
+    c = parse(command) if isinstance(command, str) else command
+    if c.verb not in ("SET", "DEL"):
+        return execute(c, *livetree.snapshot(spark, path))
+    (bits, depth), (nodes, members) = c.paths[0], livetree.snapshot(spark, path)
+    version, manifest = _versions.read(spark, path)
+    if c.verb == "DEL":
+        gone = stored(members.where(livetree.under(bits, depth)).select("id"), "command-del")
+        removed = gone.count()
+        if removed:
+            version = livetree.change(spark, path, drop=gone)
+        return spark.createDataFrame([(f"{bits:04x}/{depth}", removed, version)], "asked string, removed long, version long")
+    words = c.rest.split()
+    if len(words) != 2 or not re.fullmatch(f"[0-9a-fA-F]{{{16 * manifest['lanes']}}}", words[1]):
+        raise ValueError(f"SET needs an address, an id and {16 * manifest['lanes']} hex digits")
+    lanes = [int(words[1][i : i + 16], 16) for i in range(0, len(words[1]), 16)]
+    kind = members.schema["id"].dataType
+    row = spark.createDataFrame([(words[0], [x - (1 << 64) if x >> 63 else x for x in lanes], bits, depth)], "id string, fp array<long>, path int, steps int").withColumn("id", F.col("id").cast(kind))
+    told = stored(livetree.arrivals(nodes, members, row, manifest["lanes"]), "command-set")
+    found = told.select("gate").first()
+    if found is not None and found.gate == "flow":
+        version = livetree.change(spark, path, add=row.select("id", "fp"))
+    return told.withColumn("version", F.lit(version))
+
+
 def _one(verb: str, clusters: DataFrame, members: DataFrame, bits: int, depth: int) -> DataFrame:
     best = tree.deepest(clusters, bits, depth)
     asked = F.lit(f"{bits:04x}/{depth}").alias("asked")

@@ -18,8 +18,10 @@ def bundle_majority(df: DataFrame, by: list[str], lanes: int, width: int, fp: st
     """Majority vote for each bit over the rows of a group: set if in more than half (floor), ties 0.
 
     One counter for each bit, summed before the shuffle, so a group of any size is a few numbers
-    from each task.
+    from each task. Over 128 bits the counters are one vector (votes), not an expression a bit.
     """
+    if lanes * width > 128:
+        return votes(df, by, lanes, width, fp).drop("agreed")
     one = lambda w, i: F.sum(F.shiftright(F.col(fp)[w], i).bitwiseAND(F.lit(1).cast("long")))
     counts = [one(w, i).alias(f"c{w}_{i}") for w in range(lanes) for i in range(width)]
     sums = df.groupBy(*by).agg(F.count("*").alias("n"), *counts)
@@ -28,6 +30,74 @@ def bundle_majority(df: DataFrame, by: list[str], lanes: int, width: int, fp: st
     return sums.select(*by, "n", F.array(*(lane(w) for w in range(lanes))).alias(fp))
 
 
+def votes(df: DataFrame, by: list[str], lanes: int, width: int, fp: str = "fp", state_bytes: int = 64 << 20) -> DataFrame:
+    """(by..., n, fp, agreed) of the rows of each group: their number, their majority as above, and the
+    number of bits on which more than three quarters of them (1 at least) agree, either way.
+
+    A task adds up its rows' bits by group, as whole arrays, and hands on a vector of counts for
+    each group, or sooner when it holds state_bytes of them. Vectors of a group then meet in order, and
+    only one is held at a time. Rows with a null fp are left out. Any width is one short plan.
+    """
+    size = lanes * width
+    rows = df.select(*by, F.col(fp).cast("array<bigint>").alias("__fp")).where("__fp is not null")
+    keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kinds = {}, None
+
+        def out() -> pa.RecordBatch:
+            names = [pa.array(column, kind) for column, kind in zip(zip(*held, strict=True), kinds, strict=True)] if by else []
+            numbers = pa.array([n for n, _ in held.values()], pa.int64())
+            return pa.RecordBatch.from_arrays([*names, numbers, pa.array([x for _, x in held.values()], pa.list_(pa.int64()))], names=[*by, "n", "ones"])
+
+        for whole in batches:
+            for lo in range(0, len(whole), 1024):
+                b = whole.slice(lo, 1024)
+                kinds = [c.type for c in b.columns[:-1]]
+                words = b.column(len(by)).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(b), lanes)
+                ones = np.unpackbits(words.view(np.uint8).reshape(len(b), lanes, 8), axis=2, bitorder="little")[:, :, :width].reshape(len(b), size)
+                groups: dict[tuple, list[int]] = {}
+                for i, key in enumerate(zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True) if by else [()] * len(b)):
+                    groups.setdefault(key, []).append(i)
+                for key, places in groups.items():
+                    n, sums = held.get(key, (0, 0))
+                    held[key] = n + len(places), sums + ones[places].sum(axis=0, dtype=np.int64)
+                if len(held) * size * 8 > state_bytes:
+                    yield out()
+                    held = {}
+        if held:
+            yield out()
+
+    parts = rows.mapInArrow(count, ", ".join(filter(None, [keys, "n long, ones array<long>"])))
+    parts = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.coalesce(1)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, ones, kinds = None, 0, None, None
+
+        def out() -> pa.RecordBatch:
+            sure = max(1, n * 3 // 4)
+            bits_ = np.packbits((ones > n // 2).reshape(lanes, width), axis=1, bitorder="little")
+            words = np.zeros((lanes, 8), np.uint8)
+            words[:, : bits_.shape[1]] = bits_
+            agreed = int(((ones > sure) | (ones < n - sure)).sum())
+            names = [pa.array([x], kind) for x, kind in zip(now, kinds, strict=True)]
+            return pa.RecordBatch.from_arrays([*names, pa.array([n], pa.int64()), pa.array([words.view("<i8").ravel()], pa.list_(pa.int64())), pa.array([agreed], pa.int64())], names=[*by, "n", fp, "agreed"])
+
+        for b in batches:
+            kinds = [c.type for c in b.columns[: len(by)]]
+            for i in range(len(b)):
+                key = tuple(b.column(c)[i].as_py() for c in range(len(by)))
+                if now is not None and key != now:
+                    yield out()
+                    n, ones = 0, None
+                add = b.column(len(by) + 1)[i].values.to_numpy()
+                now, n, ones = key, n + b.column(len(by))[i].as_py(), add.copy() if ones is None else ones + add
+        if now is not None:
+            yield out()
+
+    return parts.mapInArrow(meet, ", ".join(filter(None, [keys, f"n long, `{fp}` array<long>, agreed long"])))
+
+
 def bundle_sum(df: DataFrame, by: list[str], low: int, high: int, vector: str = "v") -> DataFrame:
     """Position-wise sums clamped to [low, high], as (by, pos, v)."""
     long = df.select(*by, F.posexplode(vector).alias("pos", "x"))

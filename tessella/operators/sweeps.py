@@ -13,10 +13,12 @@ from ..functions import bits, vectors
 
 
 def horizontal_sweep(df: DataFrame, query: list[int], limit: int, fp: str = "fp", steps: list[int] | None = None) -> DataFrame:
-    """Rows within `limit` bits, with d. After each count of words in `steps` (all by default) a row
-    whose distance so far is over the limit is compared no further; no row within it is lost."""
+    """Rows within `limit` bits, with d. After each count of words in `steps` (1, 2, 4 and so on by
+    default, so that all filters together are as long as the last comparison) a row whose distance so
+    far is over the limit is compared no further; no row within it is lost."""
     q = bits.literal(query)
-    for n in steps or range(1, len(query)):
+    doubling = [1 << i for i in range(max(0, len(query) - 1).bit_length()) if 1 << i < len(query)]
+    for n in doubling if steps is None else steps:
         df = df.where(bits.hamming(fp, q, n) <= limit)
     return df.withColumn("d", bits.hamming(fp, q, len(query))).where(F.col("d") <= limit)
 

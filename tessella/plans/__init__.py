@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, fingerprints, graphs, hypervectors, learned, matrices, rows, searches, series, trees  # noqa: F401
+from . import arrays, fingerprints, graphs, hypervectors, learned, living, matrices, rows, searches, series, trees  # noqa: F401
 from ._registry import QUERIES, SQL
 
 
