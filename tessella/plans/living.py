@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, ghosts, hydrate, livetree
+from ..operators import candidates, ghosts, hydrate, livetree, writelog
+from ..functions import bits
 from ..operators._cut import stored
 from ..operators._versions import new_folder
-from ._registry import FP2, first_row, ham, prints, query, table
+from ..streaming import trajectories
+from ._registry import FP2, first_row, ham, lane, prints, query, signed8, table
 
 
 @query()
@@ -131,3 +133,50 @@ def fanout_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges, _ = _graph(spark, sf_dir)
     out, _ = hydrate.frontier_fanout(nodes, edges, 1, 3)
     return out.select("node", F.col("fp")[0].alias("x"))
+
+
+@query("""WITH w AS (SELECT user_id, event_type, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS clock,
+  row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS count FROM events)
+SELECT event_id, clock, count, CASE WHEN count <= 2 THEN 0.5 WHEN count <= 5 THEN 0.8 WHEN count <= 20 THEN 1.0 WHEN count <= 50 THEN 0.5
+  WHEN count <= 200 THEN 0.2 ELSE 0.1 END::DOUBLE AS plasticity FROM w""")
+def write_plasticity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each event, as a write of its type into its user's container, would be taken up."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
+    return writelog.with_plasticity(events, "user_id", "event_type", ["ts", "event_id"]).select("event_id", "clock", "count", "plasticity")
+
+
+@query()
+def log_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events in two batches as a log, the first of them compacted; each user's container after replay."""
+    kinds = [r.event_type for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").collect()]  # the vocabulary
+    templates = [list(r.v) for r in signed8(spark, sf_dir).orderBy("vec_id").limit(len(kinds)).select("v").collect()]
+    number = F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")).cast("int") - 1
+    events = table(spark, sf_dir, "events").where("value is not null")
+    events = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), number.alias("concept"), (F.col("value") / (1 + F.abs("value"))).alias("amplitude"))
+    path, early = new_folder(spark, "log"), F.col("seq") % 2 == 0
+    writelog.append(events.where(early), path, "loader", 0)
+    writelog.compact(spark, path, templates)
+    writelog.append(events.where(~early), path, "loader", 1)
+    states = writelog.replay(spark, path, templates)
+    energy = F.aggregate("cells", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    return states.select(F.col("key").alias("user_id"), "clock", energy.alias("energy"), "counts", "last")
+
+
+_PLANES = ", ".join(f"{lane(0, 16, 16 * i)} AS {c}" for i, c in enumerate("spo"))
+_LAGS = ", ".join(f"lag({c}, {k}) OVER w AS {c}{k}" for c in "spo" for k in (1, 2))
+_SETTLED = " + ".join(f"CAST(bit_count(xor({c}, {c}1)) <= 7 AS INTEGER)" for c in "spo")
+_BACK = ", ".join(f"CAST(coalesce({c} = {c}2 AND {c} <> {c}1, false) AS INTEGER) AS b{c}" for c in "spo")
+
+
+@query(f"""WITH x AS (SELECT label AS key, vec_id AS iter, {_PLANES} FROM embeddings),
+st AS (SELECT *, {_LAGS} FROM x WINDOW w AS (PARTITION BY key ORDER BY iter)),
+lv AS (SELECT *, {_SETTLED} AS level, {_BACK} FROM st),
+bf AS (SELECT *, lag(level) OVER (PARTITION BY key ORDER BY iter) AS was FROM lv),
+g AS (SELECT key, count(*) AS n, count(*) FILTER (level > was) AS supports, count(*) FILTER (level < was) AS undermines,
+  CAST(sum(bs) > 0 AS BIGINT) + CAST(sum(bp) > 0 AS BIGINT) + CAST(sum(bo) > 0 AS BIGINT) AS contradicts, coalesce(arg_max(level, iter) = 3, false) AS converged FROM bf GROUP BY key)
+SELECT key, n, supports, undermines, contradicts, CASE WHEN converged AND supports > undermines + contradicts THEN 'flow' WHEN contradicts > supports THEN 'block' ELSE 'hold' END AS gate FROM g""")
+def trajectory_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label's vectors in order of their ids as one trajectory of three 16-bit planes."""
+    planes = [F.array(p).alias(c) for p, c in ((bits.sign_lanes("embedding", 1, 16, 16 * i)[0], c) for i, c in enumerate("spo"))]
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").alias("key"), F.col("vec_id").alias("iter"), *planes)
+    return trajectories.gates(rows, 1, settled=7, contested=0)
