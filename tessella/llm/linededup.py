@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._shared import WORD_GAP, materialize
@@ -48,7 +48,7 @@ def _named(pairs: DataFrame, label: str) -> DataFrame:
 
 
 def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, th, gone array<int>): the lines (no) that belong to later copies of repeated runs.
+    """(doc_id, th, gone array<int>): the lines (no, ascending) that belong to later copies of repeated runs.
 
     A run is a sequence of successive lines with at least min_words words. It is a later copy if the
     same lines stand at an earlier place, by (doc_id, th, k), that it does not overlap; of lines
@@ -72,7 +72,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     live = live.withColumn("c", F.sum("n").over(seg.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)))
     live = live.withColumn("d", F.col("c") - F.col("n"))
     # First line after the shortest window from here; last line before the shortest window to here.
-    after = F.min("k").over(seg.orderBy("d").rangeBetween(min_words, Window.unboundedFollowing))
+    # Both frames begin at the first row, so that each is one pass over a document's lines.
+    after = F.min("k").over(seg.orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, -min_words))
     before = F.max("k").over(seg.orderBy("c").rangeBetween(Window.unboundedPreceding, -min_words))
     whole = F.max(F.struct("c", "k")).over(seg)
     live = (
@@ -116,7 +117,14 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     x, y = gone.alias("g"), live.alias("l")
     same = F.col("g.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("g.th") == F.col("l.th")) & (F.col("g.at") == F.col("l.k"))
     lost = x.join(y, same).select(F.col("g.doc_id").alias("doc_id"), F.col("g.th").alias("th"), "no")
-    return materialize(lost.groupBy(*DOC).agg(F.collect_set("no").alias("gone")), "line-gone")
+    return materialize(lost.groupBy(*DOC).agg(F.sort_array(F.collect_set("no")).alias("gone")), "line-gone")
+
+
+def _marks(gone: str) -> Column:
+    """A byte for each line up to the last of `gone`, in order: 1 for those in it, else 0. A byte is found
+    by its place at once, where looking for a number in an array is a walk."""
+    zeros = F.transform(gone, lambda g, i: F.repeat(F.lit("0"), g - F.coalesce(F.get(gone, i - 1) + 1, F.lit(0))))
+    return F.concat(F.array_join(zeros, "1"), F.lit("1")).cast("binary")
 
 
 def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -129,16 +137,16 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     are; rows equal in doc_id and text share one fate. Columns of docs keep their places, but for
     columns called n_lines or n_removed, which are replaced; n_chars is counted anew if present.
     """
-    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.col("gone").alias("__gone"))
+    gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.size("gone").alias("__lost"), _marks("gone").alias("__marks"))
     out = docs.drop("n_lines", "n_removed").withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
     # Not broadcast even where it is small, so that the plan is one at every size.
     gone = gone.hint("merge")
     out = out.join(gone, out["doc_id"].eqNullSafe(gone["__doc"]) & (out["__at"] == gone["__th"]), "left")
     # The lambda reads joined columns only: a computed one would be computed again for each line.
-    kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> NOT array_contains(__gone, i)), '\n')")
+    kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> substring(__marks, i + 1, 1) <> X'31'), '\n')")
     out = out.withColumn("n_lines", F.coalesce(F.expr(r"size(filter(split(text, '\n'), x -> x RLIKE '[^\\x20\\x09-\\x0D]'))"), F.lit(0)))
-    out = out.withColumn("n_removed", F.coalesce(F.size("__gone"), F.lit(0)))
-    out = out.withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
+    out = out.withColumn("n_removed", F.coalesce("__lost", F.lit(0)))
+    out = out.withColumn("text", F.when(F.col("__marks").isNull(), F.col("text")).otherwise(kept))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]

@@ -1,4 +1,5 @@
 import random
+import time
 
 from tessella.llm import linededup
 
@@ -62,3 +63,13 @@ def test_copies_on_the_spot_leave_one_whole(spark):
     assert got[3].text == "new words\n" + "\n".join([other] * 5)
     assert [got[i].text for i, _ in docs] == brute(docs, 50)
     assert (got[1].n, got[1].gone, got[1].k) == (1, "x", 2)
+
+
+def test_texts_of_two_hundred_thousand_lines_in_seconds(spark):
+    """All lines repeat, within a text and across two; one pass over them, not one for each lost line."""
+    lines = [f"w{i % 50_000} and x{i % 777}" for i in range(200_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join([*lines[100:150_000], "its own end"])), (3, "short")], "doc_id long, text string")
+    began = time.perf_counter()
+    got = {r.doc_id: r for r in linededup.dedup(docs).collect()}
+    assert time.perf_counter() - began < 90
+    assert got[2].text == "its own end" and got[2].n_removed == 149_900 and got[3].text == "short" and got[1].n_removed == 0
