@@ -112,6 +112,32 @@ def block_masks(distance: int, words: int, width: int = 32) -> list[list[int]]:
     return [[signed(sum(c) >> (width * w) & ((1 << width) - 1)) for w in range(words)] for c in combinations(whole, shared)]
 
 
+def _near_prints(one: DataFrame, limit: int, words: int, width: int) -> DataFrame:
+    """(fa, fb, d), fa < fb: distinct fingerprints nearer than limit, met on three shared blocks."""
+    masked = lambda m: F.array(*(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
+    cut = one.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), masked(m).alias("block")) for k, m in enumerate(block_masks(limit - 1, words, width))))))
+    met = cut.withColumnRenamed("fp", "fa").join(cut.withColumnRenamed("fp", "fb"), ["k", "block"]).where("fa < fb")
+    return met.withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("fa", "fb", "d").distinct()
+
+
+def similar_classes(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col: str = "vec_id", width: int = 32) -> DataFrame:
+    """(id, class_id, links): a row for each row of df. class_id is the smallest id with the same
+    fingerprint, links the number of other rows nearer than `limit` bits, its own class included.
+
+    Only distinct fingerprints meet; what a class adds to its neighbours' links is its number of
+    rows. So copies are never made into pairs, however many there are. A null fingerprint is a
+    class of its own for each row, without links.
+    """
+    rows = df.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
+    one = rows.where("fp IS NOT NULL").groupBy("fp").agg(F.min("id").alias("class_id"), F.count("*").alias("n"))
+    near = _near_prints(one.select("fp"), limit, words, width)
+    both = near.select(F.col("fa").alias("fp"), F.col("fb").alias("other")).unionByName(near.select(F.col("fb").alias("fp"), F.col("fa").alias("other")))
+    others = both.join(one.select(F.col("fp").alias("other"), F.col("n").alias("m")), "other").groupBy("fp").agg(F.sum("m").alias("others"))
+    own = F.when(F.lit(limit) > 0, F.col("n") - 1).otherwise(F.lit(0))
+    classes = one.join(others, "fp", "left").select("fp", "class_id", (own + F.coalesce("others", F.lit(0))).alias("links"))
+    return rows.join(classes, "fp", "left").select("id", F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
 def similar_pairs(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col: str = "vec_id", width: int = 32) -> DataFrame:
     """All pairs (a, b), a < b, nearer than `limit` bits, with d; fp holds words of `width` bits.
 
@@ -120,10 +146,7 @@ def similar_pairs(df: DataFrame, limit: int, words: int, fp: str = "fp", id_col:
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(fp).alias("fp"))
     one = rows.where("fp IS NOT NULL").select("fp").distinct()
-    masked = lambda m: F.array(*(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
-    cut = one.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), masked(m).alias("block")) for k, m in enumerate(block_masks(limit - 1, words, width))))))
-    met = cut.withColumnRenamed("fp", "fa").join(cut.withColumnRenamed("fp", "fb"), ["k", "block"]).where("fa < fb")
-    near = met.withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("fa", "fb", "d").distinct()
+    near = _near_prints(one, limit, words, width)
     same = one.select(F.col("fp").alias("fa"), F.col("fp").alias("fb")).withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit)
     pairs = near.unionByName(same).join(rows.select(F.col("id").alias("x"), F.col("fp").alias("fa")), "fa").join(rows.select(F.col("id").alias("y"), F.col("fp").alias("fb")), "fb")
     return pairs.where("CASE WHEN fa = fb THEN x < y ELSE x <> y END").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "d")

@@ -246,3 +246,11 @@ def delta_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Layers of XOR deltas collapsed onto their base, by label; bits that all layers set."""
     df = prints(spark, sf_dir)
     return df.groupBy("label").agg(F.bit_xor(F.col("fp")[0]).alias("x0"), F.bit_xor(F.col("fp")[1]).alias("x1"), F.bit_and(F.col("fp")[0]).alias("conflict"))
+
+
+@query(f"""WITH {FP2}, near AS (SELECT p.vec_id AS id, CAST(count(*) AS BIGINT) AS links FROM fp2 p JOIN fp2 q ON p.vec_id <> q.vec_id AND {ham('p', 'q')} < 8 GROUP BY 1),
+classes AS (SELECT vec_id AS id, min(vec_id) OVER (PARTITION BY a, b) AS class_id FROM fp2)
+SELECT id, class_id, coalesce(links, 0) AS links FROM classes LEFT JOIN near USING (id)""")
+def similar_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row's class of equal fingerprints and its links, over all 64 bits; pairs of copies are never made."""
+    return search.similar_classes(prints(spark, sf_dir), 8, 2)

@@ -31,3 +31,19 @@ def test_blocks_part_fingerprints(spark):
             sizes[x & m[0]] = sizes.get(x & m[0], 0) + 1
         meetings += sum(n * (n - 1) // 2 for n in sizes.values())
     assert meetings < 0.02 * 4096 * 4095 / 2
+
+
+@pytest.mark.parametrize("limit", [1, 2, 4])
+def test_classes_and_links(spark, limit):
+    rng = random.Random(limit)
+    base = [rng.getrandbits(16) for _ in range(25)]
+    rows = [(i, [b ^ (1 << rng.randrange(16) if i % 3 else 0)]) for i, b in enumerate(rng.choices(base, k=160))] + [(900, None), (901, None)]
+    df = spark.createDataFrame(rows, "vec_id long, fp array<long>").repartition(3)
+    want = []
+    for i, v in rows:
+        if v is None:
+            want.append((i, i, 0))
+            continue
+        others = [(j, w) for j, w in rows if w is not None and j != i]
+        want.append((i, min([i, *(j for j, w in others if w == v)]), sum(bin(v[0] ^ w[0]).count("1") < limit for _, w in others)))
+    assert sorted(tuple(r) for r in search.similar_classes(df, limit, 1, width=16).collect()) == sorted(want)
