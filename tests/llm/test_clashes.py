@@ -11,7 +11,7 @@ from tessella.llm import audit, fim, langid, lattice, licenses, linededup, media
 CLASH = (
     "th fp fingerprint component_id gone first no k n seg at size words ids decoded score spans predicted lang_best margin classes lines grams starts "
     "n_words kept budget edge remain whole cut rank bucket start n_tokens name part payload feature root key value hashes bands a b e d w p x y "
-    "r level found piece known docs edges common letters form output restored which cut end second mask part good bad word hits template band copies tagged label toxic tokens epoch lost chunks"
+    "r level found piece known docs edges common letters form output restored which end second mask good bad word hits template band copies tagged label toxic tokens epoch lost chunks"
 ).split()
 BASE = "doc_id long, text string, lang string, source string, n_chars long"
 
