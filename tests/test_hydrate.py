@@ -124,3 +124,17 @@ def test_sweep_of_sixteen_thousand_bits(spark):
     assert time.perf_counter() - began < 2
     want = {i: sum(bin((a ^ int(b)) & (1 << 64) - 1).count("1") for a, b in zip(v, base, strict=True)) for i, v in rows}
     assert {r.vec_id: r.d for r in swept.collect()} == {i: d for i, d in want.items() if d <= 130}
+
+
+def test_tree_of_sixteen_thousand_bits(spark):
+    """The cluster tree and its radius search at 2 KB a fingerprint, against brute force."""
+    from tessella.operators import clusters
+
+    rng = np.random.default_rng(6)
+    hearts = rng.integers(-(1 << 63), 1 << 63, (3, 256), np.int64)
+    rows = [(i, (hearts[i % 3] ^ np.where(rng.random(256) < 0.1, np.int64(255), np.int64(0))).tolist()) for i in range(60)]
+    c, m = clusters.build(spark.createDataFrame(rows, "id long, fp array<long>"), 256, min_size=8, max_depth=3)
+    q = [x % (1 << 64) for x in rows[4][1]]
+    want = {i: sum(((a ^ b) & (1 << 64) - 1).bit_count() for a, b in zip(q, v, strict=True)) for i, v in rows}
+    for rho in (0, 300, 9000):
+        assert {r.id: r.d for r in clusters.within(c, m, q, rho, 256).select("id", "d").collect()} == {i: d for i, d in want.items() if d <= rho}
