@@ -74,6 +74,12 @@ def in_mask(position: Column, mask: tuple[int, int, int]) -> Column:
     return bit(x, F.floor(position / 256)) & bit(y, F.floor(position / 32) % 8) & bit(z, position % 32)
 
 
+def _inside(mask: tuple[int, int, int]) -> Column:
+    """in_mask of the 2,048 positions as one constant, so that a position is looked up and not worked out in each row."""
+    x, y, z = mask
+    return F.array(*(F.lit(bool(x >> (i // 256) & y >> (i // 32 % 8) & z >> (i % 32) & 1)) for i in range(2048)))
+
+
 def focus(a: Column | str, b: Column | str, mask: tuple[int, int, int], op: str) -> Column:
     """`xor`, `add` or `sub` (modulo 256) of b into a within the mask; `read` keeps a there and 0 elsewhere."""
     ops = {
@@ -83,13 +89,15 @@ def focus(a: Column | str, b: Column | str, mask: tuple[int, int, int], op: str)
         "read": lambda p, q: p,
     }
     pairs = F.arrays_zip(col(a).alias("p"), col(b).alias("q"))
+    inside = _inside(mask)
     outside = (lambda e: F.lit(0)) if op == "read" else (lambda e: e["p"])
-    return F.transform(pairs, lambda e, i: F.when(in_mask(i, mask), ops[op](e["p"], e["q"])).otherwise(outside(e)))
+    return F.transform(pairs, lambda e, i: F.when(F.get(inside, i), ops[op](e["p"], e["q"])).otherwise(outside(e)))
 
 
 def focus_distance(a: Column | str, b: Column | str, mask: tuple[int, int, int]) -> Column:
     """struct<hamming, l1, size> within the mask."""
-    pairs = F.transform(F.arrays_zip(col(a).alias("p"), col(b).alias("q")), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), in_mask(i, mask).alias("m")))
+    inside = _inside(mask)
+    pairs = F.transform(F.arrays_zip(col(a).alias("p"), col(b).alias("q")), lambda e, i: F.struct(e["p"].alias("p"), e["q"].alias("q"), F.get(inside, i).alias("m")))
     zero = F.struct(*(F.lit(0).cast("long").alias(n) for n in ("hamming", "l1", "size")))
 
     def step(s: Column, e: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .vectors import col, elementwise
+from .vectors import col, elementwise, let
 
 SIZE = 2048
 
@@ -28,7 +28,7 @@ def delta_sub(a: Column | str, b: Column | str) -> Column:
 def histogram16(x: Column | str) -> Column:
     """Counts of values 0..255 in 16 bins of 16."""
     bins = F.transform(col(x), lambda v: F.floor(v / 16).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(bins, lambda b: b == k)))
+    return let(bins, lambda held: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.size(F.filter(held, lambda b: b == k))))
 
 
 # --- transforms: where each position goes, a list of SIZE numbers
@@ -52,9 +52,9 @@ def inverse(places: list[int]) -> list[int]:
 
 
 def bind(x: Column | str, places: list[int]) -> Column:
-    """Each value moved to its place."""
+    """Each value moved to its place; x is computed once, not for each place."""
     back = F.array(*map(F.lit, inverse(places)))
-    return F.transform(back, lambda i: F.get(col(x), i))
+    return let(col(x), lambda held: F.transform(back, lambda i: F.get(held, i)))
 
 
 def unbind(x: Column | str, places: list[int]) -> Column:

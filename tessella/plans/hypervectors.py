@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, qualia, truth, volumes
 from ..operators import graph, hdc
 from ..operators._cut import stored
-from ._registry import FP2, INT8, prints, query, signed8, table
+from ._registry import FP2, INT8, prints, query, signed8, spread, table
 
 
 def _rot(a: str, b: str, k: int) -> tuple[str, str]:
@@ -104,7 +104,8 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two volumes of 2,048 bytes for each supplier."""
     i = F.sequence(F.lit(0), F.lit(2047))
     byte = lambda a, b, c: F.transform(i, lambda x: ((x * a + F.col("s_suppkey") * b + c) % 256).cast("int"))
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), byte(7, 13, 0).alias("p"), byte(5, 29, 3).alias("q"))
+    suppliers = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 1024)
+    return suppliers.select(F.col("s_suppkey").alias("id"), byte(7, 13, 0).alias("p"), byte(5, 29, 3).alias("q"))
 
 
 @query(f"WITH {_VOLUME}, c AS (SELECT id, i, p, CASE WHEN {_IN} THEN xor(p, q) ELSE p END AS x, CASE WHEN {_IN} THEN (p + q) % 256 ELSE p END AS a, CASE WHEN {_IN} THEN (p - q + 256) % 256 ELSE p END AS s, CASE WHEN {_IN} THEN p ELSE 0 END AS r FROM v) SELECT id, CAST(sum(x * (i + 1)) AS BIGINT) AS xored, CAST(sum(a * (i + 1)) AS BIGINT) AS added, CAST(sum(s * (i + 1)) AS BIGINT) AS taken, CAST(sum(r * (i + 1)) AS BIGINT) AS seen FROM c GROUP BY id")
