@@ -25,6 +25,17 @@ def let(value: Column, fn: Callable[[Column], Column]) -> Column:
     return F.aggregate(F.array(F.lit(0)), value, lambda a, _: a, fn)
 
 
+def rounded(x: Column | str, digits: int) -> Column:
+    """A double rounded half away from zero as engines do that scale it: x * 10^digits to the nearest whole
+    number, over 10^digits. F.round goes by the shortest decimal that spells x, which differs where
+    the product falls on a half, and has no negative zero. What overflows, NaN and infinities stay."""
+    x, by = col(x), F.lit(10.0**digits)
+    size = F.abs(x * by)
+    near = F.rint(size)
+    away = F.when(size - near == 0.5, near + 1.0).otherwise(near)
+    return F.when(size < float("inf"), F.signum(x) * away / by).otherwise(x)
+
+
 # --- constructors and layout
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import stats
+from ..functions.vectors import rounded
 from ._registry import query, table
 
 X = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -17,7 +18,7 @@ def _x(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rounded(x, digits: int = 5):
-    return F.transform(x, lambda v: F.round(v, digits))
+    return F.transform(x, lambda v: rounded(v, digits))
 
 
 def _list(expr: str, digits: int = 5) -> str:
@@ -44,7 +45,7 @@ def softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings) SELECT vec_id, round(list_sum(list_transform(x, lambda v: abs(v))), 5)::DOUBLE AS l1, round(sqrt(list_sum(list_transform(x, lambda v: v * v))), 5)::DOUBLE AS l2, round(list_avg(x), 5)::DOUBLE AS mean, round(list_var_pop(x), 5)::DOUBLE AS var, round(list_stddev_pop(x), 5)::DOUBLE AS std, list_min(x) AS low, list_max(x) AS high, CAST(list_position(x, list_min(x)) - 1 AS BIGINT) AS argmin, CAST(list_position(x, list_max(x)) - 1 AS BIGINT) AS argmax FROM e")
 def row_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = lambda c, name: F.round(c, 5).alias(name)
+    r = lambda c, name: rounded(c, 5).alias(name)
     return _x(spark, sf_dir).select(
         "vec_id", r(V.l1("x"), "l1"), r(V.l2("x"), "l2"), r(V.mean("x"), "mean"), r(V.var("x"), "var"), r(V.std("x"), "std"),
         F.array_min("x").alias("low"), F.array_max("x").alias("high"), V.argmin("x").alias("argmin"), V.argmax("x").alias("argmax"),
@@ -53,21 +54,21 @@ def row_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH e AS (SELECT vec_id, unnest({X}) AS v FROM embeddings) SELECT vec_id, round(median(v), 6)::DOUBLE AS median, round(quantile_cont(v, 0.9), 6)::DOUBLE AS p90 FROM e GROUP BY vec_id")
 def row_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _x(spark, sf_dir).select("vec_id", F.round(V.median("x"), 6).alias("median"), F.round(V.percentile("x", 90.0), 6).alias("p90"))
+    return _x(spark, sf_dir).select("vec_id", rounded(V.median("x"), 6).alias("median"), rounded(V.percentile("x", 90.0), 6).alias("p90"))
 
 
 @query("WITH e AS (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS j FROM embeddings) SELECT CAST(j AS INTEGER) AS j, round(avg(v), 5)::DOUBLE AS mean, min(v) AS low, max(v) AS high, round(var_pop(v), 5)::DOUBLE AS var, round(stddev_pop(v), 5)::DOUBLE AS std FROM e GROUP BY j")
 def axis_reductions(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stats.column_stats(table(spark, sf_dir, "embeddings"), "embedding")
-    return s.select("j", F.round("mean", 5).alias("mean"), F.col("min").alias("low"), F.col("max").alias("high"), F.round("var", 5).alias("var"), F.round("std", 5).alias("std"))
+    return s.select("j", rounded("mean", 5).alias("mean"), F.col("min").alias("low"), F.col("max").alias("high"), rounded("var", 5).alias("var"), rounded("std", 5).alias("std"))
 
 
 @query("SELECT event_type, round(quantile_cont(value, 0.25), 4)::DOUBLE AS p25, round(median(value), 4)::DOUBLE AS median, round(var_pop(value), 3)::DOUBLE AS var, round(stddev_pop(value), 3)::DOUBLE AS std, count(*) AS n FROM events GROUP BY event_type")
 def grouped_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
-    sums = e.groupBy("event_type").agg(F.round(F.var_pop("value"), 3).alias("var"), F.round(F.stddev_pop("value"), 3).alias("std"), F.count("*").alias("n"))
+    sums = e.groupBy("event_type").agg(rounded(F.var_pop("value"), 3).alias("var"), rounded(F.stddev_pop("value"), 3).alias("std"), F.count("*").alias("n"))
     found = stats.quantiles(e, ["event_type"], "value", {"p25": 0.25, "median": 0.5})
-    return sums.join(found, "event_type").select("event_type", F.round("p25", 4).alias("p25"), F.round("median", 4).alias("median"), "var", "std", "n")
+    return sums.join(found, "event_type").select("event_type", rounded("p25", 4).alias("p25"), rounded("median", 4).alias("median"), "var", "std", "n")
 
 
 @query("SELECT user_id, arg_max(event_id, struct_pack(v := value, b := -event_id)) AS id, max(value) AS value FROM events GROUP BY user_id")
@@ -96,7 +97,7 @@ _S8 = "CASE WHEN list_max(list_transform(x, lambda v: abs(v))) > 0 THEN list_max
 @query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings), s AS (SELECT *, {_S8} AS s FROM e) SELECT vec_id, list_transform(x, lambda v: CAST(least(127, greatest(-128, round(v / s))) AS INTEGER)) AS q, round(s, 8)::DOUBLE AS scale FROM s")
 def int8_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _x(spark, sf_dir).withColumn("z", V.quantize_i8("x"))
-    return q.select("vec_id", "z.q", F.round("z.scale", 8).alias("scale"))
+    return q.select("vec_id", "z.q", rounded("z.scale", 8).alias("scale"))
 
 
 @query(f"WITH e AS (SELECT vec_id, {X} AS x FROM embeddings), s AS (SELECT *, (list_max(x) - list_min(x)) / 255 AS s FROM e), z AS (SELECT *, CAST(least(255, greatest(0, round(-list_min(x) / s))) AS INTEGER) AS zero FROM s) SELECT vec_id, list_transform(x, lambda v: CAST(least(255, greatest(0, round(v / s) + zero)) AS INTEGER)) AS q, zero FROM z")

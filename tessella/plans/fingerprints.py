@@ -10,6 +10,7 @@ from ..functions.bits import slice_gate
 from ..functions.register import register_all
 from ..operators import hdc, search
 from ..operators._cut import stored
+from ..functions.vectors import rounded
 from ._registry import CH4, FP2, INT8, channels, first_row, ham, lane, prints, query, signed8, table
 
 GATE = slice_gate(64, probe0=32, probe1=64)
@@ -37,7 +38,7 @@ def scan_first_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir)
     q = bits.literal(first_row(df, "fp"))
-    return df.select("vec_id", F.round(bits.similarity("fp", q, 64, 2), 6).alias("similarity"), bits.popcount("fp", 2).alias("popcount"))
+    return df.select("vec_id", rounded(bits.similarity("fp", q, 64, 2), 6).alias("similarity"), bits.popcount("fp", 2).alias("popcount"))
 
 
 @query(f"WITH {FP2} SELECT p.vec_id, CAST(xor(p.a, q.a) AS BIGINT) AS x0, CAST(xor(p.b, q.b) AS BIGINT) AS x1, CAST(p.a & q.a AS BIGINT) AS and0, CAST(p.b | q.b AS BIGINT) AS or1 FROM fp2 p, fp2 q WHERE q.vec_id = 0")
@@ -74,7 +75,7 @@ _E = f"{ham('p', 'q')} AS conflict, CAST(bit_count(p.a) + bit_count(p.b) AS BIGI
 def energy_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir)
     e = df.withColumn("e", bits.energy("fp", bits.literal(first_row(df, "fp")), 2))
-    return e.select("vec_id", "e.*", F.round(bits.agreement_ratio(F.col("e")), 6).alias("ratio"), F.round(bits.conflict_density(F.col("e"), 64), 6).alias("density"))
+    return e.select("vec_id", "e.*", rounded(bits.agreement_ratio(F.col("e")), 6).alias("ratio"), rounded(bits.conflict_density(F.col("e"), 64), 6).alias("density"))
 
 
 _HDR = f"(CASE WHEN conflict < {GATE.hot} THEN 3 ELSE 0 END + CASE WHEN conflict < {GATE.mid} THEN 2 ELSE 0 END + CASE WHEN conflict < {GATE.cold} THEN 1 ELSE 0 END)"
@@ -86,7 +87,7 @@ def hdr_sigma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir)
     d = bits.hamming("fp", bits.literal(first_row(df, "fp")), 2)
     s = df.withColumn("s", bits.sigma_score(d, 64))
-    return s.select("vec_id", bits.hdr_score(d, GATE).alias("hdr"), F.round("s.z", 6).alias("z"), "s.tier")
+    return s.select("vec_id", bits.hdr_score(d, GATE).alias("hdr"), rounded("s.z", 6).alias("z"), "s.tier")
 
 
 @query(f"WITH {FP2}, e AS (SELECT p.vec_id, CAST(bit_count(xor(p.a, q.a)) AS BIGINT) AS d0, {_E} FROM fp2 p, fp2 q WHERE q.vec_id = 0) SELECT vec_id, conflict, agreement, CAST({_HDR} AS INTEGER) AS hdr FROM e WHERE d0 <= {GATE.k0} AND conflict <= {GATE.k1} AND {_HDR} > 0")
@@ -136,7 +137,7 @@ def hybrid_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = e.select("vec_id", bits.sign_lanes("embedding", 2, 32).alias("fp"), F.transform("embedding", lane_of).alias("lanes"))
     df = stored(df, "prints")
     out = search.hybrid_pipeline(df, first_row(df, "fp"), first_row(df, "lanes"), GATE, 25)
-    return out.select("vec_id", "d", "lane_d", F.round("score", 4).alias("score"))
+    return out.select("vec_id", "d", "lane_d", rounded("score", 4).alias("score"))
 
 
 _COS = "list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda t: t[1]::DOUBLE * t[2]::DOUBLE)) / (sqrt(list_sum(list_transform(p.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE))))"
@@ -145,7 +146,7 @@ _COS = "list_sum(list_transform(list_zip(p.embedding, q.embedding), lambda t: t[
 @query(f"SELECT p.vec_id, round({_COS}, 5)::DOUBLE AS cos FROM embeddings p, embeddings q WHERE q.vec_id = 0 ORDER BY {_COS} DESC, p.vec_id LIMIT 10")
 def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
-    return search.cosine_top_k(df, first_row(df, "embedding"), 10).select("vec_id", F.round("cos", 5).alias("cos"))
+    return search.cosine_top_k(df, first_row(df, "embedding"), 10).select("vec_id", rounded("cos", 5).alias("cos"))
 
 
 @query(f"WITH {INT8} SELECT p.vec_id, CAST(list_sum(list_transform(list_zip(p.v, q.v), lambda t: t[1] * t[2])) AS BIGINT) AS dot, CAST(list_sum(list_transform(list_zip(p.v, q.v), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS l1, CAST(list_sum(list_transform(list_zip(list_sort(p.v), list_sort(q.v)), lambda t: abs(t[1] - t[2]))) AS BIGINT) AS wasserstein, CAST(list_sum(list_transform(list_zip(p.v, q.v), lambda t: least(abs(t[1] - t[2]), 256 - abs(t[1] - t[2])))) AS BIGINT) AS circular, CAST(len(list_filter(list_zip(p.v, q.v), lambda t: t[1] <> t[2])) AS BIGINT) AS symbols FROM int8 p, int8 q WHERE q.vec_id = 0")
@@ -159,7 +160,7 @@ def int8_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 def int8_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = signed8(spark, sf_dir)
     q = F.array(*(F.lit(x) for x in first_row(df, "v")))
-    return df.select("vec_id", F.round(bits.cosine_i8("v", q), 6).alias("cos"))
+    return df.select("vec_id", rounded(bits.cosine_i8("v", q), 6).alias("cos"))
 
 
 @query(f"WITH {INT8} SELECT p.vec_id, list_transform(list_zip(p.v, q.v), lambda t: CAST((t[1] + t[2] + 512) % 256 AS INTEGER)) AS bound FROM int8 p, int8 q WHERE q.vec_id = 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, qualia, truth, volumes
 from ..operators import graph, hdc
 from ..operators._cut import stored
+from ..functions.vectors import rounded
 from ._registry import FP2, INT8, prints, query, signed8, spread, table
 
 
@@ -84,7 +85,7 @@ def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qualia_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = qualia.bundle(_packed(spark, sf_dir), ["label"], "p")
     total = F.aggregate("p.resonance", F.lit(0).cast("long"), lambda a, v: a + v)
-    return b.select("label", F.round("p.magnitude", 6).alias("magnitude"), total.alias("total"))
+    return b.select("label", rounded("p.magnitude", 6).alias("magnitude"), total.alias("total"))
 
 
 @query(f"WITH {_PACK} SELECT p.vec_id, round(list_sum(list_transform(list_zip(p.r, q.r), lambda t: t[1] * t[2])) * p.m * q.m, 6)::DOUBLE + 0 AS dot, round(-p.m, 8)::DOUBLE AS turned, (p.r[2] < 0)::INTEGER + (p.r[4] < 0)::INTEGER + (p.r[6] < 0)::INTEGER >= 2 AS causing FROM pk p, pk q WHERE q.vec_id = 0")
@@ -92,7 +93,7 @@ def qualia_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _packed(spark, sf_dir)
     q = p.where("vec_id = 0").first()["p"]
     other = F.struct(F.array(*map(F.lit, q.resonance)).alias("resonance"), F.lit(q.magnitude).alias("magnitude"))
-    return p.select("vec_id", (F.round(qualia.dot(F.col("p"), other), 6) + 0.0).alias("dot"), F.round(qualia.invert(F.col("p"))["magnitude"], 8).alias("turned"), qualia.causing(F.col("p"), [1, 3, 5]).alias("causing"))
+    return p.select("vec_id", (rounded(qualia.dot(F.col("p"), other), 6) + 0.0).alias("dot"), rounded(qualia.invert(F.col("p"))["magnitude"], 8).alias("turned"), qualia.causing(F.col("p"), [1, 3, 5]).alias("causing"))
 
 
 _MASK = (0b10100110, 0b01110001, 0b11110000111100001111000011110000)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import qualia
 from ..operators import learning, recognition, waves
+from ..functions.vectors import rounded
 from ._registry import FP2, INT8, first_row, ham, lane, prints, query, signed8, table
 from .fingerprints import _LANES, _lanes
 
@@ -21,7 +22,7 @@ def superposition(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = F.array(*(F.lit(x) for x in first_row(df, "lanes")))
     states = df.withColumn("s", learning.superposition([F.col("lanes"), q]))
     f = states.withColumn("f", learning.fractions(F.col("s")))
-    return f.select("vec_id", *(F.round(f"f.{n}", 6).alias(n) for n in ("crystallized", "tensioned", "uncertain", "noise")))
+    return f.select("vec_id", *(rounded(f"f.{n}", 6).alias(n) for n in ("crystallized", "tensioned", "uncertain", "noise")))
 
 
 @query()
@@ -35,7 +36,7 @@ def attention_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = signed8(spark, sf_dir)
     mask = F.array(*(F.lit(x) for x in first_row(df, "v")))
     a = df.withColumn("a", learning.attention(mask, "v", 64, 10.0))
-    return a.select("vec_id", F.round("a.projection", 5).alias("projection"), "a.kind")
+    return a.select("vec_id", rounded("a.projection", 5).alias("projection"), "a.kind")
 
 
 @query(f"WITH {FP2}, g AS (SELECT vec_id // 4 AS g, vec_id, a, b FROM fp2), c AS (SELECT x.g, max(bit_count(x.a & y.a) + bit_count(x.b & y.b)) AS m FROM g x JOIN g y ON x.g = y.g AND x.vec_id < y.vec_id GROUP BY x.g) SELECT g.g, CAST(coalesce(max(c.m), 0) AS BIGINT) AS conflict, CASE WHEN coalesce(max(c.m), 0) > 24 THEN 'block' WHEN sum(bit_count(a) + bit_count(b)) = 0 THEN 'hold' ELSE 'flow' END AS gate FROM g LEFT JOIN c ON c.g = g.g GROUP BY g.g")
@@ -49,14 +50,14 @@ def layer_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bnn_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = prints(spark, sf_dir)
     weights = [list(r.fp) for r in df.where("vec_id < 8").orderBy("vec_id").collect()]
-    return learning.bnn_winner(df, weights, 64, 2).select("vec_id", "winner", F.round("score", 6).alias("score"))
+    return learning.bnn_winner(df, weights, 64, 2).select("vec_id", "winner", rounded("score", 6).alias("score"))
 
 
 @query(f"WITH {FP2} SELECT p.vec_id, round(2 * (64 - {ham('p', 'q')}) / 64.0 - 1, 6)::DOUBLE AS score FROM fp2 p, fp2 q WHERE q.vec_id = 0 AND p.vec_id % 3 = 0")
 def bnn_conv1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stride 3: the positions are the feature."""
     df = prints(spark, sf_dir)
-    return learning.bnn_conv1d(df, first_row(df, "fp"), 3, 64, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
+    return learning.bnn_conv1d(df, first_row(df, "fp"), 3, 64, "vec_id").select("vec_id", rounded("score", 6).alias("score"))
 
 
 def _turn(v: str, k: str) -> str:
@@ -99,7 +100,7 @@ def recognize_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qualia_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 16).alias("x"))
     p = e.withColumn("p", qualia.compress("x"))
-    return p.select("vec_id", "p.resonance", F.round("p.magnitude", 8).alias("magnitude"))
+    return p.select("vec_id", "p.resonance", rounded("p.magnitude", 8).alias("magnitude"))
 
 
 @query("WITH b AS (SELECT i, min(v) AS lo, max(v) AS hi FROM (SELECT unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings) WHERE i < 4 GROUP BY i), x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, list(CAST(least(15, greatest(0, round((v - lo) / (hi - lo) * 15))) AS INTEGER) ORDER BY i) AS nib FROM x JOIN b USING (i) GROUP BY vec_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import linalg, stats
+from ..functions.vectors import rounded
 from ._registry import INT8, query, signed8, table
 
 _COO = "coo AS (SELECT vec_id AS i, unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings)"
@@ -29,7 +30,7 @@ def _vector(spark: SparkSession) -> DataFrame:
 
 
 def _r(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.withColumn("v", F.round("v", digits) + 0.0)
+    return df.withColumn("v", rounded("v", digits) + 0.0)
 
 
 @query(f"WITH {_COO}, {_B} SELECT a.i, b.j, round(2 * sum(a.v * b.v), 5)::DOUBLE + 0 AS v FROM coo a JOIN b ON a.j = b.i GROUP BY a.i, b.j")
@@ -140,4 +141,4 @@ def least_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = x.withColumn("y", F.aggregate(F.zip_with("x", F.array(*map(F.lit, beta)), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     found = linalg.least_squares(x, "x", "y", 16)
     fitted = linalg.times(x, "x", found.reshape(-1, 1), "vec_id", "f")
-    return fitted.select(F.col("id").alias("vec_id"), (F.round(F.col("f")[0], 6) + 0.0).alias("fitted"))
+    return fitted.select(F.col("id").alias("vec_id"), (rounded(F.col("f")[0], 6) + 0.0).alias("fitted"))

@@ -12,6 +12,7 @@ from ..functions import vectors as V
 from ..operators import linalg, search, stats, sweeps
 from ..operators._cut import shared_folder
 from ..sources import records
+from ..functions.vectors import rounded
 from ._registry import query, table
 
 _E = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS x, list_reverse(list_transform(embedding, lambda x: x::DOUBLE)) AS y FROM embeddings)"
@@ -31,7 +32,7 @@ def _round(expr: str, digits: int = 6) -> str:
 
 
 def _rounded(x, digits: int = 6):
-    return F.transform(x, lambda v: F.round(v, digits) + 0.0)
+    return F.transform(x, lambda v: rounded(v, digits) + 0.0)
 
 
 @query("SELECT [0.0, 0.0, 0.0]::DOUBLE[] AS z, [1.0, 1.0]::DOUBLE[] AS o, [2, 3]::INTEGER[] AS shape, [0.0, 1.0, 2.0, 3.0, 4.0, 5.0]::DOUBLE[] AS data, [3, 2]::INTEGER[] AS reshaped, [6]::INTEGER[] AS squeezed, [3.0, 4.0, 5.0]::DOUBLE[] AS row1, [2.0, 5.0]::DOUBLE[] AS column2, [3.0, 4.0, 5.0, 0.0, 1.0, 2.0]::DOUBLE[] AS down, [2.0, 1.0, 0.0, 5.0, 4.0, 3.0]::DOUBLE[] AS back, [0.0, 1.0, 2.0, 0.0, 1.0, 2.0, 3.0, 4.0, 5.0, 3.0, 4.0, 5.0]::DOUBLE[] AS beside, [4, 3]::INTEGER[] AS below")
@@ -57,8 +58,8 @@ def row_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def blas_level1(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
     return p.select(
-        "vec_id", _rounded(V.axpy(2.5, "x", "y")).alias("axpy"), _rounded(V.scale("x", 3.0)).alias("scaled"), F.round(V.norm("x", 1), 6).alias("asum"),
-        F.round(V.norm("x", 2), 6).alias("nrm2"), V.iamax("x").cast("long").alias("iamax"), (F.round(V.dot("x", "y"), 6) + 0.0).alias("dot"),
+        "vec_id", _rounded(V.axpy(2.5, "x", "y")).alias("axpy"), _rounded(V.scale("x", 3.0)).alias("scaled"), rounded(V.norm("x", 1), 6).alias("asum"),
+        rounded(V.norm("x", 2), 6).alias("nrm2"), V.iamax("x").cast("long").alias("iamax"), (rounded(V.dot("x", "y"), 6) + 0.0).alias("dot"),
     )
 
 
@@ -85,7 +86,7 @@ def bf16_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bf16_dot(spark: SparkSession, sf_dir: str) -> DataFrame:
     lanes = table(spark, sf_dir, "embeddings").select("vec_id", bf16.truncated("embedding").alias("lanes"))
     q = F.array(*map(F.lit, lanes.where("vec_id = 0").first()["lanes"]))
-    return lanes.select("vec_id", (F.round(bf16.dot(F.col("lanes"), q), 5) + 0.0).alias("dot"))
+    return lanes.select("vec_id", (rounded(bf16.dot(F.col("lanes"), q), 5) + 0.0).alias("dot"))
 
 
 _TOP = "list_max(list_transform(x, lambda v: abs(v)))"
@@ -94,7 +95,7 @@ _TOP = "list_max(list_transform(x, lambda v: abs(v)))"
 @query(f"WITH {_E}, n AS (SELECT vec_id, sqrt(list_sum(list_transform(x, lambda v: pow(round(v / ({_TOP} / 127)), 2)))) * ({_TOP} / 127) AS norm FROM (SELECT vec_id, list_transform(x, lambda v: v * (1 + vec_id % 7)) AS x FROM e)) SELECT vec_id, round(norm, 6)::DOUBLE AS norm FROM n ORDER BY n.norm DESC, vec_id LIMIT 20")
 def top_rows_by_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _pairs(spark, sf_dir).select("vec_id", F.transform("x", lambda v: v * (1 + F.col("vec_id") % 7)).alias("x"))
-    return sweeps.top_rows_by_norm(x, 20, "x").select("vec_id", F.round("norm", 6).alias("norm"))
+    return sweeps.top_rows_by_norm(x, 20, "x").select("vec_id", rounded("norm", 6).alias("norm"))
 
 
 _WIDE = "((list_max(x) - list_min(x)) / 255)"
@@ -104,12 +105,12 @@ _LEVEL = f"list_transform(x, lambda v: round((v - list_min(x)) * (1 / {_WIDE})))
 @query(f"WITH {_E}, l AS (SELECT vec_id, {_LEVEL} AS q, list_min(x) AS low, {_WIDE} AS wide FROM e) SELECT vec_id, round(list_sum(q) / 64 * wide + low, 6)::DOUBLE + 0 AS mean, round(sqrt(greatest(0, list_sum(list_transform(q, lambda v: v * v)) / 64 - pow(list_sum(q) / 64, 2))) * wide, 6)::DOUBLE AS std FROM l")
 def approx_mean_std(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _pairs(spark, sf_dir).withColumn("s", sweeps.approx_mean_std("x"))
-    return s.select("vec_id", (F.round("s.mean", 6) + 0.0).alias("mean"), F.round("s.std", 6).alias("std"))
+    return s.select("vec_id", (rounded("s.mean", 6) + 0.0).alias("mean"), rounded("s.std", 6).alias("std"))
 
 
 @query("WITH x AS (SELECT unnest(range(64)) AS j, unnest(embedding)::DOUBLE AS v FROM embeddings), b AS (SELECT j, min(v) AS low, (max(v) - min(v)) / 255 AS wide FROM x GROUP BY j), q AS (SELECT j, wide, round((v - low) * (1 / wide)) AS q FROM x JOIN b USING (j)) SELECT CAST(j AS INTEGER) AS j, round(sqrt(greatest(0, sum(q * q) / count(*) - pow(sum(q) / count(*), 2))) * max(wide), 6)::DOUBLE AS std FROM q GROUP BY j")
 def approx_column_std(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweeps.approx_column_std(table(spark, sf_dir, "embeddings"), "embedding").withColumn("std", F.round("std", 6))
+    return sweeps.approx_column_std(table(spark, sf_dir, "embeddings"), "embedding").withColumn("std", rounded("std", 6))
 
 
 _Q = "q AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(round(x::DOUBLE * 127) AS INTEGER) + 128) AS v FROM embeddings)"
@@ -162,7 +163,7 @@ def packed_five_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cosine_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = [float(x) for x in e.where("vec_id = 0").first()["embedding"]]
-    return search.cosine_within(e, q, 0.1).select("vec_id", (F.round("cos", 5) + 0.0).alias("cos"))
+    return search.cosine_within(e, q, 0.1).select("vec_id", (rounded("cos", 5) + 0.0).alias("cos"))
 
 
 @query(f"WITH {_E}, c AS (SELECT vec_id AS i, unnest(range(64)) AS k, unnest(list_transform(x, lambda v: CASE WHEN v = 0 THEN 0.0 ELSE sign(v) * floor(abs(v) / {_UNIT}) * {_UNIT} END::DOUBLE)) AS v FROM e), b AS (SELECT k, j, (((k * 7 + j * 3) % 11) - 5)::DOUBLE / 8 AS v FROM (SELECT unnest(range(64)) AS k), (SELECT unnest(range(8)) AS j)) SELECT i, j, round(sum(c.v * b.v), 4)::DOUBLE + 0 AS v FROM c JOIN b USING (k) GROUP BY i, j")
@@ -172,7 +173,7 @@ def bf16_gemm(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = stats.long_form(e, "vec_id", "x").withColumn("j", F.col("j").cast("long"))
     b = spark.range(64 * 8).select(F.floor(F.col("id") / 8).alias("i"), (F.col("id") % 8).alias("j"))
     b = b.withColumn("v", ((F.col("i") * 7 + F.col("j") * 3) % 11 - 5).cast("double") / 8)
-    return linalg.gemm(a, b).withColumn("v", F.round("v", 4) + 0.0)
+    return linalg.gemm(a, b).withColumn("v", rounded("v", 4) + 0.0)
 
 
 @query("SELECT n_nationkey AS id, n_name AS name, n_regionkey * 1.5::DOUBLE AS score FROM nation")

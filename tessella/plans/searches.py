@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import bits, qualia
 from ..functions.bits import slice_gate
 from ..operators import gates, graph, indexed, learning, overlays, sweeps, temporal
+from ..functions.vectors import rounded
 from ._registry import CH4, FP2, INT8, channels, first_row, ham, prints, query, signed8, table
 
 _CH = ("meta", "cam", "btree", "embed")
@@ -59,7 +60,7 @@ def tier0_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def batch_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
     queries = [list(r.embedding) for r in df.where("vec_id < 8").orderBy("vec_id").collect()]
-    return sweeps.batch_top_k(df, queries, 10).withColumn("score", F.round("score", 5) + 0.0)
+    return sweeps.batch_top_k(df, queries, 10).withColumn("score", rounded("score", 5) + 0.0)
 
 
 _TOP = "list_max(list_transform(x, lambda v: abs(v)))"
@@ -88,7 +89,7 @@ def qualia_within(spark: SparkSession, sf_dir: str) -> DataFrame:
 def qualia_resonant(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _cam(spark, sf_dir)
     q = df.where("vec_id = 3").first()
-    return gates.locate_resonant(df, list(q.resonance), q.magnitude, 15).select("vec_id", (F.round("dot", 6) + 0.0).alias("dot"))
+    return gates.locate_resonant(df, list(q.resonance), q.magnitude, 15).select("vec_id", (rounded("dot", 6) + 0.0).alias("dot"))
 
 
 @query(f"WITH {_CAM} SELECT p.vec_id, {_L1} AS d, p.gate FROM cam p, cam q WHERE q.vec_id = 3 AND p.gate <> 'flow' AND {_L1} <= 1500 ORDER BY d, p.vec_id LIMIT 1")
@@ -125,7 +126,7 @@ def spatial_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _axes(spark, sf_dir)
     q = df.where("vec_id = 0").first()
     d = df.withColumn("d", sweeps.axis_distances([F.col(a) for a in ("ax", "ay", "az")], [list(q[a]) for a in ("ax", "ay", "az")])).withColumn("s", sweeps.spatial_scores(F.col("d")))
-    return d.select("vec_id", "d.x", "d.y", "d.z", "s.l1", "s.linf", "s.dominant", F.round("s.balance", 6).alias("balance"))
+    return d.select("vec_id", "d.x", "d.y", "d.z", "s.l1", "s.linf", "s.dominant", rounded("s.balance", 6).alias("balance"))
 
 
 @query(f"WITH {_SPACE} SELECT vec_id, x, y, z, x + y + z AS total FROM s WHERE x + y + z <= 11000")
@@ -206,7 +207,7 @@ def entity_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = nodes.select(F.col("node").alias("src"), ((F.col("node") * 7 + 3) % 50).alias("dst"))
     residual = [float(x) for x in first_row(table(spark, sf_dir, "embeddings"), "embedding", 2)]
     out = graph.probe_entity(nodes, edges, 5, first_row(s, "v", 1), residual, 20)
-    return out.select("node", (F.round("direct", 6) + 0.0).alias("direct"), (F.round("signal", 6) + 0.0).alias("signal"))
+    return out.select("node", (rounded("direct", 6) + 0.0).alias("direct"), (rounded("signal", 6) + 0.0).alias("signal"))
 
 
 _LAYERS = f"{FP2}, l AS (SELECT label, max(CASE WHEN k = 1 THEN a END) AS g, max(CASE WHEN k = 2 THEN a END) AS x, max(CASE WHEN k = 3 THEN a END) AS y, max(CASE WHEN k = 4 THEN a END) AS z FROM (SELECT label, a, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS k FROM fp2) WHERE k <= 4 GROUP BY label HAVING count(*) = 4)"

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..operators import stats, temporal
 from ..operators._cut import shared_folder
 from ..streaming import shift
+from ..functions.vectors import rounded
 from ._registry import FP2, prints, query, table
 
 _EDGES = [-10.0, 10.0, 50.0]
@@ -17,14 +18,14 @@ _EDGES = [-10.0, 10.0, 50.0]
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3)::DOUBLE AS cumsum FROM events")
 def cumsum(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return temporal.running_sum(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", F.round("cumsum", 3).alias("cumsum"))
+    return temporal.running_sum(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["user_id"]).select("event_id", rounded("cumsum", 3).alias("cumsum"))
 
 
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2)::DOUBLE AS cumsum FROM events")
 def cumsum_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five long keys, each in many ranges."""
     out = temporal.running_sum_split(table(spark, sf_dir, "events"), "value", ["ts", "event_id"], ["event_type"])
-    return out.select("event_id", F.round("cumsum", 2).alias("cumsum"))
+    return out.select("event_id", rounded("cumsum", 2).alias("cumsum"))
 
 
 def _pair(t: int) -> str:
@@ -41,13 +42,13 @@ def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_GR} SELECT user_id, round({_pair(2)}, 4)::DOUBLE AS signal FROM g GROUP BY user_id")
 def granger(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = temporal.granger_signal(_series(spark, sf_dir), "a", "b", 2, ["user_id"], ["ts", "event_id"], lambda x, y: F.abs(x - y))
-    return out.withColumn("signal", F.round("signal", 4))
+    return out.withColumn("signal", rounded("signal", 4))
 
 
 @query(f"WITH {_GR}, s AS (SELECT user_id, {_pair(1)} AS s1, {_pair(2)} AS s2, {_pair(3)} AS s3 FROM g GROUP BY user_id) SELECT user_id, CASE WHEN s1 <= s2 AND s1 <= s3 THEN 1 WHEN s2 <= s3 THEN 2 ELSE 3 END AS lag, round(least(s1, s2, s3), 4)::DOUBLE AS signal FROM s")
 def granger_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = temporal.granger_scan(_series(spark, sf_dir), "a", "b", 3, ["user_id"], ["ts", "event_id"], lambda x, y: F.abs(x - y))
-    return out.withColumn("signal", F.round("signal", 4))
+    return out.withColumn("signal", rounded("signal", 4))
 
 
 @query(f"WITH {FP2}, s AS (SELECT *, lag(a, 2) OVER o AS pa, lag(b, 2) OVER o AS pb FROM fp2 WINDOW o AS (PARTITION BY label ORDER BY vec_id)) SELECT label, vec_id, CAST(bit_count(xor(a, pa)) + bit_count(xor(b, pb)) AS BIGINT) AS changed FROM s WHERE pa IS NOT NULL")
@@ -96,4 +97,4 @@ def shift_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_type, count(*) AS n, round(avg(value), 4)::DOUBLE AS mean, min(value) AS min, max(value) AS max, max(CASE WHEN rn = n * 25 // 100 THEN value END) AS p25, max(CASE WHEN rn = n * 50 // 100 THEN value END) AS p50, max(CASE WHEN rn = n * 75 // 100 THEN value END) AS p75 FROM r GROUP BY event_type")
 def cluster_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.profile(table(spark, sf_dir, "events"), ["event_type"], "value").drop("std").withColumn("mean", F.round("mean", 4))
+    return stats.profile(table(spark, sf_dir, "events"), ["event_type"], "value").drop("std").withColumn("mean", rounded("mean", 4))
