@@ -34,3 +34,9 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = 1 << 20) -> DataFrame:
+    """df dealt by its keys, about so many rows to a task: what a task holds of them does not grow with
+    the table, whatever spark.sql.shuffle.partitions is. df is counted first."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import bits, qualia, truth, volumes
 from ..operators import graph, hdc
-from ..operators._cut import stored
+from ..operators._cut import dealt, stored
 from ..functions.vectors import rounded
-from ._registry import FP2, INT8, prints, query, signed8, spread, table
+from ._registry import FP2, INT8, prints, query, signed8, table
 
 
 def _rot(a: str, b: str, k: int) -> tuple[str, str]:
@@ -105,7 +105,7 @@ def _volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two volumes of 2,048 bytes for each supplier."""
     i = F.sequence(F.lit(0), F.lit(2047))
     byte = lambda a, b, c: F.transform(i, lambda x: ((x * a + F.col("s_suppkey") * b + c) % 256).cast("int"))
-    suppliers = spread(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", 1024)
+    suppliers = dealt(table(spark, sf_dir, "supplier").select("s_suppkey"), "s_suppkey", rows=1024)
     return suppliers.select(F.col("s_suppkey").alias("id"), byte(7, 13, 0).alias("p"), byte(5, 29, 3).alias("q"))
 
 
