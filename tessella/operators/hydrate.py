@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import bits
-from ._cut import stored
+from ._cut import dealt, stored
 from .graph import undirected
 from .hdc import votes
 
@@ -81,7 +81,7 @@ def frontier_fanout(nodes: DataFrame, edges: DataFrame, lanes: int, rounds: int)
     that is no node are left out, and so are loops. A round's counts are one combined sum.
     """
     ends = nodes.select(F.col("node").alias("other"))
-    near = undirected(edges).where("node <> other").distinct().join(ends, "other", "left_semi").join(ends.withColumnRenamed("other", "node"), "node", "left_semi")
+    near = dealt(undirected(edges).where("node <> other"), "node", "other").distinct().join(ends, "other", "left_semi").join(ends.withColumnRenamed("other", "node"), "node", "left_semi")
     near = stored(near, "fanout-edges")
 
     def sent(frontier: DataFrame) -> DataFrame:
