@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLES, AMPLITUDE = 2048, 7.0
+#: Containers that are worked on at once: what a task holds beside its batch does not grow with the batch.
+ROWS = 256
 #: Fixed carrier frequencies, in cycles a container.
 FREQUENCIES = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 377, 610, 987, 1024)
 
@@ -27,9 +29,7 @@ def write(df: DataFrame, id_col: str, container: str, carriers: list[tuple[int,
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cos, sin = basis()
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.iloc[lo : lo + ROWS] for whole in batches for lo in range(0, len(whole), ROWS)):
             x = np.stack(b[container].to_numpy()).astype(float)
             for k, phase, amplitude in carriers:
                 wave = (np.cos(phase) * cos[k] - np.sin(phase) * sin[k]) * (amplitude / AMPLITUDE)
@@ -45,9 +45,7 @@ def read(df: DataFrame, id_col: str, container: str) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cos, sin = basis()
-        for b in batches:
-            if not len(b):
-                continue
+        for b in (whole.iloc[lo : lo + ROWS] for whole in batches for lo in range(0, len(whole), ROWS)):
             x = np.stack(b[container].to_numpy()).astype(float)
             c, s = x @ cos.T / SAMPLES, x @ sin.T / SAMPLES
             n = len(FREQUENCIES)
