@@ -30,70 +30,97 @@ def bundle_majority(df: DataFrame, by: list[str], lanes: int, width: int, fp: st
     return sums.select(*by, "n", F.array(*(lane(w) for w in range(lanes))).alias(fp))
 
 
-def votes(df: DataFrame, by: list[str], lanes: int, width: int, fp: str = "fp", state_bytes: int = 64 << 20) -> DataFrame:
+def _codes(columns: list[pa.Array], n: int) -> np.ndarray:
+    """A number for each row, equal where all key columns are (nulls are one value)."""
+    out = np.zeros(n, np.int64)
+    for c in columns:
+        coded = c.dictionary_encode(null_encoding="encode")
+        out = np.unique(out * max(1, len(coded.dictionary)) + coded.indices.to_numpy(), return_inverse=True)[1].astype(np.int64)
+    return out
+
+
+def votes(df: DataFrame, by: list[str], lanes: int, width: int, fp: str = "fp", state_bytes: int = 64 << 20, heavy: int = 32) -> DataFrame:
     """(by..., n, fp, agreed) of the rows of each group: their number, their majority as above, and the
     number of bits on which more than three quarters of them (1 at least) agree, either way.
 
-    A task adds up its rows' bits by group, as whole arrays, and hands on a vector of counts for
-    each group, or sooner when it holds state_bytes of them. Vectors of a group then meet in order, and
-    only one is held at a time. Rows with a null fp are left out. Any width is one short plan.
+    A group with `heavy` rows in an Arrow batch becomes a vector of counts, kept by the task until it
+    holds state_bytes of them; rows of smaller groups are handed on as they are, since a vector is
+    larger than they. Both meet in order of the groups, a slice of rows at a time, as whole
+    arrays. Rows with a null fp are left out. Any width is one short plan.
     """
     size = lanes * width
+    some = max(1, (8 << 20) // (8 * size))
     rows = df.select(*by, F.col(fp).cast("array<bigint>").alias("__fp")).where("__fp is not null")
     keys = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    k = len(by)
+
+    def ones_of(words: pa.Array) -> np.ndarray:
+        w = np.ascontiguousarray(words.flatten().to_numpy(zero_copy_only=False).astype("<i8")).view(np.uint8).reshape(len(words), lanes, 8)
+        return np.unpackbits(w, axis=2, bitorder="little")[:, :, :width].reshape(len(words), size)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, kinds = {}, None
+        held: dict[tuple, tuple[int, np.ndarray]] = {}
+        kinds = None
 
         def out() -> pa.RecordBatch:
             names = [pa.array(column, kind) for column, kind in zip(zip(*held, strict=True), kinds, strict=True)] if by else []
-            numbers = pa.array([n for n, _ in held.values()], pa.int64())
-            return pa.RecordBatch.from_arrays([*names, numbers, pa.array([x for _, x in held.values()], pa.list_(pa.int64()))], names=[*by, "n", "ones"])
+            vectors = [pa.array([n for n, _ in held.values()], pa.int64()), pa.nulls(len(held), pa.list_(pa.int64())), pa.array([x for _, x in held.values()], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays([*names, *vectors], names=[*by, "n", "words", "ones"])
 
-        for whole in batches:
-            for lo in range(0, len(whole), 1024):
-                b = whole.slice(lo, 1024)
-                kinds = [c.type for c in b.columns[:-1]]
-                words = b.column(len(by)).flatten().to_numpy(zero_copy_only=False).astype("<i8").reshape(len(b), lanes)
-                ones = np.unpackbits(words.view(np.uint8).reshape(len(b), lanes, 8), axis=2, bitorder="little")[:, :, :width].reshape(len(b), size)
-                groups: dict[tuple, list[int]] = {}
-                for i, key in enumerate(zip(*(c.to_pylist() for c in b.columns[:-1]), strict=True) if by else [()] * len(b)):
-                    groups.setdefault(key, []).append(i)
-                for key, places in groups.items():
-                    n, sums = held.get(key, (0, 0))
-                    held[key] = n + len(places), sums + ones[places].sum(axis=0, dtype=np.int64)
+        for b in batches:
+            kinds = [c.type for c in b.columns[:k]]
+            code = _codes(b.columns[:k], len(b))
+            many = np.bincount(code, minlength=1) >= (heavy if by else 1)
+            light = b.filter(pa.array(~many[code]))
+            if len(light):
+                yield pa.RecordBatch.from_arrays([*light.columns[:k], pa.array(np.ones(len(light), np.int64)), light.column(k).cast(pa.list_(pa.int64())), pa.nulls(len(light), pa.list_(pa.int64()))], names=[*by, "n", "words", "ones"])
+            for group in np.flatnonzero(many):
+                places = np.flatnonzero(code == group)
+                key = tuple(c[int(places[0])].as_py() for c in b.columns[:k])
+                n, sums = held.get(key, (0, np.zeros(size, np.int64)))
+                for lo in range(0, len(places), some):
+                    sums = sums + ones_of(b.column(k).take(pa.array(places[lo : lo + some]))).sum(axis=0, dtype=np.int64)
+                held[key] = n + len(places), sums
                 if len(held) * size * 8 > state_bytes:
                     yield out()
                     held = {}
         if held:
             yield out()
 
-    parts = rows.mapInArrow(count, ", ".join(filter(None, [keys, "n long, ones array<long>"])))
+    parts = rows.mapInArrow(count, ", ".join(filter(None, [keys, "n long, words array<long>, ones array<long>"])))
     parts = parts.repartition(*by).sortWithinPartitions(*by) if by else parts.coalesce(1)
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, n, ones, kinds = None, 0, None, None
-
-        def out() -> pa.RecordBatch:
-            sure = max(1, n * 3 // 4)
-            bits_ = np.packbits((ones > n // 2).reshape(lanes, width), axis=1, bitorder="little")
-            words = np.zeros((lanes, 8), np.uint8)
-            words[:, : bits_.shape[1]] = bits_
-            agreed = int(((ones > sure) | (ones < n - sure)).sum())
-            names = [pa.array([x], kind) for x, kind in zip(now, kinds, strict=True)]
-            return pa.RecordBatch.from_arrays([*names, pa.array([n], pa.int64()), pa.array([words.view("<i8").ravel()], pa.list_(pa.int64())), pa.array([agreed], pa.int64())], names=[*by, "n", fp, "agreed"])
+    def result(names: list[pa.Array], n: np.ndarray, ones: np.ndarray) -> pa.RecordBatch:
+        sure = np.maximum(1, n * 3 // 4)[:, None]
+        packed = np.packbits((ones > n[:, None] // 2).reshape(len(n), lanes, width), axis=2, bitorder="little")
+        words = np.zeros((len(n), lanes, 8), np.uint8)
+        words[:, :, : packed.shape[2]] = packed
+        agreed = ((ones > sure) | (ones < n[:, None] - sure)).sum(axis=1)
+        offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * lanes)
+        return pa.RecordBatch.from_arrays([*names, pa.array(n), pa.ListArray.from_arrays(offsets, pa.array(words.view("<i8").ravel())), pa.array(agreed, pa.int64())], names=[*by, "n", fp, "agreed"])
 
-        for b in batches:
-            kinds = [c.type for c in b.columns[: len(by)]]
-            for i in range(len(b)):
-                key = tuple(b.column(c)[i].as_py() for c in range(len(by)))
-                if now is not None and key != now:
-                    yield out()
-                    n, ones = 0, None
-                add = b.column(len(by) + 1)[i].values.to_numpy()
-                now, n, ones = key, n + b.column(len(by))[i].as_py(), add.copy() if ones is None else ones + add
-        if now is not None:
-            yield out()
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the group that may go on: its keys, a row each, number and counts
+        for whole in batches:
+            for lo in range(0, len(whole), some):
+                b = whole.slice(lo, some)
+                names = list(b.columns[:k])
+                number, ones = b.column(k).to_numpy().astype(np.int64), np.zeros((len(b), size), np.int64)
+                counted = b.column(k + 2).is_valid().to_numpy(zero_copy_only=False)
+                ones[~counted] = ones_of(b.column(k + 1).filter(pa.array(~counted)))
+                ones[counted] = b.column(k + 2).filter(pa.array(counted)).flatten().to_numpy().reshape(-1, size)
+                if last is not None:
+                    names = [pa.concat_arrays([x, y]) for x, y in zip(last[0], names, strict=True)]
+                    number, ones = np.concatenate([last[1], number]), np.concatenate([last[2], ones])
+                code = _codes(names, len(number))
+                starts = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+                number, ones = np.add.reduceat(number, starts), np.add.reduceat(ones, starts, axis=0)
+                names = [x.take(pa.array(starts)) for x in names]
+                if len(starts) > 1:
+                    yield result([x.slice(0, len(starts) - 1) for x in names], number[:-1], ones[:-1])
+                last = [x.slice(len(starts) - 1) for x in names], number[-1:], ones[-1:]
+        if last is not None:
+            yield result(*last)
 
     return parts.mapInArrow(meet, ", ".join(filter(None, [keys, f"n long, `{fp}` array<long>, agreed long"])))
 
