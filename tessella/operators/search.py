@@ -113,10 +113,15 @@ def block_masks(distance: int, words: int, width: int = 32) -> list[list[int]]:
 
 
 def _near_prints(one: DataFrame, limit: int, words: int, width: int) -> DataFrame:
-    """(fa, fb, d), fa < fb: distinct fingerprints nearer than limit, met on three shared blocks."""
-    masked = lambda m: F.array(*(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
-    cut = one.select("fp", F.inline(F.array(*(F.struct(F.lit(k).alias("k"), masked(m).alias("block")) for k, m in enumerate(block_masks(limit - 1, words, width))))))
-    met = cut.withColumnRenamed("fp", "fa").join(cut.withColumnRenamed("fp", "fb"), ["k", "block"]).where("fa < fb")
+    """(fa, fb, d), fa < fb: distinct fingerprints nearer than limit, met on three shared blocks.
+
+    A block is dealt as a hash, since each meeting is verified. The rows of all masks are many times
+    the table, which Spark's estimate of a generated table does not count; so they are joined by
+    sorting, and never sent to the driver as a broadcast.
+    """
+    masked = lambda k, m: F.xxhash64(F.lit(k), *(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
+    cut = one.select("fp", F.explode(F.array(*(masked(k, m) for k, m in enumerate(block_masks(limit - 1, words, width))))).alias("block"))
+    met = cut.withColumnRenamed("fp", "fa").hint("merge").join(cut.withColumnRenamed("fp", "fb").hint("merge"), "block").where("fa < fb")
     return met.withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("fa", "fb", "d").distinct()
 
 

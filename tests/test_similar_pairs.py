@@ -47,3 +47,11 @@ def test_classes_and_links(spark, limit):
         others = [(j, w) for j, w in rows if w is not None and j != i]
         want.append((i, min([i, *(j for j, w in others if w == v)]), sum(bin(v[0] ^ w[0]).count("1") < limit for _, w in others)))
     assert sorted(tuple(r) for r in search.similar_classes(df, limit, 1, width=16).collect()) == sorted(want)
+
+
+def test_rows_of_all_masks_are_not_broadcast(spark):
+    """They are many times the table, however small Spark's estimate of it is."""
+    df = spark.range(400).selectExpr("id AS vec_id", "array(id * 7919 % 65536) AS fp")
+    near = search._near_prints(df.select("fp"), 4, 1, 16)
+    assert near.count() > 0
+    assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
