@@ -48,7 +48,7 @@ def ghost_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = sum(months.values())
     rhythm = {m: 1000.0 * (12.0 * t / total - 1.0) for m, t in months.items()}
     weights = [float(int(abs(x) + 0.5)) * (1 if x >= 0 else -1) for x in (rhythm.get(m, 0.0) for m in range(1, 13))]
-    return ghosts.top_ghosts(_by_month(lines, "src"), _by_month(lines, "dst"), lines.select("src", "dst").distinct(), weights, 100).pairs
+    return ghosts.top_ghosts(_by_month(lines, "src"), _by_month(lines, "dst"), lines.select("src", "dst"), weights, 100).pairs
 
 
 _LIVE = f"{FP2}, live AS (SELECT CASE WHEN vec_id % 7 = 3 THEN vec_id + 1000000 ELSE vec_id END AS id, a, b FROM fp2 WHERE vec_id % 7 <> 5)"

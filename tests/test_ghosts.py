@@ -46,6 +46,18 @@ def test_pairs_of_blocks_are_skipped(spark):
     assert found.blocks_all == 400 and found.blocks_seen < 40
 
 
+def test_blocks_about_a_mean_are_skipped(spark):
+    """Long vectors that differ little from their mean, which the weights nearly cancel: norms alone part nothing."""
+    rng = random.Random(2)
+    a = [(i, [rng.randrange(20) for _ in range(6)]) for i in range(400)]
+    b = [(1000 + i, [1000 + rng.randrange(-3, 4) for _ in range(6)]) for i in range(400)]
+    weights = [3, -1, -2, 4, -5, 1]
+    edges = [(rng.randrange(400), 1000 + rng.randrange(400)) for _ in range(3000)]
+    got, found = run(spark, a, b, edges, weights, 15, block_rows=20)
+    assert got == sorted(brute(a, b, edges, weights, 15))
+    assert found.blocks_all == 400 and found.blocks_seen < 60
+
+
 def test_one_set_of_nodes_and_ties(spark):
     rng = random.Random(4)
     a = [(i, [rng.choice([-1, 0, 1]) for _ in range(3)]) for i in range(60)]
