@@ -117,10 +117,12 @@ def _near_prints(one: DataFrame, limit: int, words: int, width: int) -> DataFram
 
     A block is dealt as a hash, since each meeting is verified. The rows of all masks are many times
     the table, which Spark's estimate of a generated table does not count; so they are joined by
-    sorting, and never sent to the driver as a broadcast.
+    sorting, never sent to the driver as a broadcast, and made in all tasks: the fingerprints
+    alone are so small that adaptive execution would put them in one.
     """
+    tasks = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     masked = lambda k, m: F.xxhash64(F.lit(k), *(F.col("fp")[w].bitwiseAND(F.lit(x).cast("long")) for w, x in enumerate(m)))
-    cut = one.select("fp", F.explode(F.array(*(masked(k, m) for k, m in enumerate(block_masks(limit - 1, words, width))))).alias("block"))
+    cut = one.select("fp").repartition(tasks).select("fp", F.explode(F.array(*(masked(k, m) for k, m in enumerate(block_masks(limit - 1, words, width))))).alias("block"))
     met = cut.withColumnRenamed("fp", "fa").hint("merge").join(cut.withColumnRenamed("fp", "fb").hint("merge"), "block").where("fa < fb")
     return met.withColumn("d", bits.hamming("fa", "fb", words)).where(F.col("d") < limit).select("fa", "fb", "d").distinct()
 

@@ -55,3 +55,11 @@ def test_rows_of_all_masks_are_not_broadcast(spark):
     near = search._near_prints(df.select("fp"), 4, 1, 16)
     assert near.count() > 0
     assert "Broadcast" not in near._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_all_masks_are_made_in_all_tasks(spark):
+    """Adaptive execution puts few fingerprints in one task, unless their number of tasks is given."""
+    one = spark.range(400).selectExpr("array(id * 7919 % 65536) AS fp").distinct()
+    near = search._near_prints(one, 4, 1, 16)
+    assert near.count() > 0
+    assert "REPARTITION_BY_NUM" in near._jdf.queryExecution().executedPlan().toString()
