@@ -184,7 +184,8 @@ def _best_path(ends: Column, scores: Column, longest: int, size: int = 256) -> C
         return F.aggregate(part, last, step, keep)
 
     zero = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("x")))
-    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(ends) - 1) / size).cast("int")), lambda j: F.slice(ends, j * size + 1, F.lit(size)))
+    cut = lambda a, n: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / n).cast("int")), lambda j: F.slice(a, j * n + 1, F.lit(n)))
+    parts = F.flatten(F.transform(cut(ends, size << 8), lambda a: cut(a, size)))  # twice, since a slice walks all that it is cut from
     many = F.aggregate(parts, F.struct(zero.alias("last"), F.array(zero).alias("outs")), run, lambda a: a["outs"])
     return F.when(F.size(ends) <= size, F.array(F.aggregate(ends, zero, step))).otherwise(many)
 
