@@ -28,12 +28,18 @@ def line_table(docs: DataFrame) -> DataFrame:
     return rows.select(*DOC, "k", F.col("e.no").alias("no"), F.xxhash64(line).alias("a"), F.hash(line, F.lit(1)).alias("b"), F.size(F.split(line, WORD_GAP)).alias("n"))
 
 
+def _sorted(side: DataFrame) -> DataFrame:
+    """A side that is joined by sorting, however small Spark takes it to be: of a written table it counts
+    the compressed bytes, and a broadcast of its rows, many times that, would go through the driver."""
+    return side.hint("merge")
+
+
 def _met(left: DataFrame, right: DataFrame, on: list[str], salts: int = 8) -> DataFrame:
     """left joined with right, which has one row for a key: the rows of a very common key are dealt
-    to `salts` tasks, to each of which right's row is copied."""
+    to `salts` tasks, to each of which right's row is copied. Spark's estimate counts none of the copies."""
     salt = F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")
     copies = right.withColumn("__salt", F.explode(F.array(*(F.lit(i) for i in range(salts)))))
-    return left.withColumn("__salt", salt).join(copies, [*on, "__salt"]).drop("__salt")
+    return left.withColumn("__salt", salt).join(_sorted(copies), [*on, "__salt"]).drop("__salt")
 
 
 def _named(pairs: DataFrame, label: str) -> DataFrame:
@@ -95,15 +101,15 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
             half = F.lead("r", 1 << (level - 1)).over(Window.partitionBy(*DOC, "seg").orderBy("k"))
             halves = materialize(ranks.select(*DOC, "seg", "k", F.col("r").alias("a"), half.alias("b")), "line-halves")
             names = _named(halves.where("a is not null and b is not null").select("a", "b"), "line-names")
-            ranks = materialize(halves.join(names, ["a", "b"], "left").select(*DOC, "seg", "k", "r"), "line-ranks")
+            ranks = materialize(halves.join(_sorted(names), ["a", "b"], "left").select(*DOC, "seg", "k", "r"), "line-ranks")
         here = windows.where(F.col("level") == level)
         at = ranks.select(*DOC, F.col("k"), "r").where("r is not null")
         null_safe = lambda x, y: x["doc_id"].eqNullSafe(y["doc_id"]) & (x["th"] == y["th"])
         x, y = here.alias("w"), at.alias("p")
-        both = x.join(y, null_safe(here, at) & (F.col("w.at") == F.col("p.k"))).select(F.col("w.doc_id").alias("doc_id"), F.col("w.th").alias("th"), "at", "size", F.col("p.r").alias("x"))
+        both = x.join(_sorted(y), null_safe(here, at) & (F.col("w.at") == F.col("p.k"))).select(F.col("w.doc_id").alias("doc_id"), F.col("w.th").alias("th"), "at", "size", F.col("p.r").alias("x"))
         if level:
             tail = at.select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), F.col("k").alias("k2"), F.col("r").alias("y"))
-            both = both.join(tail, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("k2") == F.col("at") + F.col("size") - (1 << level))).drop("d2", "t2", "k2")
+            both = both.join(_sorted(tail), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")) & (F.col("k2") == F.col("at") + F.col("size") - (1 << level))).drop("d2", "t2", "k2")
         else:
             both = both.withColumn("y", F.lit(0).cast("long"))
         found = both if found is None else found.unionByName(both)
@@ -116,7 +122,7 @@ def repeated_lines(docs: DataFrame, min_words: int = 50) -> DataFrame:
     gone = later.select(*DOC, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("size") - 1)).alias("at")).distinct()
     x, y = gone.alias("g"), live.alias("l")
     same = F.col("g.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("g.th") == F.col("l.th")) & (F.col("g.at") == F.col("l.k"))
-    lost = x.join(y, same).select(F.col("g.doc_id").alias("doc_id"), F.col("g.th").alias("th"), "no")
+    lost = x.join(_sorted(y), same).select(F.col("g.doc_id").alias("doc_id"), F.col("g.th").alias("th"), "no")
     return materialize(lost.groupBy(*DOC).agg(F.sort_array(F.collect_set("no")).alias("gone")), "line-gone")
 
 
@@ -139,8 +145,7 @@ def dedup(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """
     gone = repeated_lines(docs, min_words).select(F.col("doc_id").alias("__doc"), F.col("th").alias("__th"), F.size("gone").alias("__lost"), _marks("gone").alias("__marks"))
     out = docs.drop("n_lines", "n_removed").withColumn("__at", F.xxhash64(F.coalesce("text", F.lit(""))))
-    # Not broadcast even where it is small, so that the plan is one at every size.
-    gone = gone.hint("merge")
+    gone = _sorted(gone)
     out = out.join(gone, out["doc_id"].eqNullSafe(gone["__doc"]) & (out["__at"] == gone["__th"]), "left")
     # The lambda reads joined columns only: a computed one would be computed again for each line.
     kept = F.expr(r"array_join(filter(split(text, '\n'), (x, i) -> substring(__marks, i + 1, 1) <> X'31'), '\n')")

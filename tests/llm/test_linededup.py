@@ -73,3 +73,17 @@ def test_texts_of_two_hundred_thousand_lines_in_seconds(spark):
     got = {r.doc_id: r for r in linededup.dedup(docs).collect()}
     assert time.perf_counter() - began < 90
     assert got[2].text == "its own end" and got[2].n_removed == 149_900 and got[3].text == "short" and got[1].n_removed == 0
+
+
+def test_no_table_goes_through_the_driver(spark, monkeypatch):
+    """Every join is by sorting: a small file can hold many rows, and copies that a generator makes are in no estimate."""
+    plans, write = {}, linededup.materialize
+    monkeypatch.setattr(linededup, "materialize", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().executedPlan().toString()), write(df, label))[1])
+    text = "\n".join(f"a{i} b" for i in range(6))
+    docs = spark.createDataFrame([(1, text), (2, text + "\nend"), (3, None)], "doc_id long, text string")
+    out = linededup.dedup(docs, 12)
+    assert {r.doc_id: r.text for r in out.collect()} == {1: text, 2: "end", 3: None}
+    plans["result"] = out._jdf.queryExecution().executedPlan().toString()
+    assert {"line-live", "line-ranks", "line-found", "line-gone"} <= {*plans}
+    assert [k for k, plan in plans.items() if "Broadcast" in plan] == []
+    assert all("SortMergeJoin" in plans[k] for k in ("line-live", "line-ranks", "line-found", "line-gone", "result"))
