@@ -16,11 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ._shared import byte_slices, materialize, new_scratch, qualified, row_slices
+from ._shared import by_spark_only, byte_slices, materialize, new_scratch, opened, row_slices
 from .unigram import SPACE, Pieces
 
 # An edge of the lattice is one long: its end (34 bits), its length (8), its code (22). In order,
@@ -48,8 +49,9 @@ NO_WORDS = pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))
 
 @lru_cache(maxsize=1)
 def known_words(path: str) -> tuple[pa.Array, pa.ListArray]:
-    """The words of a table that common_words wrote, and their ids; a worker reads it once for all its tasks."""
-    system, top = pafs.FileSystem.from_uri(path)
+    """The words of a table that common_words wrote, and their ids; a worker reads it once for all its tasks.
+    A path without a scheme is one of Spark's files."""
+    system, top = opened(path if ":" in path else f"file://{SparkFiles.get(path)}")
     names = sorted(f.path for f in system.get_file_info(pafs.FileSelector(top)) if f.path.endswith(".parquet"))
     parts = [pq.read_table(n, filesystem=system) for n in names]
     if not sum(map(len, parts)):
@@ -247,7 +249,8 @@ def common_words(docs: DataFrame, pieces: Pieces, frequent: int, sample_docs: in
     sample_docs documents.
 
     Of bounded size, and on the shared folder only: neither driver nor broadcast holds it, each
-    worker reads it once. Which words stand here does not change any result: it only says which
+    worker reads it once. Where only Spark opens the shared folder, each executor fetches its files
+    once (SparkContext.addFile) and the folder's name is returned. Which words stand here does not change any result: it only says which
     are encoded once for all and not in each batch.
     """
     spark, n = docs.sparkSession, docs.count()
@@ -264,7 +267,10 @@ def common_words(docs: DataFrame, pieces: Pieces, frequent: int, sample_docs: in
     top = materialize(top, "lattice-top").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     found, path = _folded(_batched(top, "word", Lattice(pieces), whole=True), pieces), new_scratch(spark, "lattice-words")
     found.write.parquet(path)
-    return qualified(spark, path)
+    if by_spark_only(path):
+        spark.sparkContext.addFile(path, recursive=True)
+        return path.rpartition("/")[2]
+    return path
 
 
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = 393_216, sample_docs: int = 32_768) -> DataFrame:
