@@ -27,14 +27,14 @@ def rows(df):
     return sorted(map(str, df.collect()))
 
 
-@pytest.mark.parametrize("name", ["op6_media", "op8_sentencepiece"])
+@pytest.mark.parametrize("name", ["op6_media", "op7_token_files", "op8_sentencepiece"])
 def test_shared_folder_of_a_cluster_without_a_scheme(spark, monkeypatch, name):
     want = rows(queries.QUERIES[name](spark, SF))
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     assert rows(queries.QUERIES[name](spark, SF)) == want
 
 
-@pytest.mark.parametrize("name", ["op6_media", "op8_sentencepiece"])
+@pytest.mark.parametrize("name", ["op6_media", "op7_token_files", "op8_sentencepiece"])
 def test_shared_folder_that_only_spark_opens(spark, tmp_path, name):
     (tmp_path / "shared").mkdir()
     env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(__file__).parents[2]), os.environ.get("PYTHONPATH", "")])}
