@@ -54,3 +54,26 @@ def test_carriers_take_a_bounded_number_of_rows(step):
 
     parts = waves.write(Rows(), "k", "c", [(3, 0.5, 7.0)]) if step == "write" else waves.read(Rows(), "k", "c")
     assert sum(x["id"].nunique() for x in parts) == 2000 and max(x["id"].nunique() for x in parts) <= waves.ROWS
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_missing_edges_dealt_and_broadcast(spark, monkeypatch, small):
+    """Arrays of b's nodes that are shuffled or broadcast; hubs, repeated nodes, nulls, blocks of one side only."""
+    for name, value in {"SMALL": small, "CHUNK": 4, "GROUP": 8, "TASK_PAIRS": 500}.items():
+        monkeypatch.setattr(graph, name, value, raising=False)
+    a = spark.range(90).select(F.when(F.col("id") > 1, F.col("id") % 80).alias("src"), F.when(F.col("id") % 11 > 0, F.col("id") % 3).alias("block"))
+    b = spark.range(150).select(F.when(F.col("id") > 1, F.col("id") % 140).alias("dst"), (F.col("id") % 5 % 4).alias("block"))
+    e = spark.range(4000).select((F.xxhash64("id") % 80).alias("src"), (F.col("id") % 150).alias("dst")).union(spark.range(140).select(F.lit(7), "id"))
+    want = a.join(b, "block").join(e, ["src", "dst"], "left_anti").select("src", "dst", "block")
+    out = graph.missing_edges(a, b, e)
+    assert out.count() == want.count() > 500 and out.exceptAll(want).count() == 0
+
+
+def test_missing_edges_come_in_lists_that_repeat(spark, tmp_path):
+    """A compressed file of pairs takes a part of a byte a pair, though each node knows one other or more."""
+    a = spark.range(3000).select(F.col("id").alias("src"), (F.col("id") % 3).alias("block"))
+    b = spark.range(6000).select((F.col("id") * 3).alias("dst"), (F.col("id") % 3).alias("block"))
+    e = spark.range(12000).select((F.col("id") % 3000).alias("src"), (F.pmod(F.xxhash64("id"), F.lit(6000)) * 3).alias("dst"))
+    out = graph.missing_edges(a, b, e)
+    out.write.parquet(str(tmp_path / "out"))
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 0.6 * out.count()
